@@ -87,12 +87,15 @@ def fit(labelled: DataFrame, domains: list[str]) -> np.ndarray:
         else:
             counts[r.f, r.d] += r.n
     w = np.log(counts / (n + 1))
-    return np.vstack([w - w.mean(axis=1, keepdims=True), np.log(n / n.sum())[None, :]])
+    prior = np.where(n > 1, np.log(n / n.sum()), -np.inf)  # a domain without documents has no members
+    return np.vstack([w - w.mean(axis=1, keepdims=True), prior[None, :]])
 
 
 def posteriors(weights: np.ndarray, text: str) -> np.ndarray:
     x = word_ids(text)
     z = weights[x].sum(axis=0) / max(1.0, np.sqrt(len(x))) + weights[-1]
+    if not np.isfinite(z.max()):
+        return np.full(len(z), 1.0 / len(z))
     p = np.exp(z - z.max())
     return p / p.sum()
 

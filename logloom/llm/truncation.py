@@ -270,7 +270,13 @@ def length_limits(sized: DataFrame) -> DataFrame:
     """(source, size, at, around): lengths at which a source has far more distinct texts than around them."""
     per = sized.where("source is not null").groupBy("source", "size").agg(F.count_distinct("tkey").alias("at"))
     near = Window.partitionBy("source").orderBy("size").rangeBetween(-25, 25)
-    return per.withColumn("around", (F.sum("at").over(near) - F.col("at")) / F.lit(50.0)).where("at >= 4 and at >= 4 * (around + 0.5)")
+    longer = Window.partitionBy("source").orderBy("size").rangeBetween(1, Window.unboundedFollowing)
+    every = Window.partitionBy("source")
+    spread = per.select(
+        "source", "size", "at", ((F.sum("at").over(near) - F.col("at")) / F.lit(50.0)).alias("around"),
+        (F.coalesce(F.sum("at").over(longer), F.lit(0)) / F.sum("at").over(every)).alias("longer"),
+    )
+    return spread.where("at >= 6 and at >= 5 * (around + 0.5) and longer < 0.35").select("source", "size", "at", "around")
 
 
 def judge(docs: DataFrame) -> DataFrame:
