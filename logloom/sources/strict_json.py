@@ -39,12 +39,34 @@ _TOKEN = re.compile(
 _LITERALS = {"true": True, "false": False, "null": None}
 
 
+_HALF_PAIR = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def parse(text: str) -> Any:
-    """The one JSON value in text; ValueError if it isn't exactly one."""
+    """The one JSON value in text; ValueError if it isn't exactly one. Half surrogate pairs become U+FFFD."""
     try:
-        return _DECODER.decode(text)
+        out = _DECODER.decode(text)
     except RecursionError:
-        return parse_deep(text)
+        out = parse_deep(text)
+    return _whole_characters(out) if _HALF_PAIR.search(text) else out
+
+
+def _whole_characters(root: Any) -> Any:
+    fix = lambda s: s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    holder = [root]
+    stack: list = [holder]
+    while stack:
+        c = stack.pop()
+        for k, v in list(enumerate(c) if isinstance(c, list) else c.items()):
+            if isinstance(v, str):
+                v = fix(v)
+            elif isinstance(v, (dict, list)):
+                stack.append(v)
+            if isinstance(c, dict) and (k2 := fix(k)) != k:
+                del c[k]
+                k = k2
+            c[k] = v
+    return holder[0]
 
 
 def parse_deep(text: str) -> Any:

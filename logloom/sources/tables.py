@@ -36,17 +36,19 @@ def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataF
 def canonical_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sessions merged to one row per (source, session_id), as the importer's upsert would.
 
-    In order of loading (loaded_at, then imported_at) the last non-empty value
-    of each text column wins; started_at is the lowest and ended_at the highest
-    stored string; no value at all gives '' for cwd, git_branch and version and
-    null for the rest.
+    In order of loading (loaded_at, then imported_at, then the value) the last
+    non-empty value of each text column wins; started_at is the lowest and
+    ended_at the highest stored string; no value at all gives '' for cwd,
+    git_branch and version and null for the rest.
     """
     s = table(spark, sf_dir, "sessions")
-    return merge_sessions(s.withColumn("_ord", F.struct("loaded_at", "imported_at", "cwd", "repo_path", "git_branch", "version", "custom_title", "agent_name", "started_at", "ended_at")), F.col("_ord"))
+    return merge_sessions(s, [F.coalesce("loaded_at", F.timestamp_micros(F.lit(0))), F.coalesce("imported_at", F.lit(""))])
 
 
-def merge_sessions(s: DataFrame, order: Column) -> DataFrame:
-    last = lambda c: F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", order))
+def merge_sessions(s: DataFrame, order: list[Column]) -> DataFrame:
+    def last(c: str) -> Column:
+        return F.max_by(F.col(c), F.when(F.col(c) != "", F.struct(*order, F.col(c))))
+
     return (
         s.withColumn("session_id", norm_id(F.col("session_id")))
         .where("session_id is not null and session_id <> '' and source is not null and source <> ''")
