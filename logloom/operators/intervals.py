@@ -4,9 +4,10 @@ Spark's session_window with a row-specific duration merges the intervals that
 start on the same day of an entity; a day's periods are then stitched to those
 before it through one summary row per entity and day (the highest end so far),
 so that an entity with a third of all rows is spread over its days and no task
-sees more than one day of it. session_window drops empty windows and joins only
-what overlaps, so each closed interval [a, b] enters as [a, b + 1 microsecond):
-then intervals that share one instant overlap, and no others do.
+sees more than one day of it. session_window drops empty windows and joins what
+touches, so each closed interval [a, b] enters on a doubled scale as
+[2a, 2b + 1]: none is empty, and two touch or overlap exactly if the closed
+intervals share an instant.
 
 Nulls: rows without entity or readable start don't count; a missing or
 unreadable end equals the start; rows with end before start don't count.
@@ -33,11 +34,11 @@ def merge_intervals(rows: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
 
     prev_end is the end of the period before it of the same entity, null for the first.
     """
-    iv = rows.select("entity", F.floor(F.col("a") / F.lit(bucket_us)).alias("bucket"), F.timestamp_micros("a").alias("ts"), F.expr("cast(concat(b - a + 1, ' microseconds') as interval)").alias("dur"))
+    iv = rows.select("entity", F.floor(F.col("a") / F.lit(bucket_us)).alias("bucket"), F.timestamp_micros(F.col("a") * 2).alias("ts"), F.expr("cast(concat(2 * (b - a) + 1, ' microseconds') as interval)").alias("dur"))
     part = (
         iv.groupBy("entity", "bucket", F.session_window("ts", F.col("dur")).alias("w"))
         .agg(F.count("*").alias("n"))
-        .select("entity", "bucket", F.unix_micros("w.start").alias("a"), (F.unix_micros("w.end") - 1).alias("b"))
+        .select("entity", "bucket", F.shiftright(F.unix_micros("w.start"), 1).alias("a"), F.shiftright(F.unix_micros("w.end") - 1, 1).alias("b"))
     )
     # What earlier buckets of the entity reach into this one: bounded by its days.
     days = part.groupBy("entity", "bucket").agg(F.max("b").alias("top"))
