@@ -111,7 +111,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = []
             for n in range(min(RUN, len(toks)), 0, -1):
                 r = toks[-n:]
-                runs.append({"n": n, "key": _key(r), "frag": _key(r, True) if n < RUN and r[-1].isalpha() else None})
+                runs.append({"n": n, "key": _key(r), "frag": _key(r, True) if r[-1].isalpha() else None})
             out.append((tkey, len(text), mark, toks.count("```") % 2 == 1, len(toks) - 1, _key([str(own), *toks[-RUN:]]), own, runs))
         cols = list(zip(*out)) or [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -134,7 +134,7 @@ def _counter(bitmap):
                 o[1] += e
                 o[2] += x
             w = run[-1]
-            if len(run) < RUN and len(w) > 1 and w.isalpha():
+            if len(w) > 1 and w.isalpha():
                 head = list(run[:-1])
                 for j in range(1, len(w)):
                     k = _key([*head, w[:j]], True)
