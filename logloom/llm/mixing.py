@@ -38,6 +38,7 @@ from .tokens import VOCAB_PATH, count_tokens
 
 FEATURES = 1 << 13
 MAX_DOMAINS = 200
+SHRINK = 100.0
 STEPS, TOLERANCE = 60, 1e-7
 UNIT = 1_000_000
 
@@ -80,15 +81,19 @@ def fit(labelled: DataFrame, domains: list[str]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(f), pa.array(part[d, f])], names=["d", "f", "n"])
 
     rows = labelled.mapInArrow(run, "d bigint, f bigint, n bigint").groupBy("d", "f").agg(F.sum("n").alias("n")).collect()
-    counts, n = np.ones((FEATURES, len(domains))), np.ones(len(domains))
+    counts, n = np.zeros((FEATURES, len(domains))), np.zeros(len(domains))
     for r in rows:
         if r.f == FEATURES:
             n[r.d] += r.n
         else:
             counts[r.f, r.d] += r.n
-    w = np.log(counts / (n + 1))
-    prior = np.where(n > 1, np.log(n / n.sum()), -np.inf)  # a domain without documents has no members
-    return np.vstack([w - w.mean(axis=1, keepdims=True), prior[None, :]])
+    # Shares of a domain's features, so that long texts of a source don't outweigh others; small domains are drawn to all.
+    every = counts.sum(axis=1, keepdims=True) + 0.1
+    every /= every.sum()
+    w = np.log((counts + SHRINK * every) / (counts.sum(axis=0) + SHRINK)) - np.log(every)
+    # A domain without documents has no members.
+    prior = np.where(n > 0, np.log(np.maximum(n, 1) / max(1, n.sum())), -np.inf)
+    return np.vstack([w, prior[None, :]])
 
 
 def posteriors(weights: np.ndarray, text: str) -> np.ndarray:
