@@ -83,3 +83,66 @@ SQL = {
     "p3_descendants": P3_DESC,
     "p6_found": P6,
 }
+
+# JSON: DuckDB's json_valid takes trailing commas, NaN and Infinity, which are looked for outside of strings.
+JSON_LINES = f"""bare as (select *, trim(line, {WS}) as body from raw_records where trim(line, {WS}) <> ''),
+judged as (select *, json_valid(body) and body like '{{%' and not regexp_matches(regexp_replace(body, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]|(?i:nan|inf)') as ok from bare),
+good as (select *, body::json as j, case source when 'claude_code' then 'message' when 'codex' then 'payload' end as inner_name from judged where ok),
+typed as (select *, case when json_type(j, '$.type') = 'VARCHAR' then json_extract_string(j, '$.type') else '' end as rtype,
+  case source when 'claude_code' then json_type(j, '$.message') when 'codex' then json_type(j, '$.payload') end as inner_type,
+  case source when 'claude_code' then json_extract(j, '$.message.content') when 'codex' then json_extract(j, '$.payload.content') end as content,
+  case when json_type(j, '$.timestamp') = 'VARCHAR' then json_extract_string(j, '$.timestamp') end as ts from good),
+reasons as (select *, case
+  when (source = 'codex' or source = 'claude_code' and rtype in ('user', 'assistant')) and coalesce(inner_type, '') <> 'OBJECT' then 'no_body'
+  when (source = 'codex' or source = 'claude_code' and rtype in ('user', 'assistant')) and (json_type(content) in ('BOOLEAN', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE')
+    or json_type(content) = 'ARRAY' and len(list_filter(json_extract(content, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) > 0) then 'bad_content'
+  when ts <> '' and {micros('ts')} is null then 'bad_time' end as reason from typed),
+loads as (select * from reasons where reason is null)"""
+
+P7 = f"with {JSON_LINES} select record_id, 'not_json' as fail_reason from judged where not coalesce(ok, false) union all select record_id, reason from reasons where reason is not null"
+
+# A node's own key or index at the end of its path.
+LAST = r"(\[[0-9]+\])+$"
+STEP = r'\.("(?:[^"]*)"|[^.\[]+)(\[[0-9]+\])*$'
+P4 = f"""with {JSON_LINES},
+nodes as (select record_id, substr(t.fullkey, 3) as node_path, regexp_replace(substr(t.fullkey, 3), '{STEP}', '') as up,
+    case when json_type(t.value, '$.type') = 'VARCHAR' then json_extract_string(t.value, '$.type') else '' end as node_type, inner_name
+  from loads, json_tree(json_object(inner_name, json_extract(j, '$.' || inner_name))) t where inner_type = 'OBJECT' and t.type = 'OBJECT' and t.fullkey <> '$')
+select distinct record_id, node_path, case when node_path = inner_name then '' else up end as parent_path, node_type from nodes"""
+
+P2 = f"""with {JSON_LINES},
+rec as (select record_id, coalesce(source, '') as source, coalesce(jsonl_path, '') as jsonl_path, j, rtype || case when source = 'codex' and rtype = 'response_item'
+  then ':' || case when json_type(j, '$.payload.type') = 'VARCHAR' then json_extract_string(j, '$.payload.type') else '' end else '' end as record_type from loads),
+listed as (select source, record_type, case when contains(field_path, '.') then regexp_replace(field_path, '\\.[^.]*$', '') else '' end as obj, regexp_extract(field_path, '[^.]*$') as field,
+  field_path, '|' || json_types || '|' as json_types, is_required from expected_fields),
+unknown as (select distinct jsonl_path, record_type, source from rec where not exists (select 1 from listed l where l.source = rec.source and l.record_type = rec.record_type)),
+tree as (select record_id, source, jsonl_path, record_type, t.id, t.parent, t.key, t.type,
+    case when t.fullkey = '$' then '' else regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') end as general from rec, json_tree(j) t),
+objs as (select record_id, source, jsonl_path, record_type, id, general as obj from tree where type = 'OBJECT'
+  and exists (select 1 from listed l where l.source = tree.source and l.record_type = tree.record_type and l.obj = tree.general)),
+total as (select source, jsonl_path, record_type, obj, count(*) as n from objs group by all),
+fields as (select o.source, o.jsonl_path, o.record_type, o.obj, t.key as field, count(distinct (t.record_id, o.id)) as present,
+    list(distinct case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' else 'number' end) as kinds
+  from objs o join tree t on t.record_id = o.record_id and t.parent = o.id group by all),
+removed as (select t.source, t.jsonl_path, t.record_type, t.obj, l.field, l.json_types, count(*) over (partition by t.source, t.jsonl_path, t.record_type, t.obj) as n_removed
+  from total t join listed l on l.source = t.source and l.record_type = t.record_type and l.obj = t.obj and l.is_required
+  where not exists (select 1 from fields f where f.source = t.source and f.jsonl_path = t.jsonl_path and f.record_type = t.record_type and f.obj = t.obj and f.field = l.field)),
+added as (select f.*, t.n from fields f join total t using (source, jsonl_path, record_type, obj)
+  where not exists (select 1 from listed l where l.source = f.source and l.record_type = f.record_type and l.obj = f.obj and l.field = f.field)),
+fit as (select a.source, a.jsonl_path, a.record_type, a.obj, r.field as old, a.field as new, count(*) over (partition by a.source, a.jsonl_path, a.record_type, a.obj) as n_fit
+  from added a join removed r using (source, jsonl_path, record_type, obj) where r.n_removed = 1 and a.present = a.n and len(list_filter(a.kinds, lambda k: k <> 'null' and not contains(r.json_types, '|' || k || '|'))) = 0),
+renamed as (select * from fit where n_fit = 1),
+path(obj, field, full_path) as (select distinct obj, field, case when obj = '' then field else obj || '.' || field end from (select obj, field from fields union select obj, field from removed))
+select jsonl_path, record_type, 'added' as change_kind, case when source = 'codex' and record_type like 'response\\_item:%' escape '\\' then 'payload.type' else 'type' end as field_path, '' as new_path from unknown
+union all select jsonl_path, record_type, 'retyped', l.field_path, '' from fields f join listed l using (source, record_type, obj, field)
+  where len(list_filter(f.kinds, lambda k: k <> 'null' and not contains(l.json_types, '|' || k || '|'))) > 0
+union all select jsonl_path, record_type, 'removed', full_path, '' from removed r join path using (obj, field) where not exists (select 1 from renamed n where n.source = r.source and n.jsonl_path = r.jsonl_path and n.record_type = r.record_type and n.obj = r.obj)
+union all select jsonl_path, record_type, 'added', full_path, '' from added a join path using (obj, field) where not exists (select 1 from renamed n where n.source = a.source and n.jsonl_path = a.jsonl_path and n.record_type = a.record_type and n.obj = a.obj and n.new = a.field)
+union all select jsonl_path, record_type, 'renamed', p.full_path, q.full_path from renamed n join path p on p.obj = n.obj and p.field = n.old join path q on q.obj = n.obj and q.field = n.new"""
+
+SQL |= {
+    "p2_found": P2,
+    "p4_found": P4,
+    "p7_found": P7,
+    "p7_clean": f"with {JSON_LINES} select raw_records.* from raw_records join loads using (record_id)",
+}

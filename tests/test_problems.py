@@ -267,3 +267,65 @@ def test_matching_is_one_to_one():
     assert drift.match_object(fields, 3, listed)[2] == []
     assert drift.match_object({**fields, "role": (3, {"string"}, 0.0)}, 3, listed)[2] == []
     assert drift.match_object({"ident": (3, {"string"}, 0.0), "role": (3, {"string"}, 0.0)}, 3, listed)[2][0][:2] == ("id", "ident")
+
+
+def brute_changes(raw, expected, bad):
+    """p2_found stated plainly: collect every object, then look at each listed one."""
+    import json
+
+    listed = {}
+    for source, rt, path, types, must in expected:
+        listed.setdefault((source, rt), {})[path] = (types.split("|"), must)
+    groups = {}
+    for rid, source, path, line in raw:
+        if rid in bad or line is None or not line.strip():
+            continue
+        rec = json.loads(line)
+        rt = rec.get("type", "")
+        if source == "codex" and rt == "response_item":
+            rt = f"response_item:{rec['payload'].get('type', '')}"
+        groups.setdefault((source, path, rt), []).append(rec)
+    kind = lambda v: {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}.get(type(v), "null")
+    out = set()
+    for (source, path, rt), recs in groups.items():
+        fields = listed.get((source, rt))
+        if fields is None:
+            out.add((path, rt, "added", "payload.type" if rt.startswith("response_item:") else "type", ""))
+            continue
+        for obj in {p.rpartition(".")[0] for p in fields}:
+            found = []
+            for rec in recs:
+                at = [rec]
+                for step in obj.split(".") if obj else []:
+                    if step.endswith("[]"):
+                        at = [x for o in at if isinstance(o.get(step[:-2]), list) for x in o[step[:-2]] if isinstance(x, dict)]
+                    else:
+                        at = [o[step] for o in at if isinstance(o.get(step), dict)]
+                found += at
+            if not found:
+                continue
+            full = lambda k, obj=obj: f"{obj}.{k}" if obj else k
+            seen = {k for o in found for k in o}
+            types = {k: {kind(o[k]) for o in found if k in o} - {"null"} for k in seen}
+            removed = [p for p, (_, must) in fields.items() if p.rpartition(".")[0] == obj and must and p.rpartition(".")[2] not in seen]
+            added = [k for k in seen if full(k) not in fields]
+            out |= {(path, rt, "retyped", full(k), "") for k in seen if full(k) in fields and types[k] - set(fields[full(k)][0])}
+            fit = [k for k in added if len(removed) == 1 and all(k in o for o in found) and types[k] <= set(fields[removed[0]][0])]
+            if len(fit) == 1:
+                out.add((path, rt, "renamed", removed[0], full(fit[0])))
+                removed, added = [], [k for k in added if k != fit[0]]
+            out |= {(path, rt, "removed", p, "") for p in removed} | {(path, rt, "added", full(k), "") for k in added}
+    return out
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_drift_against_brute_force(spark, sf, scale):
+    from logloom.operators.bad_rows import find_bad_rows
+
+    d = sf.replace("sf0.001", scale)
+    raw, exp = table(spark, d, "raw_records"), table(spark, d, "expected_fields")
+    bad = {r.record_id for r in find_bad_rows(raw).collect()}
+    rows = [(r.record_id, r.source, r.jsonl_path, r.line) for r in raw.collect()]
+    want = brute_changes(rows, [tuple(r) for r in exp.select("source", "record_type", "field_path", "json_types", "is_required").collect()], bad)
+    got = drift.find_changes(raw, exp).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
