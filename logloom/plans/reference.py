@@ -188,17 +188,25 @@ def derived_uuid(s, d):
 
 
 def forward_fill(s, d):
-    """The last repo_path known for a repository's sessions so far, in order of their keys within a source and branch."""
+    """The session that each dialect-B line belongs to: the last session_meta before it in its file."""
     from pyspark.sql import Window
 
-    c = canonical_sessions(s, d).select("source", "git_branch", "session_id", "repo_path")
-    w = Window.partitionBy("source", "git_branch", F.substring("session_id", 1, 1)).orderBy("session_id").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("source", "session_id", F.last("repo_path", ignorenulls=True).over(w).alias("repo_path"))
+    from ..sources.dialects import parse_lines
+
+    raw = table(s, d, "raw_records").where((F.col("source") == "codex") & ~T.is_blank(F.col("line")))
+    p = parse_lines(raw.select("record_id", "source", "jsonl_path", "line_number", "line"))
+    w = Window.partitionBy("jsonl_path").orderBy("line_number", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    return p.select("record_id", F.last(F.when(F.col("kind") == "meta", F.col("session_id")), ignorenulls=True).over(w).alias("session_id"))
 
 
 def last_title(s, d):
-    """The last stored title of each session, where it has one."""
-    return canonical_sessions(s, d).where("custom_title is not null").select("source", "session_id", "custom_title")
+    """The last title line of each session that has a row; an empty title counts."""
+    from ..sources.dialects import parse_lines
+
+    raw = table(s, d, "raw_records").where("source = 'claude_code'")
+    p = parse_lines(raw.select("record_id", "source", "line")).where("kind = 'title'")
+    last = p.groupBy("source", T.norm_id(F.col("session_id")).alias("session_id")).agg(F.max_by("value", "record_id").alias("custom_title"))
+    return last.join(canonical_sessions(s, d).select("source", "session_id"), ["source", "session_id"], "left_semi")
 
 
 def first_line(s, d):

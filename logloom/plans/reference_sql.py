@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .problems_sql import FIRST, WS, micros, norm
+from .problems_sql import FIRST, JSON_LINES, WS, micros, norm
 
 SINCE, UNTIL = "2024-06-01T00:00:00.000Z", "2025-03-01T00:00:00.000Z"
 LOOKUP = "9e1b223c-9dac-4ed1-a44d-7640366c7f54"
@@ -65,11 +65,48 @@ NONCMD = f"""cmd as (select source, session_id, timestamp, seq, {LINE} as line f
 noncmd as (select source, session_id, count(*) as noncommand_turns, coalesce((arg_min(line, {{'a': timestamp, 'b': seq}}) filter (line <> '')), '') as first_noncommand_line from cmd group by 1, 2)"""
 SUMMARY = "select uuid, source, session_id, rank, content from (select *, row_number() over (partition by source, session_id order by timestamp, seq) as rank from main where role = 'user'{w}) where rank <= 2"
 SYN = f" and {_fold('content')} not like '<command-name>/clear</command-name>%' and {_fold('content')} not like '<local-command-caveat>%'"
+META_TYPES = " and ".join(
+    [f"coalesce(json_type(g.j, '{p}'), 'NULL') in ('VARCHAR', 'NULL')" for p in ("$.timestamp", "$.payload.id", "$.payload.cwd", "$.payload.cli_version", "$.payload.git.branch")]
+    + ["coalesce(json_type(g.j, '$.payload.git'), 'NULL') in ('OBJECT', 'NULL')"]
+)
+
+
+def _typed(j: str, paths: list[str], kind: str = "VARCHAR") -> str:
+    return " and ".join(f"coalesce(json_type({j}, '{p}'), 'NULL') in ('{kind}', 'NULL')" for p in paths)
+
+
+def _blocks(content: str) -> str:
+    """Null, or a list of nulls and objects whose type and text are strings or null."""
+    bad = f"json_type(x) not in ('OBJECT', 'NULL') or not ({_typed('x', ['$.type', '$.text'])})"
+    return f"(json_type({content}) = 'NULL' or json_type({content}) = 'ARRAY' and len(list_filter(json_extract({content}, '$[*]'), lambda x: {bad})) = 0)"
+
+
+OUTCOMES = f"""with {JSON_LINES},
+lines as (select r.source, r.record_id, r.jsonl_path, r.line_number, coalesce(trim(r.line, {WS}), '') as text, g.j as j, g.rtype as rtype, g.content as content, g.inner_type as inner_type
+  from raw_records r left join typed g using (record_id)),
+one as (select *, case
+  when text in ('', 'null') then 'ignored' when j is null then 'unparsed'
+  when source = 'claude_code' then case
+    when not ({_typed('j', ['$.type', '$.uuid', '$.parentUuid', '$.sessionId', '$.timestamp', '$.cwd', '$.gitBranch', '$.version', '$.customTitle', '$.agentName'])} and {_typed('j', ['$.isSidechain'], 'BOOLEAN')}) then 'unparsed'
+    when rtype = 'custom-title' then 'title' when rtype = 'agent-name' then 'agent' when rtype not in ('user', 'assistant') then 'ignored'
+    when coalesce(inner_type, '') <> 'OBJECT' or not ({_typed('j', ['$.message.role'])}) or content is null then 'unparsed'
+    when json_type(content) = 'VARCHAR' or {_blocks('content')} then 'body' else 'unparsed' end
+  else case
+    when not ({_typed('j', ['$.type', '$.timestamp'])}) then 'unparsed'
+    when rtype = 'session_meta' then case when coalesce(inner_type, '') in ('OBJECT', 'NULL') and {META_TYPES.replace('g.j', 'j')} then 'meta' else 'unparsed' end
+    when rtype <> 'response_item' then 'ignored'
+    when coalesce(inner_type, '') not in ('OBJECT', 'NULL') or not ({_typed('j', ['$.payload.type', '$.payload.role'])}) then 'unparsed'
+    when coalesce(json_extract_string(j, '$.payload.type'), '') <> 'message' or coalesce(json_extract_string(j, '$.payload.role'), '') not in ('user', 'assistant') then 'ignored'
+    when content is not null and {_blocks('content')} then 'body' else 'bad_body' end end as kind from lines),
+known as (select *, count(*) filter (kind = 'meta') over (partition by source, jsonl_path order by line_number range unbounded preceding) as metas from one)
+select source, case when source = 'codex' and kind in ('body', 'bad_body') then case when metas = 0 then 'ignored' when kind = 'body' then 'body' else 'unparsed' end else kind end as outcome, count(*) as lines
+from known group by 1, 2"""
 DISPLAY = f"(select *, {ALIAS} as alias from (select *, {BASE} as base from (select * replace (coalesce(repo_path, '') as repo_path) from sess)))"
 
 SQL = {
     "incremental_plan": """select jsonl_path, size, action, (case action when 'resume' then last_offset when 'skip' then null else 0 end)::bigint as start from (
       select *, case when size = file_size then 'skip' when size > file_size then 'resume' else 'reread' end as action from (select *, file_size + (length(jsonl_path) % 3) - 1 as size from import_state))""",
+    "parse_outcomes": OUTCOMES,
     "session_upsert": W_S + "select * from sess",
     "dedup_first_wins": f"with {FIRST} select uuid, seq, source, session_id, role from first_rows",
     "sessions_list": W_ALL + LIST + BY,
@@ -113,8 +150,10 @@ SQL = {
       and exists (select 1 from first_rows m where m.source = s.source and m.session_id = s.session_id)""",
     "repo_path_worktree": W_S + "select source, session_id, string_split(cwd, '/.claude/worktrees/')[1] as root from sess",
     "derived_uuid": "select record_id, 'codex:' || sha256(jsonl_path || chr(0) || line_number) as uuid from raw_records where source = 'codex'",
-    "forward_fill": W_S + "select source, session_id, last_value(repo_path ignore nulls) over (partition by source, git_branch, substr(session_id, 1, 1) order by session_id rows unbounded preceding) as repo_path from sess",
-    "last_title": W_S + "select source, session_id, custom_title from sess where custom_title is not null",
+    "forward_fill": f"""with {JSON_LINES} select b.record_id, last_value(case when g.rtype = 'session_meta' and coalesce(g.inner_type, '') in ('OBJECT', 'NULL') and {META_TYPES} then coalesce(json_extract_string(g.j, '$.payload.id'), '') end ignore nulls)
+      over (partition by b.jsonl_path order by b.line_number, b.record_id rows unbounded preceding) as session_id from bare b left join typed g using (record_id) where b.source = 'codex'""",
+    "last_title": f"""with {JSON_LINES}, {SESS}, t as (select source, {norm("json_extract_string(j, '$.sessionId')")} as session_id, arg_max(coalesce(json_extract_string(j, '$.customTitle'), ''), record_id) as custom_title
+      from typed where source = 'claude_code' and rtype = 'custom-title' group by 1, 2) select t.* from t join sess using (source, session_id)""",
     "first_line": f"with {FIRST} select uuid, {LINE} as line from first_rows",
     "tsv_sanitize": f"with {FIRST} select uuid, translate(content, chr(9) || chr(10) || chr(13), '   ') as cell from first_rows",
     "local_time": f"with {FIRST} select uuid, {local_time('timestamp')} as local_time from first_rows",
