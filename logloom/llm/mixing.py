@@ -39,7 +39,7 @@ from .tokens import VOCAB_PATH, count_tokens
 FEATURES = 1 << 13
 MAX_DOMAINS = 200
 SHRINK = 100.0
-STEPS, TOLERANCE = 60, 1e-7
+STEPS, TOLERANCE = 40, 1e-5
 UNIT = 1_000_000
 
 
@@ -151,8 +151,11 @@ def fit_rates(groups: DataFrame, targets: list[tuple[str, float, int]]) -> list[
     """The step vectors whose replay gives every document's rate. groups: p, cap, tokens."""
     k = len(targets)
 
-    def totals(history: list[np.ndarray]) -> np.ndarray:
+    def totals(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Domain tokens at the present rates (before the first step: at the limits), in all, and between free members."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((k, k + 2))
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -160,28 +163,34 @@ def fit_rates(groups: DataFrame, targets: list[tuple[str, float, int]]) -> list[
                 cap = np.array(b["cap"].to_pylist(), dtype=float)
                 t = np.array(b["tokens"].to_pylist(), dtype=float)
                 r = rates_of(p, cap, history) if history else cap
-                use, most = (r * t) @ p, t @ p
-                for i in range(k):
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(use[i])]), pa.array([float(most[i])])], names=["i", "used", "tokens"])
+                free = t * ((r > 0) & (r < cap)) if history else t
+                out += np.column_stack([(r * t) @ p, t @ p, (p * free[:, None]).T @ p])
+            i, j = out.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(out[i, j])], names=["i", "j", "v"])
 
-        out = np.zeros((2, k))
-        for r in groups.mapInArrow(run, "i bigint, used double, tokens double").groupBy("i").agg(F.sum("used").alias("u"), F.sum("tokens").alias("t")).collect():
-            out[0, r.i], out[1, r.i] = r.u, r.t
-        return out
+        out = np.zeros((k, k + 2))
+        for r in groups.mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # k x (k + 2)
+            out[r.i, r.j] = r.v
+        return out[:, 0], out[:, 1], out[:, 2:]
 
-    first = totals([])
-    most, size = first[0], first[1]
+    most, size, gram = totals([])
     share = np.array([w for _, w, _ in targets]) * (most > 0)
     share = share / share.sum() if share.sum() else share
     wanted = share * min((most[i] / share[i] for i in range(k) if share[i] > 0), default=0.0)
     history: list[np.ndarray] = []
-    used = np.zeros(k)
+    used, before = np.zeros(k), np.inf
     for _ in range(STEPS):
         gap = wanted - used
-        if np.abs(gap).sum() <= TOLERANCE * max(1.0, wanted.sum()):
+        left = np.abs(gap).sum()
+        if left <= TOLERANCE * max(1.0, wanted.sum()) or left > 0.99 * before:  # there, or as near as limits allow
             break
-        history.append(np.where(size > 0, gap / np.maximum(size, 1e-9), 0.0))
-        used = totals(history)[0]
+        before = left
+        # The gradient, scaled by what a step moves: the tokens that free members share between domains.
+        # Where hardly any member is free, the domain's size stands in for them and limits do the rest.
+        ridge = np.where(np.diag(gram) > 0.01 * size, 1e-8, 0.01) * size + 1e-9
+        step = np.linalg.solve(gram + np.diag(ridge), gap)
+        history.append(np.where(size > 0, step, 0.0))
+        used, _, gram = totals(history)
     return history
 
 
@@ -197,7 +206,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocab_path: str = VOCAB_PATH) -> Da
             if not b.num_rows:
                 continue
             r = rates_of(np.array(b["p"].to_pylist()), np.array(b["cap"].to_pylist(), dtype=float), history)
-            whole = np.floor(r + 1e-9)
+            r = np.round(r, 6)  # in millionths
+            whole = np.floor(r)
             part = np.round((r - whole) * UNIT).clip(0).astype(np.int64)
             cols = [b["doc_id"], b["domain"], b["labelled"], b["n_tokens"], pa.array(whole.astype(np.int32)), pa.array(part), b["p"]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "domain", "labelled", "n_tokens", "whole", "part", "p"])
