@@ -17,15 +17,14 @@ from pyspark.sql import functions as F
 def running_sum(rows: DataFrame, keys: list[str], segment: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of value over the rows of the same keys up to and including this one.
 
-    segment must not decrease in the given order. order must be total within
-    the keys for a deterministic result.
+    segment must not decrease in the given order; keys and segment must not be
+    null (a plain equality lets the join use the window's partitioning). order
+    must be total within the keys for a deterministic result.
     """
     cut = rows.withColumn("_seg", segment).withColumn("_val", value.cast("bigint"))
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(F.col("_seg").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_seg").agg(F.sum("_val").alias("_total"))
-    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    summed = cut.withColumn("_sum", F.sum("_val").over(inner))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_seg").eqNullSafe(F.col("_k_seg"))]
-    joined = summed.join(offsets, on, "left")
-    return joined.withColumn(name, F.col("_sum") + F.col("_before")).drop("_seg", "_val", "_sum", "_before", "_k_seg", *[f"_k_{k}" for k in keys])
+    offsets = totals.select(*keys, "_seg", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    joined = cut.withColumn("_sum", F.sum("_val").over(inner)).join(offsets, [*keys, "_seg"])
+    return joined.withColumn(name, F.col("_sum") + F.col("_before")).drop("_seg", "_val", "_sum", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_like, snippet, tsv_sanitize
@@ -12,10 +12,16 @@ from .filters import SessionFilter
 from .turns import KEYS, main_messages, with_turns
 
 
+def hit_content(query: str, where: SessionFilter | None = None) -> Column:
+    """The content of rows that may be hits, null for all others: what a shuffle before search_hits has to carry."""
+    where = where or SessionFilter()
+    return F.when(~F.col("is_sidechain") & contains_like(F.col("content"), query) & where.time("timestamp"), F.col("content")).alias("content")
+
+
 def search_hits(messages: DataFrame, sessions: DataFrame, query: str, where: SessionFilter | None = None) -> DataFrame:
     """Main messages of known sessions that contain the query, ignoring ASCII case; times filter the message."""
     where = where or SessionFilter()
-    hits = main_messages(messages).where(contains_like(F.col("content"), query)).where(where.time("timestamp"))
+    hits = main_messages(messages).where(contains_like(F.col("content"), query) & where.time("timestamp"))
     s = sessions.select(*KEYS, F.coalesce("repo_path", F.lit("")).alias("repo_path")).where(where.project())
     return hits.join(s, KEYS).select(*KEYS, "uuid", "seq", "repo_path", "timestamp", "content")
 

@@ -11,7 +11,7 @@ from ..functions.text import worktree_root
 from ..functions.timeref import logical_day, time_range
 from ..sources.config import Config
 from .filters import SessionFilter
-from .turns import KEYS, main_messages, noncommand_turns
+from .turns import KEYS, body_columns, command_column, noncommand_aggregates
 
 ROW = ["source", "session_id", "cwd", "repo_path", "started_at", "ended_at", "custom_title", "message_count", "body_size"]
 
@@ -22,28 +22,41 @@ def list_sessions(sessions: DataFrame, messages: DataFrame, where: SessionFilter
     Messages are aggregated before the join, so wide session rows are not
     repeated; sessions without messages stay.
     """
+    return _rows(sessions, messages, where, [])[0]
+
+
+def _rows(sessions: DataFrame, messages: DataFrame, where: SessionFilter | Column | None, more: list[Column]) -> tuple[DataFrame, DataFrame]:
     s = sessions
     if where is not None:
         s = s.where(where.sessions() if isinstance(where, SessionFilter) else where)
-    per = messages.groupBy(*KEYS).agg(
-        F.count("uuid").alias("message_count"), F.sum(F.when(~F.col("is_sidechain"), F.octet_length("content"))).alias("body_size")
-    )
+    size = F.col("bytes") if "bytes" in messages.columns else F.octet_length("content")
+    per = messages.groupBy(*KEYS).agg(F.count("uuid").alias("message_count"), F.sum(F.when(~F.col("is_sidechain"), size)).alias("body_size"), *more)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return s.join(per, KEYS, "left").select(*KEYS, *map(blank, ["cwd", "repo_path", "started_at", "ended_at", "custom_title"]), zero("message_count"), zero("body_size"))
+    joined = s.join(per, KEYS, "left")
+    cols = [*KEYS, *map(blank, ["cwd", "repo_path", "started_at", "ended_at", "custom_title"]), zero("message_count"), zero("body_size")]
+    return joined.select(*cols), joined.select(*cols, *([zero("noncommand_turns"), blank("first_noncommand_line")] if more else []))
 
 
 def sessions_report(sessions: DataFrame, messages: DataFrame, config: Config, where: SessionFilter | None, tz: str, boundary: dt.timedelta = dt.timedelta(), short: bool = False) -> DataFrame:
-    """The sessions listing: session rows with project, day, range and non-command user turns, in one plan."""
-    rows = list_sessions(sessions, messages, where)
-    turns = noncommand_turns(main_messages(messages), config.patterns)
-    return rows.join(turns, KEYS, "left").select(
+    """The sessions listing: session rows with project, day, range and non-command user turns.
+
+    One aggregate over the messages, sidechains included, gives everything; of
+    a sidechain row only the count is used. messages has content, or the
+    columns that listings take from it.
+    """
+    m = messages
+    if "command" not in m.columns:
+        m = m.select("uuid", *KEYS, "timestamp", "seq", "role", "is_sidechain", *body_columns(), command_column(config.patterns))
+    m = m.withColumn("command", F.col("command") | F.col("is_sidechain"))
+    _, rows = _rows(sessions, m, where, noncommand_aggregates())
+    return rows.select(
         *ROW,
         config.display(F.col("repo_path"), short).alias("project"),
         time_range(F.col("started_at"), F.col("ended_at"), tz).alias("time_range"),
         logical_day(F.col("started_at"), F.col("ended_at"), tz, boundary).alias("logical_day"),
-        F.coalesce("noncommand_turns", F.lit(0)).cast("bigint").alias("noncommand_turns"),
-        F.coalesce("first_noncommand_line", F.lit("")).alias("first_noncommand_line"),
+        "noncommand_turns",
+        "first_noncommand_line",
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line, is_command, not_synthetic
@@ -28,7 +28,7 @@ def main_messages(messages: DataFrame) -> DataFrame:
 def with_turns(messages: DataFrame) -> DataFrame:
     """main messages with their turn number. Filter content only after this, or turns renumber."""
     # A prefix of a string grows with it in byte order, so it can cut the order of times.
-    hour = F.substring("timestamp", 1, 13)
+    hour = F.substring(F.coalesce("timestamp", F.lit("")), 1, 13)
     counted = running_sum(messages, KEYS, hour, ["timestamp", "seq"], F.when(F.col("role") == "user", 1).otherwise(0), "_users")
     return counted.withColumn("turn", F.greatest(F.col("_users"), F.lit(1)).cast("bigint")).drop("_users")
 
@@ -37,19 +37,25 @@ def user_turns(turns: DataFrame) -> DataFrame:
     return turns.where("role = 'user'")
 
 
+def body_columns() -> list[Column]:
+    """What listings need of a content: its bytes and, of user messages, the first line. Far narrower than the content."""
+    return [F.octet_length("content").alias("bytes"), F.when(F.col("role") == "user", first_line(F.col("content"))).alias("line")]
+
+
 def outline(messages: DataFrame) -> DataFrame:
     """One row per user message: turn, its time, bytes of the whole turn, first line.
 
-    A turn has one user message at most, so one aggregate gives all of it.
+    messages has content or the body_columns. A turn has one user message at
+    most, so one aggregate gives all of it.
     """
-    slim = messages.select(*KEYS, "seq", "timestamp", "role", F.octet_length("content").alias("bytes"), F.when(F.col("role") == "user", first_line(F.col("content"))).alias("line"))
+    slim = messages if "bytes" in messages.columns else messages.select(*KEYS, "seq", "timestamp", "role", *body_columns())
     user = F.col("role") == "user"
     return (
         with_turns(slim)
         .groupBy(*KEYS, "turn")
-        .agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("body_size"), F.max(F.when(user, F.col("timestamp"))).alias("timestamp"), F.max("line").alias("first_line"), F.max(user).alias("_user"))
-        .where("_user")
-        .drop("_user")
+        .agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("body_size"), F.max(F.when(user, F.struct("timestamp", "line"))).alias("_head"))
+        .where("_head is not null")
+        .select(*KEYS, "turn", "body_size", F.col("_head.timestamp").alias("timestamp"), F.col("_head.line").alias("first_line"))
     )
 
 
@@ -85,14 +91,18 @@ def first_user_messages(messages: DataFrame, n: int, include_clear: bool = False
     return rows.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
-def noncommand_turns(messages: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """Per session: user turns that are no commands, and the first non-empty first line of one."""
-    rows = messages.where("role = 'user'").where(~F.coalesce(is_command(F.col("content"), patterns), F.lit(False)))
-    line = first_line(F.col("content"))
-    slim = rows.select(*KEYS, "timestamp", "seq", line.alias("line"))
-    return slim.groupBy(*KEYS).agg(
-        F.count("*").alias("noncommand_turns"),
-        F.coalesce(F.min_by("line", F.when(F.col("line") != "", F.struct("timestamp", "seq"))), F.lit("")).alias("first_noncommand_line"),
-    )
+def command_column(patterns: tuple[str, ...] = ()) -> Column:
+    return F.coalesce(is_command(F.col("content"), patterns), F.lit(False)).alias("command")
 
 
+def noncommand_aggregates() -> list[Column]:
+    """Over messages with role, command and line: user turns that are no commands, and the first non-empty first line of one."""
+    counts = (F.col("role") == "user") & ~F.col("command")
+    first = F.min_by("line", F.when(counts & (F.col("line") != ""), F.struct("timestamp", "seq")))
+    return [F.count_if(counts).alias("noncommand_turns"), F.coalesce(first, F.lit("")).alias("first_noncommand_line")]
+
+
+def noncommand_turns(messages: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Per session with such turns: noncommand_turns and first_noncommand_line. messages has content, or line and command."""
+    slim = messages if "command" in messages.columns else messages.select(*KEYS, "timestamp", "seq", "role", *body_columns(), command_column(patterns))
+    return slim.groupBy(*KEYS).agg(*noncommand_aggregates()).where("noncommand_turns > 0")

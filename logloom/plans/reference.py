@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,17 +32,22 @@ CONFIG = Config(
 N = 2
 
 
-def _m(s: SparkSession, d: str, *cols: str) -> DataFrame:
+def _m(s: SparkSession, d: str, *cols: str | Column) -> DataFrame:
     return canonical_messages(s, d, *cols)
 
 
-def _main(s: SparkSession, d: str, *cols: str) -> DataFrame:
+def _main(s: SparkSession, d: str, *cols: str | Column) -> DataFrame:
     return TU.main_messages(_m(s, d, *cols))
 
 
 _ORDER = ("source", "session_id", "timestamp", "is_sidechain")
 
 
+def _sizes() -> tuple[str | Column, ...]:
+    return ("source", "session_id", "is_sidechain", F.octet_length("content").alias("bytes"))
+
+
+
 def incremental_plan(s, d):
     """What an import would do with each file of the state table if all had grown to a listing's size."""
     st = table(s, d, "import_state").where("jsonl_path is not null")
@@ -65,15 +70,15 @@ def dedup_first_wins(s, d):
 
 
 def sessions_list(s, d):
-    return SS.list_sessions(canonical_sessions(s, d), _m(s, d, "source", "session_id", "content", "is_sidechain"))
+    return SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()))
 
 
 def _sessions_where(where):
-    return lambda s, d: SS.list_sessions(canonical_sessions(s, d), _m(s, d, "source", "session_id", "content", "is_sidechain"), where)
+    return lambda s, d: SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()), where)
 
 
 def nonblank_messages(s, d):
-    return _m(s, d, "source", "session_id", "content").where(~T.is_blank(F.col("content"))).select("uuid", "source", "session_id")
+    return _m(s, d, "source", "session_id", (~T.is_blank(F.col("content"))).alias("filled")).where("filled").select("uuid", "source", "session_id")
 
 
 def messages_main(s, d):
@@ -97,7 +102,7 @@ def tail_n(s, d):
 
 
 def outline(s, d):
-    return TU.outline(_main(s, d, *_ORDER, "role", "content"))
+    return TU.outline(_main(s, d, *_ORDER, "role", *TU.body_columns()))
 
 
 def _summary(include_clear: bool):
@@ -108,36 +113,36 @@ def _summary(include_clear: bool):
 
 
 def noncommand_turns(s, d):
-    return TU.noncommand_turns(_main(s, d, *_ORDER, "role", "content"), CONFIG.patterns)
+    return TU.noncommand_turns(_main(s, d, *_ORDER, "role", *TU.body_columns(), TU.command_column(CONFIG.patterns)))
 
 
 def search_hits(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, "content"), canonical_sessions(s, d), QUERY).drop("seq")
+    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY).drop("seq")
 
 
 def search_time(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, "content"), canonical_sessions(s, d), QUERY, SessionFilter(SINCE, UNTIL)).drop("seq")
+    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY, SessionFilter(SINCE, UNTIL))), canonical_sessions(s, d), QUERY, SessionFilter(SINCE, UNTIL)).drop("seq")
 
 
 def search_wildcard(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, "content"), canonical_sessions(s, d), "the%OLD_handle").drop("seq")
+    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content("the%OLD_handle")), canonical_sessions(s, d), "the%OLD_handle").drop("seq")
 
 
 def search_with_turns(s, d):
-    return SE.search_with_turns(_m(s, d, *_ORDER, "role", "content"), canonical_sessions(s, d), QUERY).select("uuid", "source", "session_id", "turn")
+    return SE.search_with_turns(_m(s, d, *_ORDER, "role", SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY).select("uuid", "source", "session_id", "turn")
 
 
 def search_snippet(s, d):
-    h = SE.search_hits(_m(s, d, *_ORDER, "content"), canonical_sessions(s, d), QUERY)
+    h = SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY)
     return h.select("uuid", T.snippet(F.col("content"), QUERY).alias("snippet"))
 
 
 def search_full(s, d):
-    return SE.search_report(_m(s, d, *_ORDER, "role", "content"), canonical_sessions(s, d), QUERY, CONFIG, SessionFilter(SINCE, ""), TZ).drop("seq", "timestamp")
+    return SE.search_report(_m(s, d, *_ORDER, "role", SE.hit_content(QUERY, SessionFilter(SINCE, ""))), canonical_sessions(s, d), QUERY, CONFIG, SessionFilter(SINCE, ""), TZ).drop("seq", "timestamp")
 
 
 def sessions_full(s, d):
-    return SS.sessions_report(canonical_sessions(s, d), _m(s, d, *_ORDER, "role", "content"), CONFIG, SessionFilter(SINCE, UNTIL), TZ, BOUNDARY, short=True)
+    return SS.sessions_report(canonical_sessions(s, d), _m(s, d, *_ORDER, "role", *TU.body_columns(), TU.command_column(CONFIG.patterns)), CONFIG, SessionFilter(SINCE, UNTIL), TZ, BOUNDARY, short=True)
 
 
 def projects_list(s, d):
@@ -158,7 +163,7 @@ def session_get(s, d):
 
 
 def session_lookup(s, d):
-    return SS.session_lookup(canonical_sessions(s, d), _m(s, d, "source", "session_id", "content", "is_sidechain"), LOOKUP)
+    return SS.session_lookup(canonical_sessions(s, d), _m(s, d, *_sizes()), LOOKUP)
 
 
 def ambiguous_ids(s, d):
@@ -210,7 +215,7 @@ def last_title(s, d):
 
 
 def first_line(s, d):
-    return _m(s, d, "content").select("uuid", T.first_line(F.col("content")).alias("line"))
+    return _m(s, d, T.first_line(F.col("content")).alias("line")).select("uuid", "line")
 
 
 def tsv_sanitize(s, d):

@@ -25,11 +25,16 @@ def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     return slim.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """messages with one row per uuid and normalised session ids (the reference's table)."""
+def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """messages with one row per uuid and normalised session ids (the reference's table).
+
+    columns are names or expressions; expressions are evaluated before the
+    shuffle by uuid, so it can carry a length or a flag in place of a content.
+    """
     m = table(spark, sf_dir, "messages")
     cols = columns or ("source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")
-    keep = [norm_id(F.col(c)).alias(c) if c in ("session_id", "parent_uuid") else F.col(c) for c in cols]
+    ids = ("session_id", "parent_uuid")
+    keep = [c if not isinstance(c, str) else norm_id(F.col(c)).alias(c) if c in ids else F.col(c) for c in cols]
     return first_by_uuid(m, *keep)
 
 

@@ -46,7 +46,7 @@ def append_batch(store: Store, batch: DataFrame) -> int:
     """Append a batch's new messages; their number."""
     fresh = batch.join(store.read("messages").select("uuid"), "uuid", "left_anti").dropDuplicates(["uuid"]).withColumn("_all", F.lit(0))
     base = store.manifest()["next_seq"]
-    n = materialize(running_sum(fresh, ["_all"], F.col("jsonl_path"), ["jsonl_path", "line_number"], F.lit(1), "_n"), "stream-batch")
+    n = materialize(running_sum(fresh.fillna({"jsonl_path": "", "line_number": 0}), ["_all"], F.col("jsonl_path"), ["jsonl_path", "line_number", "uuid"], F.lit(1), "_n"), "stream-batch")
     count = n.count()
     if count:
         rows = n.select((F.col("_n") + (base - 1)).alias("seq"), "uuid", "source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")
