@@ -19,7 +19,7 @@ uuid as its number. Ties can't arise: after that step uuids are unique.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_id
@@ -27,6 +27,11 @@ from ..runtime import materialize, release
 from ..sources.tables import first_by_uuid
 
 
+def _round_counts() -> dict[str, Column]:
+    """What a round's write counts on its way."""
+    return {"new": F.count_if(F.col("done")), "rest": F.count_if(~F.col("done"))}
+
+
 def node_table(rows: DataFrame) -> DataFrame:
     """(v, uuid, a): node number, uuid, parent's number or null for a root."""
     nodes = first_by_uuid(rows, F.nullif(norm_id(F.col("parent_uuid")), F.lit("")).alias("p")).select(
@@ -51,17 +56,18 @@ def resolve(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             (F.col("dist") + F.coalesce("k_dist", F.lit(0))).alias("dist"),
             F.coalesce("k_done", F.lit(True)).alias("done"),  # the ancestor is no child: a root
         )
-        out = materialize(step, "frontier", partition_by=["done"])
+        out = materialize(step, "frontier", partition_by=["done"], counts=_round_counts())
+        found, open_ = out._logloom_counts["new"], out._logloom_counts["rest"]
         new = out.where("done").select("v", F.col("anc").alias("root"), F.col("dist").alias("depth"))
         rest = out.where("not done").select("v", "anc", "dist")
-        if new.isEmpty():
+        if not found:
             release(out)
             return _union(reached, todo), todo.select("v", "anc")
-        if len(reached) == 0:
+        if not reached:
             release(todo)
         reached.append(new)
         todo = rest
-        if rest.isEmpty():
+        if not open_:
             return _union(reached, todo), todo.select("v", "anc")
 
 
@@ -128,10 +134,10 @@ def find_paths(rows: DataFrame) -> DataFrame:
         known = todo.select(F.col("v").alias("k"), F.col("anc").alias("k_anc"), F.col("path").alias("k_path"))
         for d in done:
             known = known.unionByName(d.select(F.col("v").alias("k"), F.col("anc").alias("k_anc"), F.col("path").alias("k_path")))
-        out = materialize(todo.join(known, todo["anc"] == known["k"]).select("v", F.col("k_anc").alias("anc"), F.concat("k_path", "path").alias("path"), F.col("k_anc").isNull().alias("done")), "paths", partition_by=["done"])
-        new = out.where("done").select("v", "anc", "path")
-        if new.isEmpty():
+        out = materialize(todo.join(known, todo["anc"] == known["k"]).select("v", F.col("k_anc").alias("anc"), F.concat("k_path", "path").alias("path"), F.col("k_anc").isNull().alias("done")), "paths", partition_by=["done"], counts=_round_counts())
+        if not out._logloom_counts["new"]:
             break
+        new = out.where("done").select("v", "anc", "path")
         done.append(new)
         todo = out.where("not done").select("v", "anc", "path")
     every = done[0].select("v", "path")

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,9 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 _local = ""
 
 
-def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-    """Write df below the shared folder and read it back (lineage ends here)."""
+def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back (lineage ends here).
+
+    counts are aggregates that the write observes on its way, so that asking
+    for them takes no job of its own; the result has them as ``_logloom_counts``.
+    """
     spark = df.sparkSession
+    seen = Observation() if counts else None
+    if seen:
+        df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
     path = f"{shared_dir(spark).rstrip('/')}/logloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     w = df.write.mode("error").option("compression", "zstd")
     if partition_by:
@@ -64,6 +71,7 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     _written[path] = spark
     out = spark.read.schema(schema).parquet(path)
     out._logloom_path = path
+    out._logloom_counts = seen.get if seen else {}
     return out
 
 
