@@ -28,8 +28,10 @@ a null source has no limit. Texts are read whole whatever their length.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ from ..runtime import materialize
 
 RUN = 4  # tokens of the longest run
 BITMAP_BITS = 1 << 24  # 2 MB
-FLUSH = 400_000  # runs held in a task before they are emitted
+FLUSH = 500_000  # tokens counted at a time
 
 TOKEN = re.compile(r"```|(?<![^\W_])(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{3,}(?![^\W_])|[぀-ヿ一-鿿]|[^\W\d_]+|\d+|\s*\n\s*|[^\S\n]+|.", re.S)
 #: Marks that only a cut leaves, and dots that writers use, too.
@@ -75,27 +77,57 @@ def stops(last: str, n1: str, n2: str) -> bool:
     return n1 in CJK_STOPS or (n1 in STOPS and n2 in (END, " ", "\n"))
 
 
-def ending(text: str) -> tuple[str, list[str]]:
-    """(mark, tokens of the text before it, with BEGIN)."""
+def split_ending(text: str) -> tuple[str, str, bool]:
+    """(mark, text before it without white space at its end, whether one space ended it after a word)."""
     hard = HARD_MARK.search(text)
     soft = None if hard else SOFT_MARK.search(text)
     m = hard or soft
     body = text[: m.start()] if m else text
     kept = body.rstrip()
+    return ("hard" if hard else "soft" if soft else ""), kept, not m and body == kept + " "
+
+
+def ending(text: str) -> tuple[str, list[str]]:
+    """(mark, tokens of the text before it, with BEGIN)."""
+    mark, kept, space = split_ending(text)
     toks = [BEGIN, *tokens(kept)]
     # One space after a word that ends nothing belongs to the ending: the next word was to come.
-    if not m and body == kept + " " and toks[-1] not in STOPS:
+    if space and toks[-1] not in STOPS:
         toks.append(" ")
-    return ("hard" if hard else "soft" if soft else ""), toks
+    return mark, toks
 
 
-def _key(run: tuple[str, ...] | list[str], fragment: bool = False) -> int:
+# A run's hash is a polynomial of its tokens' hashes, mixed with its length: the same for one run in Python
+# and for all runs of a batch in numpy. Constants are odd numbers, the last two those of a public mixer.
+_WORD = (1 << 64) - 1
+_BASE, _LENGTH, _FRAGMENT, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def _token_hash(token: str) -> int:
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(("\x1e" if fragment else "") + "\x1f".join(run))
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
+
+
+def _key(run: tuple[str, ...] | list[str], fragment: bool = False) -> int:
+    g = 0
+    for t in run:
+        g = (g * _BASE + _token_hash(t)) & _WORD
+    h = (g + len(run) * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD
+    h = ((h ^ h >> 33) * _MIX1) & _WORD
+    h = ((h ^ h >> 33) * _MIX2) & _WORD
+    h ^= h >> 33
     return h - (1 << 64) if h >> 63 else h
 
 
+def _mixed(g: np.ndarray, n: int, fragment: bool) -> np.ndarray:
+    """_key() of many runs of n tokens, from their polynomials."""
+    h = g + np.uint64((n * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD)
+    for m in (_MIX1, _MIX2):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
+    return h ^ (h >> np.uint64(33))
+
+
 ENDS_DDL = "tkey binary, size int, mark string, open_block boolean, n_tokens int, sig bigint, own int, runs array<struct<n:int,key:bigint,frag:bigint>>"
 
 
@@ -117,59 +149,137 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+class _Tokens:
+    """Ids of a task's distinct tokens, and per id its hash, kind and the hashes of its beginnings."""
+
+    STOP, CJK, SPACE, LINE = 1, 2, 4, 8
+
+    def __init__(self) -> None:
+        self.raw: dict[str, int] = {}
+        self.ids: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.kinds: list[int] = []
+        self.prefixes: list[np.ndarray] = []
+        self.begin = self.of(BEGIN)
+        self.space = self.of(" ")
+
+    def of(self, token: str) -> int:
+        i = self.ids.get(token)
+        if i is None:
+            i = self.ids[token] = len(self.hashes)
+            self.hashes.append(_token_hash(token))
+            self.kinds.append((token in STOPS) * self.STOP | (token in CJK_STOPS) * self.CJK | (token == " ") * self.SPACE | (token == "\n") * self.LINE)
+            self.prefixes.append(self._beginnings(token) if len(token) > 1 and token.isalpha() else np.zeros(0, np.uint64))
+        return i
+
+    @staticmethod
+    def _beginnings(token: str) -> np.ndarray:
+        import xxhash
+
+        h, out = xxhash.xxh3_64(), []
+        for ch in token[:-1]:  # one pass, however long the token
+            h.update(ch.encode("utf-8", "replace"))
+            out.append(h.intdigest())
+        return np.array(out, dtype=np.uint64)
+
+    def encode(self, text: str) -> array:
+        raw, out = self.raw, array("i", [self.begin])
+        for x in TOKEN.findall(text) if len(text) < 1 << 20 else (m.group() for m in TOKEN.finditer(text)):
+            i = raw.get(x)
+            if i is None:
+                i = self.of(_class(x))
+                if len(x) < 40:
+                    raw[x] = i
+            out.append(i)
+        return out
+
+
+def _sum_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    u, inv = np.unique(keys, return_inverse=True)
+    return (u, *(np.bincount(inv, weights=v, minlength=len(u)).astype(np.int64) for v in values))
+
+
 def _counter(bitmap):
-    mask = BITMAP_BITS - 1
-
-    def wanted(key: int, bits: bytes) -> bool:
-        p = key & mask
-        return bits[p >> 3] >> (p & 7) & 1 == 1
-
-    def emit(acc: dict, total: list[int], bits: bytes) -> pa.RecordBatch:
-        out: dict[int, list[int]] = {}
-        for run, (n, e, x) in acc.items():
-            k = _key(run)
-            if wanted(k, bits):
-                o = out.setdefault(k, [0, 0, 0, 0])
-                o[0] += n
-                o[1] += e
-                o[2] += x
-            w = run[-1]
-            if len(w) > 1 and w.isalpha():
-                head = list(run[:-1])
-                for j in range(1, len(w)):
-                    k = _key([*head, w[:j]], True)
-                    if wanted(k, bits):
-                        out.setdefault(k, [0, 0, 0, 0])[3] += n
-        cols = list(zip(*[(k, *v) for k, v in out.items()])) or [[]] * 5
+    def wanted(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        p = keys & np.uint64(BITMAP_BITS - 1)
+        return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def emit(voc: _Tokens, ids: np.ndarray, pos: np.ndarray, left: np.ndarray, marked: np.ndarray, fresh: np.ndarray, total: tuple[int, int], bits: np.ndarray) -> pa.RecordBatch:
+        """Counts of one stretch. pos: place in the text; left: tokens of the text after this one; fresh: not counted before."""
+        token_hash, kind = np.array(voc.hashes, dtype=np.uint64)[ids], np.array(voc.kinds, dtype=np.uint8)[ids]
+        size = len(ids)
+        after = np.append(kind[1:], 0)
+        after2 = np.append(after[1:], 0)
+        last, end1, end2 = kind, left == 0, left == 1
+        is_ = lambda k, what: (k & what) != 0
+        done = end2 | is_(after2, _Tokens.SPACE | _Tokens.LINE)
+        e = end1 | is_(after, _Tokens.LINE) | is_(last, _Tokens.CJK) | np.where(is_(last, _Tokens.STOP), is_(after, _Tokens.SPACE), is_(after, _Tokens.CJK) | (is_(after, _Tokens.STOP) & done))
+        use = fresh & (pos > 0) & ~(end1 & marked)
+        lens = np.array([len(x) for x in voc.prefixes], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lens)])
+        flat = np.concatenate(voc.prefixes) if voc.prefixes else np.zeros(0, np.uint64)
+        g = np.zeros(size, np.uint64)  # polynomial of the n - 1 tokens before
+        parts: list[tuple[np.ndarray, ...]] = []
+        for n in range(1, RUN + 1):
+            before = g if n == 1 else np.concatenate([np.zeros(1, np.uint64), g[:-1]])
+            g = before * np.uint64(_BASE) + token_hash
+            at = np.flatnonzero(use & (pos >= n - 1))
+            if not len(at):
+                break
+            keys = _mixed(g[at], n, False)
+            hit = wanted(keys, bits)
+            sel = at[hit]
+            zero = np.zeros(len(sel), np.int64)
+            parts.append((keys[hit], np.ones(len(sel), np.int64), e[sel].astype(np.int64), end1[sel].astype(np.int64), zero))
+            # Beginnings of each distinct run's last word, after the words before it.
+            _, first, times = np.unique(keys, return_index=True, return_counts=True)
+            spot = at[first]
+            k = lens[ids[spot]]
+            rep = np.repeat(np.arange(len(spot)), k)
+            inner = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+            frag = _mixed(before[spot][rep] * np.uint64(_BASE) + flat[starts[ids[spot]][rep] + inner], n, True)
+            hit = wanted(frag, bits)
+            zero = np.zeros(int(hit.sum()), np.int64)
+            parts.append((frag[hit], zero, zero, zero, times[rep[hit]]))
+        cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 4
+        key, *sums = _sum_up(*cols)
         # The row without key has the totals: tokens and texts.
-        cols = [[None, *cols[0]], [total[0], *cols[1]], [0, *cols[2]], [total[1], *cols[3]], [0, *cols[4]]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "n", "e", "x", "p"])
+        rows = [[None, *key.view(np.int64).tolist()]] + [[t, *v.tolist()] for t, v in zip((total[0], 0, total[1], 0), sums)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["key", "n", "e", "x", "p"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        acc: dict[tuple, list[int]] = {}
-        total = [0, 0]
+        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        voc = _Tokens()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = texts = 0
+
+        def flush():
+            nonlocal held, size, texts
+            ids, pos, left, marked, fresh = (np.concatenate(c) for c in zip(*held))
+            out = emit(voc, ids, pos, left, marked, fresh, (int(fresh.sum()), texts), bits)
+            held, size, texts = [], 0, 0
+            return out
+
         for b in batches:
             for text in b["text"].to_pylist():
-                mark, toks = ending(text)
-                size = len(toks)
-                total[0] += size
-                total[1] += 1
-                for k in range(1, size - (1 if mark else 0)):
-                    n1 = toks[k + 1] if k + 1 < size else END
-                    e = stops(toks[k], n1, toks[k + 2] if k + 2 < size else END)
-                    x = n1 == END
-                    for n in range(1, min(RUN, k + 1) + 1):
-                        a = acc.get(r := tuple(toks[k - n + 1 : k + 1]))
-                        if a is None:
-                            a = acc[r] = [0, 0, 0]
-                        a[0] += 1
-                        a[1] += e
-                        a[2] += x
-                if len(acc) > FLUSH:
-                    yield emit(acc, total, bits)
-                    acc, total = {}, [0, 0]
-        yield emit(acc, total, bits)
+                if len(voc.hashes) > FLUSH:  # ids of held stretches are the old table's
+                    if held:
+                        yield flush()
+                    voc = _Tokens()
+                mark, kept, space = split_ending(text)
+                ids = np.frombuffer(voc.encode(kept), dtype=np.int32)
+                if space and not voc.kinds[ids[-1]] & _Tokens.STOP:
+                    ids = np.append(ids, np.int32(voc.space))
+                texts += 1
+                for a in range(0, len(ids), FLUSH):  # a longer text in stretches that overlap by a run
+                    lo, hi = max(0, a - RUN + 1), min(len(ids), a + FLUSH + 2)
+                    pos = np.arange(lo, hi)
+                    held.append((ids[lo:hi], pos, len(ids) - 1 - pos, np.full(hi - lo, bool(mark)), (pos >= a) & (pos < a + FLUSH)))
+                    size += hi - lo
+                    if size >= FLUSH:
+                        yield flush()
+        if held or texts:
+            yield flush()
 
     return run
 

@@ -97,3 +97,52 @@ def test_tokens():
     assert X.ending("one two ") == ("", [X.BEGIN, "one", " ", "two", " "])
     assert X.ending("one. ") == ("", [X.BEGIN, "one", "."])
     assert X.ending("[12:30:01]")[0] == ""
+
+
+class Sent:
+    value = b"\xff" * (X.BITMAP_BITS // 8)
+
+
+def brute_counts(texts):
+    out, total = {}, [0, 0]
+
+    def add(k, *v):
+        out[k] = [a + b for a, b in zip(out.get(k, [0, 0, 0, 0]), v)]
+
+    for text in texts:
+        mark, toks = X.ending(text)
+        total = [total[0] + len(toks), total[1] + 1]
+        for k in range(1, len(toks) - (1 if mark else 0)):
+            n1, n2 = (toks[i] if i < len(toks) else X.END for i in (k + 1, k + 2))
+            for n in range(1, min(X.RUN, k + 1) + 1):
+                run = toks[k - n + 1 : k + 1]
+                add(X._key(run), 1, int(X.stops(toks[k], n1, n2)), int(n1 == X.END), 0)
+                for j in range(1, len(run[-1]) if run[-1].isalpha() else 1):
+                    add(X._key([*run[:-1], run[-1][:j]], True), 0, 0, 0, 1)
+    return out, total
+
+
+@pytest.mark.parametrize("flush", [1, 2, 5, 7, 50, 10_000])
+def test_counts_against_brute_force(monkeypatch, flush):
+    import pyarrow as pa
+
+    r = random.Random(flush)
+    texts = [paragraph(r, 3) for _ in range(12)] + [paragraph(r, 2)[:-4], "x", "ok ", "one two ", "次の行を見ます。もし", "a\n\nb\n", "Wait…", "The ca\n[connection closed]", "v1.2 and 9f3ab2c", "日本", "!?!. .", paragraph(r, 12)]
+    monkeypatch.setattr(X, "FLUSH", flush)
+    batches = [pa.RecordBatch.from_pydict({"text": texts[:9]}), pa.RecordBatch.from_pydict({"text": texts[9:]})]
+    got, total = {}, [0, 0]
+    for b in X._counter(Sent)(iter(batches)):
+        for k, *v in zip(*(b[c].to_pylist() for c in ("key", "n", "e", "x", "p"))):
+            if k is None:
+                total = [total[0] + v[0], total[1] + v[2]]
+            else:
+                got[k] = [a + c for a, c in zip(got.get(k, [0, 0, 0, 0]), v)]
+    assert (got, total) == brute_counts(texts)
+
+
+def test_long_words_and_texts_are_counted():
+    import pyarrow as pa
+
+    text = "a" * 200_000 + " b" * 200_000
+    out = list(X._counter(Sent)(iter([pa.RecordBatch.from_pydict({"text": [text]})])))
+    assert sum(b["n"][0].as_py() for b in out) == 400_002
