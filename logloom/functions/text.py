@@ -12,7 +12,7 @@ WHITE_SPACE = (
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: What parts the conversation listings leave out by prefix.
+#: How the rows begin that a cleared or local command leaves behind.
 CLEAR_PREFIXES = ("<command-name>/clear</command-name>", "<local-command-caveat>")
 SNIPPET_CONTEXT = 40
 

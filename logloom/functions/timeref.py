@@ -22,11 +22,11 @@ class UsageError(ValueError):
 def parse_duration(s: str) -> dt.timedelta:
     """30m, 24h, 7d; not negative."""
     if len(s) < 2 or not re.fullmatch(r"[+-]?[0-9]+", s[:-1]):
-        raise UsageError(f"invalid duration: {s!r}")
+        raise UsageError(f"{s!r} is no duration")
     if int(s[:-1]) < 0:
-        raise UsageError(f"invalid duration: {s!r} (negative)")
+        raise UsageError(f"the duration {s!r} is negative")
     if s[-1] not in _UNITS:
-        raise UsageError(f"invalid duration unit {s[-1]!r} in {s!r} (use m, h, or d)")
+        raise UsageError(f"{s!r} ends in none of the units m, h and d")
     return dt.timedelta(seconds=int(s[:-1]) * _UNITS[s[-1]])
 
 
@@ -40,7 +40,7 @@ def parse_time_ref(s: str, now: dt.datetime, tz: dt.tzinfo) -> tuple[dt.datetime
                 return dt.datetime.strptime(s, layout).replace(tzinfo=tz), date_only
             except ValueError:
                 break
-    raise UsageError(f"invalid date: {s!r} (use YYYY-MM-DD or YYYY-MM-DDThh:mm)")
+    raise UsageError(f"{s!r} is neither a date nor a date and time")
 
 
 def parse_day_boundary(s: str) -> dt.timedelta:
@@ -48,7 +48,7 @@ def parse_day_boundary(s: str) -> dt.timedelta:
     if not s:
         return dt.timedelta()
     if not re.fullmatch(r"([01][0-9]|2[0-3]):[0-5][0-9]", s, re.ASCII):
-        raise UsageError(f"invalid dayBoundary {s!r} (use HH:MM)")
+        raise UsageError(f"the day boundary {s!r} is no time of day like 04:00")
     return dt.timedelta(hours=int(s[:2]), minutes=int(s[3:]))
 
 

@@ -46,5 +46,5 @@ def build_filter(since: str, until: str, project: str, config: Config, tz: dt.tz
     lo = resolve_bound(since, now, False, tz, boundary) if since else ""
     hi = resolve_bound(until, now, True, tz, boundary) if until else ""
     if lo and hi and lo >= hi:
-        raise UsageError("--since must be before --until")
+        raise UsageError("--since has to come before --until")
     return SessionFilter(lo, hi, config.expand_project(project))

@@ -27,11 +27,15 @@ def search_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Ses
 
 
 def search_with_turns(messages: DataFrame, sessions: DataFrame, query: str, where: SessionFilter | None = None) -> DataFrame:
-    """Hits with their turn. Turns are counted over all main messages of the hits' sessions, without content."""
-    hits = search_hits(messages, sessions, query, where)
-    slim = main_messages(messages).select("uuid", "seq", *KEYS, "timestamp", "role")
-    turns = with_turns(slim.join(hits.select(*KEYS).distinct(), KEYS, "left_semi")).select("uuid", "turn")
-    return hits.join(turns, "uuid")
+    """Hits with their turn.
+
+    Turns are counted over all main messages, so contents are filtered only
+    after them; until then rows carry the content of possible hits alone.
+    """
+    where = where or SessionFilter()
+    main = main_messages(messages).select("uuid", "seq", *KEYS, "timestamp", "role", "is_sidechain", hit_content(query, where))
+    s = sessions.select(*KEYS, F.coalesce("repo_path", F.lit("")).alias("repo_path")).where(where.project())
+    return with_turns(main).where("content is not null").join(s, KEYS).select(*KEYS, "uuid", "seq", "repo_path", "timestamp", "content", "turn")
 
 
 def search_report(messages: DataFrame, sessions: DataFrame, query: str, config: Config, where: SessionFilter | None, tz: str) -> DataFrame:

@@ -67,10 +67,10 @@ def parse_turn_range(s: str) -> tuple[int, int]:
     """'N' or 'N..M', from 1, not reversed."""
     m = re.fullmatch(r"([0-9]+)(?:\.\.([0-9]+))?", s, re.ASCII)
     if not m:
-        raise UsageError(f"invalid turn range: {s!r} (use N or N..M)")
+        raise UsageError(f"{s!r} is no turn and no range of turns like 2..5")
     lo, hi = int(m[1]), int(m[2] or m[1])
     if lo < 1 or hi < lo:
-        raise UsageError(f"invalid turn range: {s!r} (use N or N..M)")
+        raise UsageError(f"{s!r} is no turn and no range of turns like 2..5")
     return lo, hi
 
 
@@ -83,7 +83,7 @@ def tail_turns(messages: DataFrame, n: int) -> DataFrame:
 def first_user_messages(messages: DataFrame, n: int, include_clear: bool = False) -> DataFrame:
     """The first n user messages of each session (top-k per group: cut before the shuffle, too)."""
     if n <= 0:
-        raise UsageError("limit must be >= 1")
+        raise UsageError("a summary has 1 message at least")
     rows = messages.where("role = 'user'")
     if not include_clear:
         rows = rows.where(not_synthetic(F.col("content")))

@@ -50,9 +50,9 @@ def check_pattern(p: str) -> str:
     try:
         re.compile(p)
     except re.error as e:
-        raise UsageError(f"invalid commandPatterns pattern {p!r}: {e}") from e
+        raise UsageError(f"the command pattern {p!r} can't be read: {e}") from e
     if _REFUSED.search(p):
-        raise UsageError(f"invalid commandPatterns pattern {p!r}: construct not supported")
+        raise UsageError(f"the command pattern {p!r} needs more than a linear-time regex")
     return p
 
 
@@ -64,7 +64,7 @@ def load_config(path: str) -> Config:
     except FileNotFoundError:
         return Config()
     except OSError as e:
-        raise UsageError(f"read config: {e}") from e
+        raise UsageError(f"the config can't be read: {e}") from e
     try:
         d = json.loads(raw)
         if not isinstance(d, dict):
@@ -77,4 +77,4 @@ def load_config(path: str) -> Config:
         parse_day_boundary(boundary)
         return Config(aliases, tuple(check_pattern(p) for p in patterns), boundary)
     except (json.JSONDecodeError, AttributeError, UsageError) as e:
-        raise UsageError(f"parse config {path}: {e}") from e
+        raise UsageError(f"the config {path} is wrong: {e}") from e

@@ -57,7 +57,7 @@ def chosen_sources(name: str) -> list[str]:
     if name in ("", "all"):
         return list(SOURCES.values())
     if name not in SOURCES:
-        raise UsageError(f"invalid --source {name!r} (want all, {', or '.join(SOURCES)})")
+        raise UsageError(f"--source {name!r} is none of all, {', '.join(SOURCES)}")
     return [SOURCES[name]]
 
 

@@ -225,7 +225,7 @@ def test_cli(w):
     assert len(json.loads(w.cli("show", "--since", "2026-03-28", "--summary", "1", "--format", "json")[1])) == 2
     assert w.cli("show", "--since", "2030-01-01")[1] == "" and w.cli("show", "--since", "2030-01-01", "--format", "json")[1] == "[]\n"
     assert w.cli("show", "sess-1", "--turn", "9")[1].count("###") == 0
-    assert w.cli("show", "nope") == (1, "", "error: session not found: nope\n")
+    assert w.cli("show", "nope") == (1, "", "error: no session has the id nope\n")
     assert "\n---\n\n## " in w.cli("show", "--since", "2026-03-28")[1]
     assert w.cli("backfill")[:2] == (0, "Backfilled: deleted=0 resolved=0 unresolved=0\n")
     for bad in (["sessions", "--format", "xml"], ["show"], ["sessions", "--since", "2026-03-29", "--until", "2026-03-28"], ["import", "--full"], ["import", "--source", "x"], ["outline"], ["search", ""], ["sessions", "--day-boundary", "9"], ["nonsense"]):
@@ -240,7 +240,7 @@ def test_ambiguous_id(w):
     w.put(w.b / "r.jsonl", b_meta("same"), b_item("user", "x"))
     w.load()
     code, out, err = w.cli("show", "same")
-    assert (code, out) == (1, "") and err == 'error: session id "same" is ambiguous; matched multiple sources:\n  claude_code\tsame\n  codex\tsame\n'
+    assert (code, out) == (1, "") and err == 'error: session id "same" belongs to several sources:\n  claude_code\tsame\n  codex\tsame\n'
 
 
 @pytest.mark.parametrize("argv", [
