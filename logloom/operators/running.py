@@ -1,4 +1,4 @@
-"""Running totals per key that never put a hot key into one task.
+"""Running totals and running last values per key that never put a hot key into one task.
 
 A key's rows are cut into segments that follow its order (an hour of a
 session, a prefix of a time string). The running sum inside a segment is a
@@ -28,3 +28,17 @@ def running_sum(rows: DataFrame, keys: list[str], segment: Column, order: list[s
     offsets = totals.select(*keys, "_seg", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     joined = cut.withColumn("_sum", F.sum("_val").over(inner)).join(offsets, [*keys, "_seg"])
     return joined.withColumn(name, F.col("_sum") + F.col("_before")).drop("_seg", "_val", "_sum", "_before")
+
+
+def running_last(rows: DataFrame, keys: list[str], segment: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``: the last value that isn't null in the rows of the same keys up to and including this one.
+
+    The rules of running_sum hold for keys, segment and order.
+    """
+    cut = rows.withColumn("_seg", segment).withColumn("_val", value)
+    inner = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(*keys, "_seg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.struct(*order))).alias("_end"))
+    carried = ends.select(*keys, "_seg", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    joined = cut.withColumn("_own", F.last("_val", ignorenulls=True).over(inner)).join(carried, [*keys, "_seg"])
+    return joined.withColumn(name, F.coalesce("_own", "_before")).drop("_seg", "_val", "_own", "_before")

@@ -194,14 +194,11 @@ def derived_uuid(s, d):
 
 def forward_fill(s, d):
     """The session that each dialect-B line belongs to: the last session_meta before it in its file."""
-    from pyspark.sql import Window
+    from ..sources.dialects import parse_lines, session_in_force
 
-    from ..sources.dialects import parse_lines
-
-    raw = table(s, d, "raw_records").where((F.col("source") == "codex") & ~T.is_blank(F.col("line")))
+    raw = table(s, d, "raw_records").where((F.col("source") == "codex") & ~T.is_blank(F.col("line"))).fillna("", ["jsonl_path"])
     p = parse_lines(raw.select("record_id", "source", "jsonl_path", "line_number", "line"))
-    w = Window.partitionBy("jsonl_path").orderBy("line_number", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select("record_id", F.last(F.when(F.col("kind") == "meta", F.col("session_id")), ignorenulls=True).over(w).alias("session_id"))
+    return session_in_force(p, "in_force", F.col("session_id"), ["line_number", "record_id"]).select("record_id", F.col("in_force").alias("session_id"))
 
 
 def last_title(s, d):

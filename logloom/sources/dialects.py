@@ -2,7 +2,7 @@
 
 A line is judged on its own first (one Arrow pass); what depends on lines
 before it, the session a dialect-B message belongs to, is a forward fill over
-the file's lines. Fields of the wrong JSON type make a line unparsed; unknown
+the file's lines, in stretches, so that a file may hold a third of all lines. Fields of the wrong JSON type make a line unparsed; unknown
 fields don't matter. Field names match without case, as in the logs' own
 readers.
 """
@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import derived_uuid, is_blank, worktree_root
+from ..operators.running import running_last
 from .strict_json import WHITE_SPACE, parse
 
 A, B = "claude_code", "codex"
@@ -156,17 +157,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, f"{ddl}, {PARSED_DDL}")
 
 
+SEGMENT = 4096  # lines of a file that one window sees
+
+
+def session_in_force(parsed: DataFrame, name: str, value: Column, order: list[str]) -> DataFrame:
+    """Add ``name``: value of the last dialect-B session line of the file at or before each line."""
+    meta = F.when((F.col("source") == B) & (F.col("kind") == "meta"), value)
+    stretch = F.floor(F.coalesce("line_number", F.lit(0)) / F.lit(SEGMENT))
+    return running_last(parsed, ["source", "jsonl_path"], stretch, order, meta, name)
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Parsed lines with ``outcome`` (body, unparsed, ignored, meta, title, agent) and, for bodies, the row's fields.
 
-    lines: source, jsonl_path, line_number, line and any others. A file is one
-    session's log and is read as one value, so the fill over its lines is
-    bounded by what one task has read anyway.
+    lines: source, jsonl_path, line_number, line and any others; a null source
+    or path counts as ''. The fill runs in stretches of a file's lines.
     """
-    parsed = parse_lines(lines)
-    w = Window.partitionBy("source", "jsonl_path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    meta = F.last(F.when(F.col("kind") == "meta", F.struct("session_id", "cwd", "git_branch", "version", "timestamp")), ignorenulls=True).over(w)
-    p = parsed.withColumn("_m", F.when(F.col("source") == B, meta))
+    parsed = parse_lines(lines.fillna("", ["source", "jsonl_path"]))
+    p = session_in_force(parsed, "_m", F.struct("session_id", "cwd", "git_branch", "version", "timestamp"), ["line_number"])
     is_b = F.col("source") == B
     body = F.col("kind") == "body"
     outcome = (
