@@ -16,26 +16,22 @@ from .turns import KEYS, body_columns, command_column, noncommand_aggregates
 ROW = ["source", "session_id", "cwd", "repo_path", "started_at", "ended_at", "custom_title", "message_count", "body_size"]
 
 
-def list_sessions(sessions: DataFrame, messages: DataFrame, where: SessionFilter | Column | None = None) -> DataFrame:
+def list_sessions(sessions: DataFrame, messages: DataFrame, where: SessionFilter | Column | None = None, more: list[Column] | None = None) -> DataFrame:
     """Session rows with message count (sidechains included) and bytes of main messages.
 
     Messages are aggregated before the join, so wide session rows are not
-    repeated; sessions without messages stay.
+    repeated; sessions without messages stay. more are further aggregates over
+    a session's messages.
     """
-    return _rows(sessions, messages, where, [])[0]
-
-
-def _rows(sessions: DataFrame, messages: DataFrame, where: SessionFilter | Column | None, more: list[Column]) -> tuple[DataFrame, DataFrame]:
     s = sessions
     if where is not None:
         s = s.where(where.sessions() if isinstance(where, SessionFilter) else where)
     size = F.col("bytes") if "bytes" in messages.columns else F.octet_length("content")
-    per = messages.groupBy(*KEYS).agg(F.count("uuid").alias("message_count"), F.sum(F.when(~F.col("is_sidechain"), size)).alias("body_size"), *more)
+    per = messages.groupBy(*KEYS).agg(F.count("uuid").alias("message_count"), F.sum(F.when(~F.col("is_sidechain"), size)).alias("body_size"), *(more or []))
+    added = [c for c in per.columns if c not in (*KEYS, "message_count", "body_size")]
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    joined = s.join(per, KEYS, "left")
-    cols = [*KEYS, *map(blank, ["cwd", "repo_path", "started_at", "ended_at", "custom_title"]), zero("message_count"), zero("body_size")]
-    return joined.select(*cols), joined.select(*cols, *([zero("noncommand_turns"), blank("first_noncommand_line")] if more else []))
+    return s.join(per, KEYS, "left").select(*KEYS, *map(blank, ["cwd", "repo_path", "started_at", "ended_at", "custom_title"]), zero("message_count"), zero("body_size"), *added)
 
 
 def sessions_report(sessions: DataFrame, messages: DataFrame, config: Config, where: SessionFilter | None, tz: str, boundary: dt.timedelta = dt.timedelta(), short: bool = False) -> DataFrame:
@@ -49,14 +45,14 @@ def sessions_report(sessions: DataFrame, messages: DataFrame, config: Config, wh
     if "command" not in m.columns:
         m = m.select("uuid", *KEYS, "timestamp", "seq", "role", "is_sidechain", *body_columns(), command_column(config.patterns))
     m = m.withColumn("command", F.col("command") | F.col("is_sidechain"))
-    _, rows = _rows(sessions, m, where, noncommand_aggregates())
+    rows = list_sessions(sessions, m, where, noncommand_aggregates())
     return rows.select(
         *ROW,
         config.display(F.col("repo_path"), short).alias("project"),
         time_range(F.col("started_at"), F.col("ended_at"), tz).alias("time_range"),
         logical_day(F.col("started_at"), F.col("ended_at"), tz, boundary).alias("logical_day"),
-        "noncommand_turns",
-        "first_noncommand_line",
+        F.coalesce("noncommand_turns", F.lit(0)).cast("bigint").alias("noncommand_turns"),
+        F.coalesce("first_noncommand_line", F.lit("")).alias("first_noncommand_line"),
     )
 
 

@@ -167,8 +167,9 @@ def session_lookup(s, d):
 
 
 def ambiguous_ids(s, d):
-    """Ids cut to two characters stand for ids that several sources share."""
-    return SS.ambiguous_ids(canonical_sessions(s, d).withColumn("session_id", F.substring("session_id", 1, 2)))
+    """Ids that more than one source uses, in sessions or messages."""
+    keys = _m(s, d, "source", "session_id").where("session_id <> '' and source <> ''").select("source", "session_id")
+    return SS.ambiguous_ids(canonical_sessions(s, d).select("source", "session_id").unionByName(keys))
 
 
 def orphan_sessions(s, d):

@@ -143,7 +143,8 @@ SQL = {
     "project_display": W_S + f"select source, session_id, coalesce(alias, repo_path) as project, coalesce(alias, base) as short_project from {DISPLAY}",
     "session_get": W_ALL + LIST + f" where s.session_id = '{LOOKUP}' and s.source = 'codex'" + BY,
     "session_lookup": W_ALL + LIST + f" where s.session_id = '{LOOKUP}'" + BY,
-    "ambiguous_ids": W_S + "select substr(session_id, 1, 2) as session_id, count(distinct source) as n_sources from sess group by 1 having count(distinct source) > 1",
+    "ambiguous_ids": W_ALL + """select session_id, count(distinct source) as n_sources from (select source, session_id from sess union all
+      select source, session_id from first_rows where session_id <> '' and source <> '') group by 1 having count(distinct source) > 1""",
     "orphan_sessions": W_ALL + "select source, session_id from sess s where not exists (select 1 from first_rows m where m.source = s.source and m.session_id = s.session_id)",
     "orphan_count": W_ALL + "select count(*) as orphans from sess s where not exists (select 1 from first_rows m where m.source = s.source and m.session_id = s.session_id)",
     "backfill_targets": W_ALL + """select source, session_id, cwd, string_split(cwd, '/.claude/worktrees/')[1] as resolved from sess s where repo_path is null and cwd <> ''
