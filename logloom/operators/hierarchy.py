@@ -117,48 +117,53 @@ def find_hierarchy(rows: DataFrame) -> DataFrame:
     return tree.unionByName(loose)
 
 
-def find_paths(rows: DataFrame) -> DataFrame:
-    """(uuid, root_uuid, node_depth, path) of every node that ends at a root, roots included.
+def path_table(nodes: DataFrame, label: str) -> DataFrame:
+    """(v, path) of every node that ends at a root, roots included; path has the labels from the root to the node.
 
-    path holds the uuids from the root to the node. Each round glues the path of
-    a node's ancestor pair before its own, so paths double in length per round.
+    Each round glues the path of a node's ancestor pair before its own, so
+    paths double in length per round. nodes: v, a and the label.
     """
-    base = node_table(rows)
-    nodes = materialize(base, "nodes")
-    names = nodes.select("v", "uuid")
-    todo = nodes.where("a is not null").select("v", F.col("a").alias("anc"), F.array("uuid").alias("path"))
-    roots = nodes.where("a is null").select("v", F.lit(None).cast("bigint").alias("anc"), F.array("uuid").alias("path"))
-    done = [materialize(roots, "paths")]
-    todo = materialize(todo, "paths")
+    todo = materialize(nodes.where("a is not null").select("v", F.col("a").alias("anc"), F.array(label).alias("path")), "paths")
+    done = [materialize(nodes.where("a is null").select("v", F.lit(None).cast("bigint").alias("anc"), F.array(label).alias("path")), "paths")]
     while True:
         known = todo.select(F.col("v").alias("k"), F.col("anc").alias("k_anc"), F.col("path").alias("k_path"))
         for d in done:
             known = known.unionByName(d.select(F.col("v").alias("k"), F.col("anc").alias("k_anc"), F.col("path").alias("k_path")))
-        out = materialize(todo.join(known, todo["anc"] == known["k"]).select("v", F.col("k_anc").alias("anc"), F.concat("k_path", "path").alias("path"), F.col("k_anc").isNull().alias("done")), "paths", partition_by=["done"], counts=_round_counts())
+        step = todo.join(known, todo["anc"] == known["k"]).select("v", F.col("k_anc").alias("anc"), F.concat("k_path", "path").alias("path"), F.col("k_anc").isNull().alias("done"))
+        out = materialize(step, "paths", partition_by=["done"], counts=_round_counts())
         if not out._logloom_counts["new"]:
+            release(out)
             break
-        new = out.where("done").select("v", "anc", "path")
-        done.append(new)
+        done.append(out.where("done").select("v", "anc", "path"))
+        if len(done) == 2:
+            release(todo)
         todo = out.where("not done").select("v", "anc", "path")
     every = done[0].select("v", "path")
     for d in done[1:]:
         every = every.unionByName(d.select("v", "path"))
-    return every.join(names, "v").select(
-        "uuid", F.col("path")[0].alias("root_uuid"), (F.size("path") - 1).cast("bigint").alias("node_depth"), "path"
-    )
+    return every
+
+
+def find_paths(rows: DataFrame) -> DataFrame:
+    """(uuid, root_uuid, node_depth, path) of every node that ends at a root; path holds uuids."""
+    p = path_table(materialize(node_table(rows), "nodes"), "uuid")
+    return p.select(F.element_at("path", -1).alias("uuid"), F.col("path")[0].alias("root_uuid"), (F.size("path") - 1).cast("bigint").alias("node_depth"), "path")
 
 
 def ancestor_pairs(paths: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every node and each node above it."""
-    return paths.select(F.col("uuid").alias("descendant"), "node_depth", F.posexplode("path").alias("pos", "ancestor")).where("pos < node_depth").select(
-        "ancestor", "descendant", (F.col("node_depth") - F.col("pos")).alias("distance")
-    )
+    """(ancestor, descendant, distance) for every node and each node above it, as node numbers. paths: v, path of v."""
+    depth = F.size("path") - 1
+    up = paths.select(F.col("v").alias("descendant"), depth.alias("_depth"), F.posexplode("path").alias("pos", "ancestor"))
+    return up.where("pos < _depth").select("ancestor", "descendant", (F.col("_depth") - F.col("pos")).alias("distance"))
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """(uuid, n_children, n_descendants, height) of every node on a tree."""
-    below = ancestor_pairs(paths).groupBy(F.col("ancestor").alias("uuid")).agg(
+def descendants(rows: DataFrame) -> DataFrame:
+    """(uuid, n_children, n_descendants, height) of every node on a tree, by its ancestor pairs."""
+    nodes = materialize(node_table(rows), "nodes")
+    paths = path_table(nodes, "v")
+    below = ancestor_pairs(paths).groupBy(F.col("ancestor").alias("v")).agg(
         F.count_if(F.col("distance") == 1).alias("n_children"), F.count("*").alias("n_descendants"), F.max("distance").alias("height")
     )
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return paths.select("uuid").join(below, "uuid", "left").select("uuid", z("n_children"), z("n_descendants"), z("height"))
+    on_tree = paths.select("v").join(below, "v", "left")
+    return on_tree.join(nodes.select("v", "uuid"), "v").select("uuid", z("n_children"), z("n_descendants"), z("height"))

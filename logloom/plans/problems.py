@@ -37,7 +37,7 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.find_paths(table(spark, d, "messages")))
+    return hierarchy.descendants(table(spark, d, "messages"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -122,7 +122,7 @@ def test_hierarchy_odd_rows(spark):
 
 def test_descendants(spark):
     m = messages(spark, [(1, "r", "x", "s", None, T0), (2, "a", "x", "s", "r", T0), (3, "b", "x", "s", "r", T0), (4, "c", "x", "s", "a", T0)])
-    got = {x.uuid: tuple(x)[1:] for x in hierarchy.descendants(hierarchy.find_paths(m)).collect()}
+    got = {x.uuid: tuple(x)[1:] for x in hierarchy.descendants(m).collect()}
     assert got == {"r": (2, 3, 2), "a": (1, 1, 1), "b": (0, 0, 0), "c": (0, 0, 0)}
 
 
