@@ -261,6 +261,13 @@ def test_drift_per_file_and_unified(spark):
     assert [r.fields["payload.id"] for r in rows] == ["x", "y", "z"] and rows[1].other == {"payload.more": "1"}
 
 
+def test_unify_keeps_places_in_arrays(spark):
+    got, u = changes(spark, ['{"type":"m","payload":{"id":"x","items":[{"c":"1"},{"c":"2"}]}}'])
+    assert got == {("renamed", "payload.items[].a", "payload.items[].c")}
+    f = u.first().fields
+    assert (f["payload.items[0].a"], f["payload.items[1].a"]) == ("1", "2") and u.first().other == {}
+
+
 def test_matching_is_one_to_one():
     listed = {"id": (("string",), True), "role": (("string",), True)}
     fields = {"ident": (3, {"string"}, 0.0), "rolle": (3, {"string"}, 0.0)}
