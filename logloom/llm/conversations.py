@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, norm_id, utrim
 from ..functions.times import rfc3339_micros
 from ..operators.running import running_sum
+from ..runtime import materialize
 
 ROLES = ("user", "assistant", "system")
 
@@ -81,12 +82,17 @@ def find_dropped(messages: DataFrame) -> DataFrame:
     return validate(fold_turns(messages)).where("drop_reason is not null")
 
 
+def survivors(messages: DataFrame) -> DataFrame:
+    """(source, session_id) of the conversations that aren't dropped: written once, as several joins read it."""
+    return materialize(validate(fold_turns(messages)).where("drop_reason is null").select("source", "session_id"), "conversations")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """Ordered turns of the surviving conversations: source, session_id, turn_no, uuid, role, us, content.
 
     Rows without content are no turns; turn_no counts from 1.
     """
-    keep = validate(fold_turns(messages)).where("drop_reason is null").select("source", "session_id")
+    keep = survivors(messages)
     turns = fold_turns(messages, F.col("content")).where("filled").join(keep, ["source", "session_id"], "left_semi")
     hour = F.floor(F.col("us") / F.lit(3_600_000_000))
     return running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no").select(
@@ -96,7 +102,7 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def conversation_sizes(messages: DataFrame) -> DataFrame:
     """One row per surviving conversation: turns by role, characters, first and last time."""
-    keep = validate(fold_turns(messages)).where("drop_reason is null").select("source", "session_id")
+    keep = survivors(messages)
     t = fold_turns(messages, F.char_length("content").alias("chars")).where("filled").join(keep, ["source", "session_id"], "left_semi")
     return t.groupBy("source", "session_id").agg(
         F.count("*").alias("n_turns"),
