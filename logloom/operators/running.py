@@ -14,17 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(rows: DataFrame, keys: list[str], segment: Column, order: list[str], value: Column, name: str) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], segment: Column, order: list[str], value: Column, name: str, only: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the sum of value over the rows of the same keys up to and including this one.
 
     segment must not decrease in the given order; keys and segment must not be
     null (a plain equality lets the join use the window's partitioning). order
-    must be total within the keys for a deterministic result.
+    must be total within the keys for a deterministic result. only (unique
+    keys) leaves out the rows of all other keys: it meets the segment totals,
+    never the rows, so a hot key isn't gathered to be filtered.
     """
     cut = rows.withColumn("_seg", segment).withColumn("_val", value.cast("bigint"))
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_seg").agg(F.sum("_val").alias("_total"))
+    if only is not None:
+        totals = totals.join(only.select(*keys), keys, "left_semi")
     offsets = totals.select(*keys, "_seg", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     joined = cut.withColumn("_sum", F.sum("_val").over(inner)).join(offsets, [*keys, "_seg"])
     return joined.withColumn(name, F.col("_sum") + F.col("_before")).drop("_seg", "_val", "_sum", "_before")

@@ -265,8 +265,7 @@ def show_bulk(s, d):
     """Main messages of the sessions that started in the range, with their turn."""
     f = SessionFilter(SINCE, UNTIL, CONFIG.expand_project("keeper"))
     keys = canonical_sessions(s, d).where(f.sessions()).select("source", "session_id")
-    m = _main(s, d, *_ORDER, "role", "content").join(keys, ["source", "session_id"], "left_semi")
-    return TU.with_turns(m).select("uuid", "source", "session_id", "turn", "role", "content")
+    return TU.with_turns(_main(s, d, *_ORDER, "role", "content"), keys).select("uuid", "source", "session_id", "turn", "role", "content")
 
 
 def parse_outcomes(s, d):

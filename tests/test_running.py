@@ -19,4 +19,6 @@ def test_against_plain_loops(spark, seed, width):
         last[k] = v if v is not None else last.get(k)
         want[o] = (sums[k], last[k])
     assert {t.o: (t.total, t.seen) for t in got.collect()} == want
+    kept = running_sum(df, ["k"], seg, ["o"], F.col("x"), "total", only=spark.createDataFrame([("b", 1)], "k string, other int"))
+    assert {t.o: t.total for t in kept.collect()} == {o: want[o][0] for k, o, _, _ in rows if k == "b"}
     assert got.columns == ["k", "o", "x", "v", "total", "seen"]
