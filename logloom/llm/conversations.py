@@ -93,9 +93,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     Rows without content are no turns; turn_no counts from 1.
     """
     keep = survivors(messages)
-    turns = fold_turns(messages, F.col("content")).where("filled").join(keep, ["source", "session_id"], "left_semi")
+    turns = fold_turns(messages, F.col("content")).where("filled")
     hour = F.floor(F.col("us") / F.lit(3_600_000_000))
-    return running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no").select(
+    return running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no", only=keep).select(
         "source", "session_id", "turn_no", "uuid", "role", "us", "content"
     )
 
@@ -103,8 +103,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 def conversation_sizes(messages: DataFrame) -> DataFrame:
     """One row per surviving conversation: turns by role, characters, first and last time."""
     keep = survivors(messages)
-    t = fold_turns(messages, F.char_length("content").alias("chars")).where("filled").join(keep, ["source", "session_id"], "left_semi")
-    return t.groupBy("source", "session_id").agg(
+    t = fold_turns(messages, F.char_length("content").alias("chars")).where("filled")
+    sizes = t.groupBy("source", "session_id").agg(
         F.count("*").alias("n_turns"),
         F.count_if(F.col("role") == "user").alias("n_user"),
         F.count_if(F.col("role") == "assistant").alias("n_assistant"),
@@ -112,3 +112,4 @@ def conversation_sizes(messages: DataFrame) -> DataFrame:
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
     )
+    return sizes.join(keep, ["source", "session_id"], "left_semi")
