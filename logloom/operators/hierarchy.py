@@ -151,12 +151,28 @@ def find_paths(rows: DataFrame) -> DataFrame:
 
 
 def ancestor_pairs(paths: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every node and each node above it, as node numbers. paths: v, path of v."""
+    """(ancestor, descendant, distance) for every node and each node above it, ancestors as node numbers. paths: v, path of v in node numbers."""
     depth = F.size("path") - 1
     up = paths.select(F.col("v").alias("descendant"), depth.alias("_depth"), F.posexplode("path").alias("pos", "ancestor"))
     return up.where("pos < _depth").select("ancestor", "descendant", (F.col("_depth") - F.col("pos")).alias("distance"))
 
 
+def descendant_pairs(rows: DataFrame) -> DataFrame:
+    """(uuid, descendant_uuid, distance) for every node and each node below it.
+
+    Paths are of node numbers. A path gets its node's uuid before it is
+    exploded, so the pairs, many times more than nodes, are shuffled once.
+    """
+    nodes = materialize(node_table(rows), "nodes")
+    names = nodes.select("v", "uuid")
+    named = path_table(nodes, "v").where(F.size("path") > 1).join(names, "v").select(F.col("uuid").alias("v"), "path")
+    return (
+        ancestor_pairs(named)
+        .join(names.withColumnRenamed("v", "ancestor"), "ancestor")
+        .select("uuid", F.col("descendant").alias("descendant_uuid"), F.col("distance").cast("bigint").alias("distance"))
+    )
+
+
 def descendants(rows: DataFrame) -> DataFrame:
     """(uuid, n_children, n_descendants, height) of every node on a tree, by its ancestor pairs."""
     nodes = materialize(node_table(rows), "nodes")

@@ -36,6 +36,10 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.select("uuid", "root_uuid", "node_depth", F.array_join("path", "/").alias("path"))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendant_pairs(table(spark, d, "messages"))
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "messages"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
+    "p3_pairs": p3_pairs,
     "p3_descendants": p3_descendants,
     "p4_found": p4_found,
     "p4_nodes": p4_nodes,

@@ -60,6 +60,14 @@ walk(uuid, root_uuid, node_depth, path) as (
   select uuid, uuid, 0::bigint, uuid from e where parent is null
   union all select e.uuid, w.root_uuid, w.node_depth + 1, w.path || '/' || e.uuid from e join walk w on e.parent = w.uuid)
 """
+P3_PAIRS = f"""with recursive {FIRST},
+n as (select uuid, nullif(parent_uuid, '') as p from first_rows),
+e as (select n.uuid, q.uuid as parent from n left join n q on q.uuid = n.p),
+walk(uuid) as (select uuid from e where parent is null union all select e.uuid from e join walk w on e.parent = w.uuid),
+pairs(uuid, descendant_uuid, distance) as (
+  select parent, uuid, 1::bigint from e where parent is not null and uuid in (select uuid from walk)
+  union all select e.parent, d.descendant_uuid, d.distance + 1 from pairs d join e on e.uuid = d.uuid where e.parent is not null)
+select uuid, descendant_uuid, distance from pairs"""
 P3_DESC = P3_PATHS + """, up as (select uuid, unnest(string_split(path, '/')) as anc, unnest(range(node_depth + 1)) as pos, node_depth from walk),
 below as (select anc, count(*) filter (node_depth - pos = 1) as c, count(*) as n, max(node_depth - pos) as h from up where pos < node_depth group by 1)
 select w.uuid, coalesce(c, 0)::bigint as n_children, coalesce(n, 0)::bigint as n_descendants, coalesce(h, 0)::bigint as height from walk w left join below on anc = w.uuid"""
@@ -80,6 +88,7 @@ SQL = {
     "p1_rates": f"select from_table, source, orphan_kind, loaded_month, count(*) as orphans from ({P1}) group by all",
     "p3_found": P3,
     "p3_paths": P3_PATHS + "select uuid, root_uuid, node_depth, path from walk",
+    "p3_pairs": P3_PAIRS,
     "p3_descendants": P3_DESC,
     "p6_found": P6,
 }

@@ -126,6 +126,24 @@ def test_descendants(spark):
     assert got == {"r": (2, 3, 2), "a": (1, 1, 1), "b": (0, 0, 0), "c": (0, 0, 0)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_descendant_pairs_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(120)]
+    par = {x: names[i - 1] if seed == 0 and i else r.choice([*names, None, None, "", "lost"]) if seed else None for i, x in enumerate(names)}
+    m = messages(spark, [(i, u.upper() + " ", "a", "s", p, T0) for i, (u, p) in enumerate(par.items())] + [(200, "n5", "a", "s", "n9", T0)])
+    loose = {u for u, v in brute_tree(par).items() if v[2] != "tree"}
+    want = set()
+    for u in set(par) - loose:
+        x, n = par[u], 1
+        while x in par:
+            want.add((x, u, n))
+            x, n = par[x], n + 1
+    got = hierarchy.descendant_pairs(m).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert hierarchy.descendant_pairs(m.limit(0)).count() == 0
+
+
 def brute_spans(rows):
     out = set()
     by = {}
