@@ -43,7 +43,9 @@ RUN = 4  # tokens of the longest run
 BITMAP_BITS = 1 << 24  # 2 MB
 FLUSH = 500_000  # tokens counted at a time
 
-TOKEN = re.compile(r"```|(?<![^\W_])(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{3,}(?![^\W_])|[぀-ヿ一-鿿]|[^\W\d_]+|\d+|\s*\n\s*|[^\S\n]+|.", re.S)
+#: Written without spaces: each character is a token, and none is part of a word or hash.
+CJK = "々-〇぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ𠀀-𳑿"
+TOKEN = re.compile(rf"```|(?<![^\W_{CJK}])(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{{3,}}(?![^\W_{CJK}])|[{CJK}]|[^\W\d_{CJK}]+|\d+|\s*\n\s*|[^\S\n]+|.", re.S)
 #: Marks that only a cut leaves, and dots that writers use, too.
 HARD_MARK = re.compile(r"\s*(?:\[(?=[^\[\]\n]*[A-Za-z]{3})[^\[\]\n]{3,40}\]|<[a-z ]{2,20}>|-- [^\n]{3,40} --|�)\s*\Z")
 SOFT_MARK = re.compile(r"\s*(?:\.\.\.|…)\s*\Z")

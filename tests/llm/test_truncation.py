@@ -99,6 +99,18 @@ def test_tokens():
     assert X.ending("[12:30:01]")[0] == ""
 
 
+def test_japanese_after_latin_letters(spark, base):
+    assert X.tokens("a.tsをまとめ") == ["a", ".", "ts", "を", "ま", "と", "め"]
+    assert X.tokens("版9f3ab2cの人々") == ["版", "#", "の", "人", "々"]
+    r = random.Random(5)
+    part = lambda: r.choice(["古い索引", "長い履歴", "別の設定", "次の行"])
+    rows = [*base[:100], *(("note", f"{part()}をまとめてから再開位置を{r.choice(['確認', '記録', '変更'])}してください。{i}") for i in range(40))]
+    n = len(rows)
+    rows += [("note", f"{part()}を見ました。ledgerkit/noisy_buffer.tsをまとめてから再開位置を"), ("note", f"{part()}を見ました。noisy_buffer.tsをまとめてから再開位置を確認してください。")]
+    got = judged(spark, rows)
+    assert (got[n], got[n + 1]) == ("mid_text", None)
+
+
 class Sent:
     value = b"\xff" * (X.BITMAP_BITS // 8)
 
