@@ -7,9 +7,14 @@ comparisons within one record and need no keys from the data. The walk is
 iterative, so depth is bounded by memory only; the link sweep is one pass over
 the labels with a stack. Records are independent: no shuffle.
 
+A node's fields hold all of its object that lies in no node below it: scalars by
+their key, arrays without any object as JSON text by their key, and what is no
+object in other arrays by key and indexes, as in node_path (``content[1]``).
+
 Nulls and odd rows: a null or blank line, one that doesn't load, and one whose
 body isn't an object have no nodes. Scalars, arrays and JSON inside strings
-are no nodes. Equal paths in one record (keys with dots) count once.
+are no nodes. Equal paths in one record (keys with dots) count once, unless
+every node is asked for.
 """
 
 from __future__ import annotations
@@ -72,7 +77,36 @@ def containment(nodes: list[list]) -> list[int]:
     return parents
 
 
-def _label_batches(with_fields: bool):
+def holds_object(items: list) -> bool:
+    stack = [items]
+    while stack:
+        for x in stack.pop():
+            if isinstance(x, dict):
+                return True
+            if isinstance(x, list):
+                stack.append(x)
+    return False
+
+
+def fields_of(obj: dict) -> list[tuple[str, str | None]]:
+    """(field, value as text) of all in the object that is in no object below it."""
+    out: list[tuple[str, str | None]] = []
+    for key, value in obj.items():
+        if not isinstance(value, list) or not holds_object(value):
+            if not isinstance(value, dict):
+                out.append((key, dump(value)))
+            continue
+        stack: list = [(key, value)]
+        while stack:
+            at, v = stack.pop()
+            if isinstance(v, list) and v:
+                stack += [(f"{at}[{i}]", v[i]) for i in range(len(v) - 1, -1, -1) if not isinstance(v[i], dict)]
+            else:
+                out.append((at, dump(v)))
+    return out
+
+
+def _label_batches(with_fields: bool, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -87,26 +121,26 @@ def _label_batches(with_fields: bool):
                 seen: set[str] = set()
                 for (pre, post, path, obj), p in zip(nodes, parents):
                     depth.append(depth[p] + 1 if p >= 0 else 0)
-                    if path in seen:
+                    if path in seen and not every:
                         continue
                     seen.add(path)
                     t = obj.get("type")
-                    fields = [(k, dump(v)) for k, v in obj.items() if not isinstance(v, (dict, list))] if with_fields else []
+                    fields = fields_of(obj) if with_fields else []
                     out.append((rid, source, pre, post, depth[-1], path, nodes[p][2] if p >= 0 else "", nodes[p][0] if p >= 0 else None, t if isinstance(t, str) else "", fields))
             yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*out) if out else [[]] * len(_NODES), _NODES)], schema=_NODES)
 
     return run
 
 
-def node_table(raw: DataFrame, with_fields: bool = True) -> DataFrame:
-    """One row per object: interval label, path, link to the enclosing object, own type and scalar fields."""
+def node_table(raw: DataFrame, with_fields: bool = True, every: bool = False) -> DataFrame:
+    """One row per object (or per path, unless every): interval label, path, link to the enclosing object, own type and fields."""
     lines = raw.where(~is_blank(F.col("line"))).select("record_id", F.coalesce("source", F.lit("")).alias("source"), "line")
-    return lines.mapInArrow(_label_batches(with_fields), NODES_DDL)
+    return lines.mapInArrow(_label_batches(with_fields, every), NODES_DDL)
 
 
 def node_tables(raw: DataFrame, types: list[str]) -> dict[str, DataFrame]:
     """One flat table per node type, linked by (record_id, parent_pre)."""
-    nodes = node_table(raw)
+    nodes = node_table(raw, every=True)
     return {t: nodes.where(F.col("node_type") == t) for t in types}
 
 

@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = nested.node_table(table(spark, d, "raw_records"))
+    n = nested.node_table(table(spark, d, "raw_records"), every=True)
     return n.select("record_id", "source", "pre", "post", "depth", "node_path", "parent_pre", "node_type", F.to_json("fields").alias("fields"))
 
 

@@ -1,6 +1,7 @@
 """The core data problems on small tables: brute force, and the odd cases each docstring names."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -235,6 +236,48 @@ def test_nodes_odd_rows(spark):
     assert nested.find_nodes(raw.limit(0)).count() == 0
 
 
+def leaves(v, out):
+    """Every scalar, as text, and every empty array below v."""
+    for x in v.values() if isinstance(v, dict) else v:
+        if isinstance(x, (dict, list)) and x:
+            leaves(x, out)
+        elif x != {}:
+            out.append(x if isinstance(x, str) or x is None else json.dumps(x))
+    return out
+
+
+def test_nodes_lose_no_value(spark, sf):
+    body = {
+        "cmd": ["make", "extract"], "none": [], "gone": None, "grid": [[1, 2], [[True]]], "mixed": ["a", {"id": 7}, [5, {"x": "y"}, []], None, [[]]],
+        "a.b": {"v": 1}, "a": {"b": {"v": 2, "w": {"z": 3}}},
+    }
+    rows = [(1, "codex", json.dumps({"payload": body})), (2, "codex", json.dumps({"payload": {"only": [{}]}}))]
+    raw = spark.createDataFrame(rows, "record_id bigint, source string, line string").unionByName(table(spark, sf, "raw_records").select(F.col("record_id") + 10, "source", "line").toDF("record_id", "source", "line"))
+    nodes = nested.node_table(raw, every=True).select("record_id", "pre", "parent_pre", "node_path", F.to_json("fields").alias("fields")).collect()
+    first = {(n.pre, n.node_path): json.loads(n.fields) for n in nodes if n.record_id == 1}
+    assert [f for (_, path), f in first.items() if path == "payload"] == [{
+        "cmd": '["make","extract"]', "none": "[]", "gone": None, "grid": "[[1,2],[[true]]]", "mixed[0]": "a", "mixed[2][0]": "5", "mixed[2][2]": "[]", "mixed[3]": None, "mixed[4][0]": "[]",
+    }]
+    assert sorted(f["v"] for (_, path), f in first.items() if path == "payload.a.b") == ["1", "2"]
+    pres = {(n.record_id, n.pre) for n in nodes}
+    assert all(n.parent_pre is None or (n.record_id, n.parent_pre) in pres for n in nodes) and len(pres) == len(nodes)
+    got = {}
+    for n in nodes:
+        for v in json.loads(n.fields).values():
+            part = json.loads(v) if v and v.startswith("[") else None
+            got.setdefault(n.record_id, []).extend(leaves(part, []) if part else [v])
+    lines = {r.record_id: json.loads(r.line) for r in raw.collect() if r.record_id in got}
+    key = lambda x: (x is None, x or "")
+    for rid, rec in lines.items():
+        assert sorted(got[rid], key=key) == sorted(leaves(rec.get("payload", rec.get("message")), []), key=key), rid
+
+
+def test_node_tables_by_type(spark):
+    raw = spark.createDataFrame([(1, "codex", '{"payload":{"type":"p","in":[{"type":"c","cmd":["ls"]},{"type":"d"}]}}')], "record_id bigint, source string, line string")
+    t = nested.node_tables(raw, ["p", "c"])
+    assert [(r.parent_pre, r.fields) for r in t["c"].collect()] == [(0, {"type": "c", "cmd": '["ls"]'})] and [r.pre for r in t["p"].collect()] == [0]
+
+
 EXPECTED = [
     ("codex", "m", "type", "string", True), ("codex", "m", "payload", "object", True), ("codex", "m", "payload.id", "string|number", True), ("codex", "m", "payload.tag", "string", False),
     ("codex", "m", "payload.items", "array", False), ("codex", "m", "payload.items[].a", "string", True),
