@@ -18,7 +18,9 @@ A text is a case if its longest run with enough evidence hardly ever ends there
 (``mid_text``), if it has an added mark of cutting (``mark``), leaves a code
 block open (``open_block``), continues in a longer copy (``copy``) or has a
 length at which its source has far more texts than at the lengths around it,
-and its ending is likelier as a cut than as an end (``limit``).
+and its ending is likelier as a cut than as an end (``limit``). An ending whose
+last word is too rare for evidence is judged by what doesn't need it: hard marks,
+blocks, a longer copy that goes on inside the word, the lengths at a limit.
 
 Repeated texts are judged once and support no one but others. Nulls, empty and
 blank texts are no cases. Sources compare ignoring case and spaces around them;
@@ -407,23 +409,23 @@ def judge(docs: DataFrame) -> DataFrame:
         .when((F.col("mark") == "soft") & (p < 0.3) & (F.col("len") > 2), "mark")
         .when(F.col("open_block"), "open_block")
         .when((F.col("mark") == "") & (p < 0.03) & sure & ~(short & (F.col("runs_p") == 0)), "mid_text")
-        .when((F.col("mark") == "") & (F.col("size") >= 20) & F.col("inside_word") & (p < 0.3), "copy")
+        .when((F.col("mark") == "") & (F.col("size") >= 20) & F.col("inside_word") & (p.isNull() | (p < 0.3)), "copy")
         .when((F.col("mark") == "") & (F.col("size") >= 40) & F.col("inside_sentence") & (p < 0.15), "copy")
         .otherwise(none)
     )
     verdict = (
         ends.join(scores, "sig", "left")
         .join(copies, "tkey", "left")
-        .select("tkey", text_reason.alias("reason"), F.coalesce("runs_n", F.lit(0)).alias("rn"), F.coalesce("runs_x", F.lit(0)).alias("rx"), F.coalesce("runs_p", F.lit(0)).alias("rp"))
+        .select("tkey", text_reason.alias("reason"), p, F.coalesce("runs_n", F.lit(0)).alias("rn"), F.coalesce("runs_x", F.lit(0)).alias("rx"), F.coalesce("runs_p", F.lit(0)).alias("rp"))
     )
     limits = length_limits(keyed)
-    # Of the texts at a limit: cut there by chance, or an end that happens to be there.
+    # Of the texts at a limit: cut there by chance, or an end that happens to be there. Without evidence the lengths decide.
     as_cut = F.col("at") * (F.col("rn") - F.col("rx") + F.col("rp")) / F.lit(float(max(1, n_tokens)))
     as_end = (F.col("around") + 0.1) * (F.col("rx") + 0.5) / F.lit(float(max(1, n_texts)))
     return (
         keyed.join(verdict, "tkey")
         .join(limits, ["source", "size"], "left")
-        .select("doc_id", "source", F.coalesce("reason", F.when(F.col("at").isNotNull() & (as_cut > as_end), "limit")).alias("reason"))
+        .select("doc_id", "source", F.coalesce("reason", F.when(F.when(p.isNull(), F.col("at") > F.col("around")).otherwise(as_cut > as_end), "limit")).alias("reason"))
     )
 
 

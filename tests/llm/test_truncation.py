@@ -111,6 +111,18 @@ def test_japanese_after_latin_letters(spark, base):
     assert (got[n], got[n + 1]) == ("mid_text", None)
 
 
+def test_endings_without_evidence(spark, base):
+    r = random.Random(11)
+    rare = lambda i: "qzx" + "abcdefghij"[i] * 3 + "vw"
+    whole = paragraph(r, 2)
+    rows = [*base[:200], ("note", f"{whole} See {rare(0)}"), ("note", f"{whole} See {rare(0)}kk now."), ("note", f"{whole} See {rare(1)}")]
+    n = len(rows)
+    rows += [("brief", f"{paragraph(r, 9)[:151]} {rare(i)}") for i in range(2, 10)] + [("brief", paragraph(r, 9)[:160]) for _ in range(30)] + [("brief", paragraph(r, 1)) for _ in range(30)]
+    got = judged(spark, rows)
+    assert (got[n - 3], got[n - 2], got[n - 1]) == ("copy", None, None)
+    assert [got[i] for i in range(n, n + 8)] == ["limit"] * 8
+
+
 class Sent:
     value = b"\xff" * (X.BITMAP_BITS // 8)
 
