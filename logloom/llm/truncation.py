@@ -5,8 +5,8 @@ where its own original is gone, its last words are a strict prefix of longer
 runs of words that other texts hold. Both are searched:
 
 * Copies: all distinct texts are sorted (range-partitioned, so hot openings
-  spread); a text is a strict prefix of some other exactly if it is one of its
-  successor. Only the partitions' edge texts meet in one place.
+  spread), and the texts that the current one goes on from are kept on a stack.
+  Only texts whose extensions run over a partition's edge are joined with them.
 * Runs: the last one to four tokens of every text (the last one possibly a
   fragment of a word) are hashed, and all token runs of the corpus with such a
   hash are counted: how often they go on (in the word, or after it) and how
@@ -326,58 +326,104 @@ def score_endings(texts: DataFrame, ends: DataFrame) -> tuple[DataFrame, int, in
     return best, int(total[0].n or 0) if total else 0, int(total[0].x or 0) if total else 0
 
 
-COPY_DDL = "tkey binary, part int, is_edge boolean, first_text string, last_text string, inside_word boolean, inside_sentence boolean"
+COPY_DDL = "tkey binary, part int, first_text string, open_text string, inside_word boolean, inside_sentence boolean"
+GOES_ON = 40  # characters looked at on each side of the place where a prefix stops
 
 
 def goes_on(text: str, longer: str) -> tuple[bool, bool]:
     """Whether the longer text goes on inside a word, or inside a sentence, where text stops."""
-    rest = longer[len(text) : len(text) + 40]
+    rest = longer[len(text) : len(text) + GOES_ON]
     inside_word = text[-1:].isalpha() and rest[:1].isalpha()
-    before, after = tokens(text[-40:]), tokens(rest)
+    before, after = tokens(text[-GOES_ON:]), tokens(rest)
     n1 = after[0] if after else END
     n2 = after[1] if len(after) > 1 else END
     inside = not stops(before[-1], n1, n2) and not (n1 == " " and n2 in ("(", "#")) and n1 not in (",", "(")
     return inside_word, inside_word or inside
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Prefix:
+    """A text of the sorted scan while longer ones may follow, and how those seen so far go on (None: none seen)."""
+
+    __slots__ = ("tkey", "text", "inside_word", "inside_sentence", "rest")
+
+    def __init__(self, tkey: bytes, text: str) -> None:
+        self.tkey, self.text = tkey, text
+        self.inside_word = self.inside_sentence = self.rest = None
+
+    def extend(self, longer: str) -> bool:
+        """Takes one more extension; whether no other can change the result."""
+        rest = longer[len(self.text) : len(self.text) + GOES_ON]
+        if rest != self.rest:  # neighbours often go on alike
+            word, sentence = goes_on(self.text, longer)
+            self.inside_word, self.inside_sentence, self.rest = bool(self.inside_word or word), bool(self.inside_sentence or sentence), rest
+        return bool(self.inside_word and self.inside_sentence)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of the texts of one sorted partition. Rows with open_text may go on in the partitions after it."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    types = [pa.binary(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-    names = ["tkey", "part", "is_edge", "first_text", "last_text", "inside_word", "inside_sentence"]
+    types = [pa.binary(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+    names = ["tkey", "part", "first_text", "open_text", "inside_word", "inside_sentence"]
     make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     first = last = None
+    stack: list[_Prefix] = []  # each a prefix of the next one
     for b in batches:
         rows = []
         for tkey, text in zip(b["tkey"].to_pylist(), b["text"].to_pylist()):
-            if last is None:
+            if first is None:
                 first = text
-            elif text.startswith(last[1]) and text != last[1]:
-                rows.append((last[0], part, False, None, None, *goes_on(last[1], text)))
-            last = (tkey, text)
+            if text == last:
+                continue
+            last = text
+            while stack and not text.startswith(stack[-1].text):
+                e = stack.pop()
+                if e.rest is not None:
+                    rows.append((e.tkey, part, None, None, e.inside_word, e.inside_sentence))
+            still = []
+            for e in stack:
+                if e.extend(text):
+                    rows.append((e.tkey, part, None, None, True, True))
+                else:
+                    still.append(e)
+            stack = [*still, _Prefix(tkey, text)]
         if rows:
             yield make(rows)
-    if last is not None:
-        yield make([(last[0], part, True, first, last[1], None, None)])
+    if first is not None:
+        yield make([(e.tkey, part, first, e.text, e.inside_word, e.inside_sentence) for e in stack])
 
 
 def prefix_copies(texts: DataFrame) -> DataFrame:
-    """(tkey, inside_word, inside_sentence) of every distinct text that is a strict prefix of another."""
+    """(tkey, inside_word, inside_sentence) of every distinct text that is a strict prefix of another.
+
+    The flags hold if any of its extensions goes on so. A text whose extensions
+    run over the end of its partition, at most a few per partition, meets all
+    of them again by the shortest such text's length of characters.
+    """
     ordered = texts.select("tkey", "text").repartitionByRange("text").sortWithinPartitions("text")
-    got = materialize(ordered.mapInArrow(_adjacent, COPY_DDL), "copies")
-    pairs = got.where("not is_edge").select("tkey", "inside_word", "inside_sentence")
+    got = materialize(ordered.mapInArrow(_extended, COPY_DDL), "copies")
+    flags = got.where("inside_word is not null").select("tkey", "inside_word", "inside_sentence")
     # One row per partition of the sort.
-    edges = got.where("is_edge").withColumn("next", F.lead("first_text").over(Window.partitionBy(F.lit(0)).orderBy("part")))
-    crossing = edges.where(F.startswith("next", "last_text"))
-
-    @F.pandas_udf("inside_word boolean, inside_sentence boolean")
-    def on(a, b):
-        import pandas as pd
-
-        return pd.DataFrame([goes_on(x, y) for x, y in zip(a, b)], columns=["inside_word", "inside_sentence"])
-
-    return pairs.unionByName(crossing.select("tkey", on("last_text", "next").alias("g")).select("tkey", "g.*"))
+    parts = got.where("open_text is not null").select("part", "first_text").distinct()
+    nexts = parts.select("part", F.lead("first_text").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("next"))
+    crossing = materialize(got.where("open_text is not null").join(nexts, "part").where(F.startswith("next", "open_text")).select("tkey", "open_text"), "crossing")
+    shortest = crossing.agg(F.min(F.char_length("open_text")).alias("n")).first().n
+    if shortest is not None:
+        key = lambda c: F.substring(c, 1, shortest)
+        o = crossing.select("tkey", "open_text", key("open_text").alias("k"))
+        later = texts.select("text", key("text").alias("k")).join(o, "k").where(F.startswith("text", "open_text") & (F.char_length("text") > F.char_length("open_text")))
+        n = F.lit(GOES_ON)
+        ways = later.select("tkey", F.right("open_text", n).alias("before"), F.substr("text", F.char_length("open_text") + 1, n).alias("rest")).distinct()
+
+        @F.pandas_udf("inside_word boolean, inside_sentence boolean")
+        def on(a, b):
+            import pandas as pd
+
+            return pd.DataFrame([goes_on(x, x + y) for x, y in zip(a, b)], columns=["inside_word", "inside_sentence"])
+
+        flags = flags.unionByName(ways.select("tkey", on("before", "rest").alias("g")).select("tkey", "g.*"))
+    return flags.groupBy("tkey").agg(F.bool_or("inside_word").alias("inside_word"), F.bool_or("inside_sentence").alias("inside_sentence"))
 
 
 def length_limits(sized: DataFrame) -> DataFrame:

@@ -84,6 +84,27 @@ def test_prefix_copies_against_brute_force(spark, parts):
     assert {bytes(x.tkey).decode() for x in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7, 40])
+def test_all_extensions_tell_how_a_prefix_goes_on(spark, parts):
+    r = random.Random(parts)
+    texts = {"".join(r.choice("ab .\n") for _ in range(r.randrange(1, 8))) for _ in range(400)} | {"foo ba", "foo ba\n[output truncated]", "foo bar baz", "b" * 60, "b" * 60 + " c", "b" * 61}
+    want = {}
+    for t in texts:
+        flags = [X.goes_on(t, u) for u in texts if u != t and u.startswith(t)]
+        if flags:
+            want[t] = (any(f[0] for f in flags), any(f[1] for f in flags))
+    assert want["foo ba"] == (True, True)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(t.encode(), t) for t in texts], "tkey binary, text string")
+        got = X.prefix_copies(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {bytes(x.tkey).decode(): tuple(x)[1:] for x in got} == want and len(got) == len(want)
+
+
 def test_a_longer_copy_is_evidence(spark):
     assert X.goes_on("Compare the side", "Compare the sidecar now") == (True, True)
     assert X.goes_on("Compare it", "Compare it with that") == (False, True)
