@@ -143,7 +143,29 @@ def dump(v: Any) -> str | None:
     try:
         return json.dumps(v, ensure_ascii=False, default=str, separators=(",", ":"))
     except RecursionError:
-        return None
+        return dump_deep(v)
+
+
+def dump_deep(root: Any) -> str:
+    """dump() of objects and arrays without recursion, as parse_deep() reads them."""
+    plain = lambda x: json.dumps(x, ensure_ascii=False, default=str)
+    out: list[str] = []
+    stack: list[tuple[bool, Any]] = [(False, root)]  # whether it is text already, text or value
+    while stack:
+        done, v = stack.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict) and v:
+            stack.append((True, "}"))
+            for i, (k, x) in reversed(list(enumerate(v.items()))):
+                stack += [(False, x), (True, ("," if i else "{") + plain(k) + ":")]
+        elif isinstance(v, list) and v:
+            stack.append((True, "]"))
+            for i in range(len(v) - 1, -1, -1):
+                stack += [(False, v[i]), (True, "," if i else "[")]
+        else:
+            out.append(plain(v))
+    return "".join(out)
 
 
 BODY = {"claude_code": "message", "codex": "payload"}

@@ -329,6 +329,13 @@ def test_unify_keeps_places_in_arrays(spark):
     assert (f["payload.items[0].a"], f["payload.items[1].a"]) == ("1", "2") and u.first().other == {}
 
 
+def test_unify_keeps_deep_values(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    _, u = changes(spark, ['{"type":"m","payload":{"id":"x","items":' + deep + ',"more":' + deep + "}}"])
+    r = u.first()
+    assert r.fields["payload.items"] == deep and r.other == {"payload.more": deep}
+
+
 def test_matching_is_one_to_one():
     listed = {"id": (("string",), True), "role": (("string",), True)}
     fields = {"ident": (3, {"string"}, 0.0), "rolle": (3, {"string"}, 0.0)}

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logloom.sources.strict_json import cells_of, fail_reason, kind_of, parse, parse_deep, record_type
+from logloom.sources.strict_json import cells_of, dump, dump_deep, fail_reason, kind_of, parse, parse_deep, record_type
 
 GOOD = ['{"a":1}', ' {"a" : [1, -0.5e+3, true, null, "x\\u00e9"]} ', "{}", "[]", '"s"', "0", "-0", "1e400", "1" * 5000, '{"a":1,"a":2}', '"\\ud800"']
 BAD = ["", "{", '{"a":1}]', '{"a":1} x', "{'a':1}", '{"a":1,}', '{"a":01}', '{"a":.5}', '{"a":1.}', '{"a":NaN}', "Infinity", "[1,]", "[,]", '{"a"}', '{"a":}', '{a:1}', '"\t"', '"\\x"', "tru", "1 2", '{"a":1}{"b":2}', "-", "+1", '["\x00"]', "﻿{}", '{"a" 1}', '{1:2}', "]", '{"a":1;"b":2}', '{"a":progress"}']
@@ -32,6 +32,12 @@ def test_deep():
         parse("[" * n + "]" * (n - 1))
 
 
+def test_deep_values_are_written():
+    n = 100_000
+    for text in ("[" * n + "]" * n, '{"a":[1,' * n + "null" + "]}" * n):
+        assert dump(parse(text)) == text
+
+
 def test_half_pairs_become_whole_characters():
     assert parse('{"\\ud800k": ["\\udc00", "\\ud83d\\ude00"]}') == {"�k": ["�", "😀"]}
 
@@ -106,3 +112,9 @@ def test_record_type():
     assert record_type("codex", {"type": "response_item", "payload": {"type": "message"}}) == "response_item:message"
     assert record_type("codex", {"type": "response_item", "payload": {}}) == "response_item:"
     assert record_type("claude_code", {}) == ""
+
+
+@settings(max_examples=150, deadline=None)
+@given(json_values)
+def test_both_writers_agree(v):
+    assert dump_deep(v) == json.dumps(v, ensure_ascii=False, separators=(",", ":"))
