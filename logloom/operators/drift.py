@@ -1,14 +1,16 @@
 """Schemas that drift between files: changes per file, and one consistent table.
 
 1. Every record that loads is profiled where it is parsed: per object that the
-   expected schema knows, each field's presence, JSON types and a value sketch
-   (shape of the value's first characters, length class) are added up within
-   the Arrow batch, then per file and record type by a hash aggregate. Profiles
-   are as wide as the schema, not as the data.
+   expected schema knows, each field's presence and JSON types, and for
+   ``find_renames`` a sketch of its whole values (lengths, digits, smallest
+   hashes of the distinct values), are added up within the Arrow batch, then
+   per file and record type by a hash aggregate. Profiles are as wide as the
+   schema, not as the data.
 2. The profile is compared with the expected fields; what is missing or new
    becomes the two sides of a bipartite graph per object, an edge joins a
    missing required field and an unlisted one that is in all objects with only
-   listed types. Edges are weighted by type, name and sketch similarity.
+   listed types. ``find_renames`` gives every edge with its weight: likeness of
+   names, types and of the new field's values to the missing one's elsewhere.
 3. A match is accepted as a rename only when it is forced: one missing field,
    one possible new one. Otherwise the two stay ``removed`` and ``added``.
 4. ``unify`` reads all lines into one table under the listed names, renamed
@@ -29,19 +31,21 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..runtime import materialize
 from ..sources.strict_json import cells_of, dump, fail_reason, kind_of, record_type
 
 MAX_EXPECTED = 100_000
+REGISTERS = 16  # of the distinct values' hashes the smallest per register
 KINDS = ["string", "number", "boolean", "object", "array", "null"]
 _PROFILE = pa.schema([
     ("source", pa.string()), ("jsonl_path", pa.string()), ("record_type", pa.string()), ("object_path", pa.string()), ("field", pa.string()),
-    ("present", pa.int64()), ("kinds", pa.int32()), ("digits", pa.int64()), ("chars", pa.int64()), ("texts", pa.int64()),
+    ("present", pa.int64()), ("kinds", pa.int32()), ("digits", pa.int64()), ("chars", pa.int64()), ("texts", pa.int64()), ("mins", pa.list_(pa.int64())),
 ])
-PROFILE_DDL = "source string, jsonl_path string, record_type string, object_path string, field string, present bigint, kinds int, digits bigint, chars bigint, texts bigint"
+PROFILE_DDL = "source string, jsonl_path string, record_type string, object_path string, field string, present bigint, kinds int, digits bigint, chars bigint, texts bigint, mins array<bigint>"
 
 
 def expected_schema(expected: DataFrame) -> dict:
@@ -73,7 +77,22 @@ def objects_at(rec: dict, path: str) -> list[dict]:
     return level
 
 
-def _profiler(schema: dict):
+def _sketch(a: list, value: str) -> None:
+    """Adds one value's text to [.., digits, chars, texts, mins]."""
+    import xxhash
+
+    a[2] += sum(map(str.isdigit, value))
+    a[3] += len(value)
+    a[4] += 1
+    h = xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace"))
+    i, h = h % REGISTERS, h // REGISTERS
+    if a[5] is None:
+        a[5] = [None] * REGISTERS
+    if a[5][i] is None or h < a[5][i]:
+        a[5][i] = h
+
+
+def _profiler(schema: dict, sketch: bool):
     bit = {k: 1 << i for i, k in enumerate(KINDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,108 +106,173 @@ def _profiler(schema: dict):
                 listed = schema.get((source, rt))
                 for obj in listed or [None]:
                     if obj is None:
-                        acc.setdefault((source, path, rt, None, None), [1, 0, 0, 0, 0])
+                        acc.setdefault((source, path, rt, None, None), [1, 0, 0, 0, 0, None])
                         continue
                     for o in objects_at(rec, obj):
-                        acc.setdefault((source, path, rt, obj, ""), [0, 0, 0, 0, 0])[0] += 1
+                        acc.setdefault((source, path, rt, obj, ""), [0, 0, 0, 0, 0, None])[0] += 1
                         for k, v in o.items():
-                            a = acc.setdefault((source, path, rt, obj, "." + k), [0, 0, 0, 0, 0])
+                            a = acc.setdefault((source, path, rt, obj, "." + k), [0, 0, 0, 0, 0, None])
                             a[0] += 1
                             a[1] |= bit[kind_of(v)]
-                            if isinstance(v, str):
-                                a[2] += sum(map(str.isdigit, v[:64]))
-                                a[3] += min(len(v), 64)
-                                a[4] += 1
+                            if sketch and v is not None:
+                                _sketch(a, dump(v))
             cols = list(zip(*[(*k, *v) for k, v in acc.items()])) or [[]] * len(_PROFILE)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PROFILE)], schema=_PROFILE)
 
     return run
 
 
-def profile(raw: DataFrame, schema: dict) -> DataFrame:
-    """Per file and record type one row; ``fields`` holds, per object and field, the objects that have it, its types and a value sketch.
+def profile(raw: DataFrame, schema: dict, sketch: bool = False) -> DataFrame:
+    """Per file and record type one row; ``fields`` holds, per object and field, the objects that have it, its types and, if asked for, a value sketch.
 
     field is '' for the entry that counts the objects, else '.' and the name;
     object_path is null for a record type that isn't listed. One shuffle of
     the batches' sums serves both aggregates.
     """
     lines = raw.where(~is_blank(F.col("line"))).select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("jsonl_path", F.lit("")).alias("jsonl_path"), "line")
-    part = lines.mapInArrow(_profiler(schema), PROFILE_DDL).repartition("source", "jsonl_path", "record_type")
-    per_field = part.groupBy("source", "jsonl_path", "record_type", "object_path", "field").agg(
-        F.sum("present").alias("present"), F.bit_or("kinds").alias("kinds"), F.sum("digits").alias("digits"), F.sum("chars").alias("chars"), F.sum("texts").alias("texts")
-    )
+    part = lines.mapInArrow(_profiler(schema, sketch), PROFILE_DDL).repartition("source", "jsonl_path", "record_type")
+    sums = [F.sum("present").alias("present"), F.bit_or("kinds").alias("kinds")] + (_sketch_sums() if sketch else [])
+    per_field = part.groupBy("source", "jsonl_path", "record_type", "object_path", "field").agg(*sums)
     # As many entries as the file's records have different fields.
-    return per_field.groupBy("source", "jsonl_path", "record_type").agg(F.collect_list(F.struct("object_path", "field", "present", "kinds", "digits", "chars")).alias("fields"))
+    entry = ["object_path", "field", "present", "kinds"] + (["digits", "chars", "texts", "mins"] if sketch else [])
+    return per_field.groupBy("source", "jsonl_path", "record_type").agg(F.collect_list(F.struct(*entry)).alias("fields"))
+
 
+def _sketch_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("digits", "chars", "texts")] + [F.array(*[F.min(F.col("mins")[i]) for i in range(REGISTERS)]).alias("mins")]
 
-def similarity(name: str, types: tuple[str, ...], new: str, kinds: set[str], digits: float) -> float:
-    """Weight of an edge: half the names' likeness, half the types', less a little for digit-heavy texts."""
+
+def sketch_likeness(a: tuple, b: tuple) -> float:
+    """Of two (digits, chars, texts, mins): the mean of the likeness of lengths, of digit shares and of the distinct values, 0 to 1."""
+    la, lb = a[1] / a[2], b[1] / b[2]
+    lengths = min(la, lb) / max(la, lb) if max(la, lb) else 1.0
+    digits = 1 - abs(a[0] / max(1, a[1]) - b[0] / max(1, b[1]))
+    used = [(x, y) for x, y in zip(a[3], b[3]) if x is not None or y is not None]
+    return (lengths + digits + sum(x == y for x, y in used) / len(used)) / 3
+
+
+def similarity(name: str, types: tuple[str, ...], new: str, kinds: set[str], old: tuple | None = None, sketch: tuple | None = None) -> float:
+    """Weight of an edge: half the names' likeness, half the types'; with sketches of both fields' values a third each."""
     t = len(kinds & set(types)) / max(1, len(kinds | set(types)))
-    return 0.5 * SequenceMatcher(None, name.lower(), new.lower()).ratio() + 0.5 * t - 0.01 * digits
+    parts = [SequenceMatcher(None, name.lower(), new.lower()).ratio(), t]
+    if old and sketch:
+        parts.append(sketch_likeness(old, sketch))
+    return sum(parts) / len(parts)
 
 
-def match_object(fields: dict[str, tuple[int, set[str], float]], total: int, listed: dict[str, tuple[tuple[str, ...], bool]]) -> tuple[list[str], list[str], list[tuple[str, str, float]]]:
-    """(removed, added, renamed) of one object group; fields: {name: (present, kinds, digit share)}."""
+def candidates(fields: dict[str, tuple], total: int, listed: dict[str, tuple[tuple[str, ...], bool]], usual: dict[str, tuple] | None = None) -> tuple[list[str], list[str], dict[str, list[tuple[float, str]]]]:
+    """(removed, added, edges by removed field, the heaviest first); fields: {name: (present, kinds, sketch or nothing)}, usual: sketches of listed fields elsewhere."""
     removed = [f for f, (_, must) in listed.items() if must and f not in fields]
     added = [f for f in fields if f not in listed]
-    edges: dict[str, list[tuple[float, str]]] = {}
+    edges = {}
     for r in removed:
-        types = listed[r][0]
+        types, old = listed[r][0], (usual or {}).get(r)
         edges[r] = sorted(
-            ((similarity(r, types, a, fields[a][1], fields[a][2]), a) for a in added if fields[a][0] == total and fields[a][1] - {"null"} <= set(types)), reverse=True
+            ((similarity(r, types, a, fields[a][1], old, fields[a][2] or None), a) for a in added if fields[a][0] == total and fields[a][1] - {"null"} <= set(types)), reverse=True
         )
-    # A perfect matching is forced only if one field is missing and one can take its place.
-    if len(removed) == 1 and len(edges[removed[0]]) == 1:
+    return removed, added, edges
+
+
+def forced(removed: list[str], edges: dict[str, list[tuple[float, str]]]) -> bool:
+    """A perfect matching is forced only if one field is missing and one can take its place."""
+    return len(removed) == 1 and len(edges[removed[0]]) == 1
+
+
+def match_object(fields: dict[str, tuple], total: int, listed: dict[str, tuple[tuple[str, ...], bool]]) -> tuple[list[str], list[str], list[tuple[str, str, float]]]:
+    """(removed, added, renamed) of one object group; fields: {name: (present, kinds, sketch or nothing)}."""
+    removed, added, edges = candidates(fields, total, listed)
+    if forced(removed, edges):
         weight, new = edges[removed[0]][0]
         return [], [a for a in added if a != new], [(removed[0], new, weight)]
     return removed, added, []
 
 
-CHANGES_DDL = "jsonl_path string, record_type string, change_kind string, field_path string, new_path string, weight double"
-
-
-def compare(source: str, record_type: str, fields: list[dict], schema: dict) -> list[tuple]:
-    """(change kind, field path, new path, weight) of one file's records of one type."""
-    listed = schema.get((source, record_type))
-    if listed is None:
-        return [("added", "payload.type" if source == "codex" and record_type.startswith("response_item:") else "type", "", None)]
+def by_object(fields: list[dict]) -> tuple[dict[str, int], dict[str, dict[str, tuple]]]:
+    """(objects, {name: (present, kinds, sketch or None)}) of a file's profile by object path."""
     totals: dict[str, int] = {}
-    by: dict[str, dict[str, tuple[int, set[str], float]]] = defaultdict(dict)
+    by: dict[str, dict[str, tuple]] = defaultdict(dict)
     for f in fields:
         if f["field"]:
             kinds = {k for i, k in enumerate(KINDS) if f["kinds"] >> i & 1}
-            by[f["object_path"]][f["field"][1:]] = (f["present"], kinds, f["digits"] / f["chars"] if f["chars"] else 0.0)
+            by[f["object_path"]][f["field"][1:]] = (f["present"], kinds, _sketch_of(f))
         else:
             totals[f["object_path"]] = f["present"]
+    return totals, by
+
+
+def _sketch_of(f: dict) -> tuple | None:
+    return (f["digits"], f["chars"], f["texts"], f["mins"]) if f.get("texts") else None
+
+
+CHANGES_DDL = "jsonl_path string, record_type string, change_kind string, field_path string, new_path string"
+
+
+def compare(source: str, record_type: str, fields: list[dict], schema: dict) -> list[tuple]:
+    """(change kind, field path, new path) of one file's records of one type."""
+    listed = schema.get((source, record_type))
+    if listed is None:
+        return [("added", "payload.type" if source == "codex" and record_type.startswith("response_item:") else "type", "")]
+    totals, by = by_object(fields)
     out: list[tuple] = []
     for obj, total in totals.items():
         own, seen = listed[obj], by[obj]
         full = lambda f, obj=obj: f"{obj}.{f}" if obj else f
         removed, added, renamed = match_object(seen, total, own)
-        out += [("retyped", full(f), "", None) for f, (_, kinds, _) in seen.items() if f in own and kinds - {"null"} - set(own[f][0])]
-        out += [("removed", full(f), "", None) for f in removed] + [("added", full(f), "", None) for f in added]
-        out += [("renamed", full(f), full(n), w) for f, n, w in renamed]
+        out += [("retyped", full(f), "") for f, (_, kinds, _) in seen.items() if f in own and kinds - {"null"} - set(own[f][0])]
+        out += [("removed", full(f), "") for f in removed] + [("added", full(f), "") for f in added]
+        out += [("renamed", full(f), full(n)) for f, n, _ in renamed]
     return out
 
 
-def find_changes(raw: DataFrame, expected: DataFrame, with_weight: bool = False) -> DataFrame:
+def find_changes(raw: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows of p2_found: jsonl_path, record_type, change_kind, field_path, new_path."""
     schema = expected_schema(expected)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 5 + [pa.float64()]
-        names = ["jsonl_path", "record_type", "change_kind", "field_path", "new_path", "weight"]
+        names = ["jsonl_path", "record_type", "change_kind", "field_path", "new_path"]
         for b in batches:
             out = [
                 (path, rt, *c)
                 for source, path, rt, fields in zip(*(b[c].to_pylist() for c in ("source", "jsonl_path", "record_type", "fields")))
                 for c in compare(source, rt, fields, schema)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*out)) or [[]] * 5], names=names)
+
+    return profile(raw, schema).mapInArrow(run, CHANGES_DDL).distinct()
 
-    out = profile(raw, schema).mapInArrow(run, CHANGES_DDL)
-    cols = ["jsonl_path", "record_type", "change_kind", "field_path", "new_path"]
-    return out if with_weight else out.select(*cols).distinct()
+
+RENAMES_DDL = "source string, jsonl_path string, record_type string, field_path string, new_path string, weight double, is_rename boolean"
+
+
+def find_renames(raw: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every edge between a missing and a possible new field of a file's objects, with its weight; is_rename if p2_found takes it."""
+    schema = expected_schema(expected)
+    files = materialize(profile(raw, schema, sketch=True), "profiles")
+    listed = [(source, rt, obj, "." + f) for (source, rt), objs in schema.items() for obj, fs in objs.items() for f in fs]
+    key = ["source", "record_type", "object_path", "field"]
+    fields = files.select("source", "record_type", F.explode("fields").alias("f")).select("source", "record_type", "f.*").where("texts > 0")
+    one = fields.join(raw.sparkSession.createDataFrame(listed, ", ".join(f"{c} string" for c in key)), key, "left_semi")
+    usual: dict = defaultdict(dict)
+    for r in one.groupBy(*key).agg(*_sketch_sums()).collect():  # at most MAX_EXPECTED
+        usual[(r.source, r.record_type, r.object_path)][r.field[1:]] = _sketch_of(r.asDict())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string()] * 5 + [pa.float64(), pa.bool_()]
+        names = ["source", "jsonl_path", "record_type", "field_path", "new_path", "weight", "is_rename"]
+        for b in batches:
+            out = []
+            for source, path, rt, fields in zip(*(b[c].to_pylist() for c in names[:3] + ["fields"])):
+                own = schema.get((source, rt))
+                if own is None:
+                    continue
+                totals, by = by_object(fields)
+                for obj, total in totals.items():
+                    full = lambda f, obj=obj: f"{obj}.{f}" if obj else f
+                    removed, _, edges = candidates(by[obj], total, own[obj], usual.get((source, rt, obj)))
+                    out += [(source, path, rt, full(r), full(a), w, forced(removed, edges)) for r in removed for w, a in edges[r]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 7, types)], names=names)
+
+    return files.mapInArrow(run, RENAMES_DDL)
 
 
 UNIFIED_DDL = "record_id bigint, source string, jsonl_path string, line_number int, record_type string, fields map<string,string>, other map<string,string>"

@@ -344,6 +344,25 @@ def test_matching_is_one_to_one():
     assert drift.match_object({"ident": (3, {"string"}, 0.0), "role": (3, {"string"}, 0.0)}, 3, listed)[2][0][:2] == ("id", "ident")
 
 
+def test_rename_edges_are_weighted_by_whole_values(spark):
+    v = lambda i: "x" * 70 + f"{i:04}"  # differs, and has digits, only after 64 characters
+    lines = [("f", '{"type":"m","payload":{"id":"%s"}}' % v(i)) for i in range(40)]
+    lines += [("g", '{"type":"m","payload":{"k1":"%s","k2":"%s"}}' % (v(i), "x" * 70 + "abcd")) for i in range(40)]
+    lines += [("h", '{"type":"m","payload":{"ident":5}}')]
+    raw = spark.createDataFrame([(i, "codex", p, 1, x) for i, (p, x) in enumerate(lines)], "record_id bigint, source string, jsonl_path string, line_number int, line string")
+    exp = spark.createDataFrame(EXPECTED, "source string, record_type string, field_path string, json_types string, is_required boolean")
+    got = {(r.jsonl_path, r.field_path, r.new_path): r for r in drift.find_renames(raw, exp).collect()}
+    assert {k: r.is_rename for k, r in got.items()} == {("g", "payload.id", "payload.k1"): False, ("g", "payload.id", "payload.k2"): False, ("h", "payload.id", "payload.ident"): True}
+    k1, k2 = got["g", "payload.id", "payload.k1"].weight, got["g", "payload.id", "payload.k2"].weight
+    assert k1 - k2 > 0.1 and all(0 <= r.weight <= 1 for r in got.values())
+
+
+def test_rename_edges_hold_the_renames(spark, sf):
+    raw, exp = table(spark, sf, "raw_records"), table(spark, sf, "expected_fields")
+    want = {(r.jsonl_path, r.record_type, r.field_path, r.new_path) for r in drift.find_changes(raw, exp).where("change_kind = 'renamed'").collect()}
+    assert {tuple(r)[1:5] for r in drift.find_renames(raw, exp).where("is_rename").collect()} == want
+
+
 def brute_changes(raw, expected, bad):
     """p2_found stated plainly: collect every object, then look at each listed one."""
     import json
