@@ -1,56 +1,71 @@
 """Texts cut off before their end, by prefix self-joins over the whole corpus.
 
 A cut text is a strict prefix of a longer one: of a longer copy of itself, or,
-where its own original is gone, its last words are a strict prefix of longer
-runs of words that other texts hold. Both are searched:
+where its own original is gone, its closing segment (what follows the last end
+of a sentence or line) is a strict prefix of longer segments of other texts.
+Values of three sizes are joined by prefix with all longer ones:
 
-* Copies: all distinct texts are sorted (range-partitioned, so hot openings
+* Whole texts: all distinct texts are sorted (range-partitioned, so hot openings
   spread), and the texts that the current one goes on from are kept on a stack.
   Only texts whose extensions run over a partition's edge are joined with them.
-* Runs: the last one to four tokens of every text (the last one possibly a
-  fragment of a word) are hashed, and all token runs of the corpus with such a
-  hash are counted: how often they go on (in the word, or after it) and how
-  often a sentence, line or text ends there. The hashes searched for are sent
-  to the counters as a bitmap of fixed size, so only runs that may matter are
-  shuffled, pre-aggregated per batch.
-
-A text is a case if its longest run with enough evidence hardly ever ends there
-(``mid_text``), if it has an added mark of cutting (``mark``), leaves a code
-block open (``open_block``), continues in a longer copy (``copy``) or has a
-length at which its source has far more texts than at the lengths around it,
-and its ending is likelier as a cut than as an end (``limit``). An ending whose
-last word is too rare for evidence is judged by what doesn't need it: hard marks,
-blocks, a longer copy that goes on inside the word, the lengths at a limit.
-
-Repeated texts are judged once and support no one but others. Nulls, empty and
+* Segments: every prefix of every segment of the corpus has a hash (a polynomial
+  of its tokens, the last one possibly a fragment of a word), and the closing
+  segments are looked up among them: how often segments go on from there (in
+  the word, or after it), and how often one ends there.
+* Runs: where hardly any segment starts like the closing one, its last one to
+  four tokens are looked up in the same way among all runs of the corpus.
+
+Each text is tokenised once; packs of token numbers are written to the shared
+folder, and what follows is array arithmetic on them. Counted are only keys that
+some ending has: a bit filter of 16 bits per distinct key is sent to the
+counters, in as many rounds as its largest size (FILTER_BITS) asks for.
+
+Marks of cutting are learned, not known: a tail is a mark if it recurs in
+MARK_MIN texts and one of MARK_RATE, after tokens of many kinds, hardly ever
+elsewhere than at the end of a text, and mostly after runs that go on. What
+stands before a mark is judged like an end.
+
+``reason`` is the first way that holds: ``copy`` (a longer copy goes on inside
+the word or sentence), ``segment``, ``run`` (see above), ``mark``,
+``open_block`` (inside an open code block, where a line's end is none, the
+run never ends a text) and ``limit`` (a length at which the source has far more
+texts than around it, and an ending that is likelier as a cut than as an end).
+
+Repeated texts are judged once and support no one but others; a run counts as often as it occurs. Nulls, empty and
 blank texts are no cases. Sources compare ignoring case and spaces around them;
-a null source has no limit. Texts are read whole whatever their length.
+a null source has no limit. Texts are read whole whatever their length. A text
+of under MIN_TOKENS tokens is too short for the evidence of others that merely
+begin alike: only a fragment of a word makes it a case.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, norm_source
 from ..runtime import materialize
 
 RUN = 4  # tokens of the longest run
-BITMAP_BITS = 1 << 24  # 2 MB
-FLUSH = 500_000  # tokens counted at a time
+SEGMENT = RUN + 1  # the level of closing segments
+EVIDENCE = 4  # other runs or segments that a level needs
+MIN_TOKENS = 4
+FLUSH = 1_000_000  # tokens counted at a time
+TAIL = 16  # tokens of the longest mark
+MARK_MIN, MARK_RATE, END_SHARE = 3, 10_000, 0.8
+RARE, LIKELY = 0.03, 0.2  # shares of ends
+NATURAL = 0.005  # share of a mark's first tokens in what follows a token
+FILTER_BITS = 1 << 28  # 32 MB
 
 #: Written without spaces: each character is a token, and none is part of a word or hash.
 CJK = "々-〇぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ𠀀-𳑿"
 TOKEN = re.compile(rf"```|(?<![^\W_{CJK}])(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{{3,}}(?![^\W_{CJK}])|[{CJK}]|[^\W\d_{CJK}]+|\d+|\s*\n\s*|[^\S\n]+|.", re.S)
-#: Marks that only a cut leaves, and dots that writers use, too.
-HARD_MARK = re.compile(r"\s*(?:\[(?=[^\[\]\n]*[A-Za-z]{3})[^\[\]\n]{3,40}\]|<[a-z ]{2,20}>|-- [^\n]{3,40} --|�)\s*\Z")
-SOFT_MARK = re.compile(r"\s*(?:\.\.\.|…)\s*\Z")
 CJK_STOPS = frozenset("。？！")
 STOPS = frozenset(".?!…") | CJK_STOPS
 END, BEGIN = "\x03", "\x02"
@@ -81,30 +96,21 @@ def stops(last: str, n1: str, n2: str) -> bool:
     return n1 in CJK_STOPS or (n1 in STOPS and n2 in (END, " ", "\n"))
 
 
-def split_ending(text: str) -> tuple[str, str, bool]:
-    """(mark, text before it without white space at its end, whether one space ended it after a word)."""
-    hard = HARD_MARK.search(text)
-    soft = None if hard else SOFT_MARK.search(text)
-    m = hard or soft
-    body = text[: m.start()] if m else text
-    kept = body.rstrip()
-    return ("hard" if hard else "soft" if soft else ""), kept, not m and body == kept + " "
-
-
-def ending(text: str) -> tuple[str, list[str]]:
-    """(mark, tokens of the text before it, with BEGIN)."""
-    mark, kept, space = split_ending(text)
+def ending(text: str) -> list[str]:
+    """The text's tokens after BEGIN, without white space at its end."""
+    kept = text.rstrip()
     toks = [BEGIN, *tokens(kept)]
     # One space after a word that ends nothing belongs to the ending: the next word was to come.
-    if space and toks[-1] not in STOPS:
+    if text == kept + " " and toks[-1] not in STOPS:
         toks.append(" ")
-    return mark, toks
+    return toks
 
 
-# A run's hash is a polynomial of its tokens' hashes, mixed with its length: the same for one run in Python
-# and for all runs of a batch in numpy. Constants are odd numbers, the last two those of a public mixer.
+# A run's hash is a polynomial of its tokens' hashes, mixed with its level.
+# Constants are odd numbers, the last two those of a public mixer.
 _WORD = (1 << 64) - 1
 _BASE, _LENGTH, _FRAGMENT, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _token_hash(token: str) -> int:
@@ -113,89 +119,291 @@ def _token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
 
 
-def _key(run: tuple[str, ...] | list[str], fragment: bool = False) -> int:
-    g = 0
-    for t in run:
-        g = (g * _BASE + _token_hash(t)) & _WORD
-    h = (g + len(run) * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD
-    h = ((h ^ h >> 33) * _MIX1) & _WORD
-    h = ((h ^ h >> 33) * _MIX2) & _WORD
-    h ^= h >> 33
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _mixed(g: np.ndarray, n: int, fragment: bool) -> np.ndarray:
-    """_key() of many runs of n tokens, from their polynomials."""
-    h = g + np.uint64((n * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD)
+def _mixed(g: np.ndarray, level: int, fragment: bool) -> np.ndarray:
+    """Keys of runs from their polynomials."""
+    h = g + np.uint64((level * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD)
     for m in (_MIX1, _MIX2):
         h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
     return h ^ (h >> np.uint64(33))
 
+PACK_DDL = "kind string, tkeys array<binary>, chars array<int>, sizes array<int>, voc array<string>, ids binary, tail bigint, head bigint, prev bigint, n bigint"
+_PACK_NAMES = [f.split(" ")[0] for f in PACK_DDL.split(", ")]
+_PACK_TYPES = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary(), *[pa.int64()] * 4]
 
-ENDS_DDL = "tkey binary, size int, mark string, open_block boolean, n_tokens int, sig bigint, own int, runs array<struct<n:int,key:bigint,frag:bigint>>"
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run_t = pa.struct([("n", pa.int32()), ("key", pa.int64()), ("frag", pa.int64())])
-    types = [pa.binary(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(run_t)]
-    names = ["tkey", "size", "mark", "open_block", "n_tokens", "sig", "own", "runs"]
-    for b in batches:
-        out = []
-        for tkey, text in zip(b["tkey"].to_pylist(), b["text"].to_pylist()):
-            mark, toks = ending(text)
-            own = 0 if mark else 1
-            runs = []
-            for n in range(min(RUN, len(toks)), 0, -1):
-                r = toks[-n:]
-                runs.append({"n": n, "key": _key(r), "frag": _key(r, True) if r[-1].isalpha() else None})
-            out.append((tkey, len(text), mark, toks.count("```") % 2 == 1, len(toks) - 1, _key([str(own), *toks[-RUN:]]), own, runs))
-        cols = list(zip(*out)) or [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-
-class _Tokens:
-    """Ids of a task's distinct tokens, and per id its hash, kind and the hashes of its beginnings."""
-
-    STOP, CJK, SPACE, LINE = 1, 2, 4, 8
+class Vocabulary:
+    """Numbers of a task's distinct tokens."""
 
     def __init__(self) -> None:
         self.raw: dict[str, int] = {}
         self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.prefixes: list[np.ndarray] = []
-        self.begin = self.of(BEGIN)
-        self.space = self.of(" ")
+        self.tokens: list[str] = []
+        self.begin, self.space = self.of(BEGIN), self.of(" ")
 
     def of(self, token: str) -> int:
         i = self.ids.get(token)
         if i is None:
-            i = self.ids[token] = len(self.hashes)
-            self.hashes.append(_token_hash(token))
-            self.kinds.append((token in STOPS) * self.STOP | (token in CJK_STOPS) * self.CJK | (token == " ") * self.SPACE | (token == "\n") * self.LINE)
-            self.prefixes.append(self._beginnings(token) if len(token) > 1 and token.isalpha() else np.zeros(0, np.uint64))
+            i = self.ids[token] = len(self.tokens)
+            self.tokens.append(token)
         return i
 
-    @staticmethod
-    def _beginnings(token: str) -> np.ndarray:
-        import xxhash
+    def encode(self, text: str) -> np.ndarray:
+        """The numbers of ending()."""
+        kept, raw = text.rstrip(), self.raw
+        found = TOKEN.findall(kept)
+        for x in set(found).difference(raw):
+            raw[x] = self.of(_class(x))
+        out = [self.begin, *map(raw.__getitem__, found)]
+        if text == kept + " " and self.tokens[out[-1]] not in STOPS:
+            out.append(self.space)
+        return np.array(out, dtype=np.int32)
+
+
+@dataclass
+class Tails:
+    """Tails that recur: sorted keys, how many texts end with each, and whether it is hardly ever elsewhere."""
+
+    keys: np.ndarray
+    often: np.ndarray
+    last: np.ndarray
+
+
+class Pack:
+    """Some texts as one array of token numbers (each text after a BEGIN), with what is looked up of it."""
+
+    STOP, CJK_STOP, SPACE, LINE, FENCE, WORD, ALPHA, BEGIN = 1, 2, 4, 8, 16, 32, 64, 128
+
+    def __init__(self, voc: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.voc, self.ids = voc, ids
+        self.hashes = np.array([_token_hash(t) for t in voc], dtype=np.uint64)
+        self.kinds = np.array([self._kind(t) for t in voc], dtype=np.uint8)
+        self.sizes = sizes.astype(np.int64)
+        self.ends = np.cumsum(self.sizes) - 1  # place of each text's last token
+        self.pos = np.arange(len(ids)) - np.repeat(self.ends - self.sizes + 1, self.sizes)
+
+    @classmethod
+    def _kind(cls, t: str) -> int:
+        return (
+            (t in STOPS) * cls.STOP | (t in CJK_STOPS) * cls.CJK_STOP | (t == " ") * cls.SPACE | (t == "\n") * cls.LINE | (t == "```") * cls.FENCE
+            | (t[:1].isalnum() or t == "#") * cls.WORD | t.isalpha() * cls.ALPHA | (t == BEGIN) * cls.BEGIN
+        )
+
+    def tails(self) -> tuple[np.ndarray, ...]:
+        """(text, length, tail, head, prev): the tails that may be marks, keys of the whole one and of its first run, the hash of the token before it.
+
+        A tail leaves a token of its text before it and starts with a space, a line feed or a symbol, but is neither the
+        end of a sentence only nor one word: runs tell what that is.
+        """
+        h, kind, rows = self.hashes, self.kinds, []
+        g, power = np.zeros(len(self.ends), np.uint64), np.uint64(1)
+        stop = np.array([t in STOPS and t != "…" for t in self.voc])
+        every = np.arange(len(self.ends))
+        for k in range(1, TAIL + 1):
+            every = every[self.sizes[every] > k + 1]
+            at = self.ends[every] - k + 1
+            first = self.ids[at]
+            with np.errstate(over="ignore"):
+                g[every] += h[first] * power
+                power *= np.uint64(_BASE)
+            use = kind[first] & self.WORD == 0
+            if k == 1:
+                use &= ~stop[first]
+            if k == 2:
+                use &= kind[self.ids[at + 1]] & self.ALPHA == 0
+            sel, at = every[use], at[use]
+            head = np.zeros(len(sel), np.uint64)
+            for j in range(min(k, RUN)):
+                head = head * np.uint64(_BASE) + h[self.ids[at + j]]
+            rows.append((sel, np.full(len(sel), k), _mixed(g[sel], 100 + k, False), _mixed(head, min(k, RUN), False), h[self.ids[at - 1]]))
+        return tuple(np.concatenate(c) for c in zip(*rows))
+
+    def ends_before(self, tails: Tails) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, length, tail) of the given tails that texts have, without those that are another one, twice as frequent, after some word."""
+        text, k, tail, _, _ = self.tails()
+        has = np.flatnonzero(np.isin(tail, tails.keys))
+        i = np.searchsorted(tails.keys, tail[has])
+        words = np.cumsum(self.kinds[self.ids] & self.WORD != 0)
+        shorter: dict[int, list[tuple[int, int]]] = {}
+        kept = []
+        for j, t, n, last in zip(has.tolist(), text[has].tolist(), tails.often[i].tolist(), tails.last[i].tolist()):  # shorter ones come first
+            at = self.ends[t] - k[j]
+            inner = shorter.setdefault(t, [])
+            if last and not any(m >= 2 * n and words[end] > words[at] for end, m in inner):
+                kept.append(j)
+            inner.append((at, n))
+        return text[kept], k[kept], tail[kept]
+
+    def stretches(self, width: int) -> Iterator["Stretch"]:
+        poly, closed = np.uint64(0), True
+        for a in range(0, len(self.ids), width):
+            s = Stretch(self, a, min(len(self.ids), a + width), poly, closed)
+            yield s
+            poly, closed = s.poly, s.closed
+
+
+class Stretch:
+    """Tokens a to b of a pack: where sentences, lines and texts end, and the polynomials of the runs and segments up to each token."""
+
+    def __init__(self, pack: Pack, a: int, b: int, poly: np.uint64, closed: bool) -> None:
+        """poly: of the segment that a may go on with; closed: whether none is open."""
+        self.pack, self.a, self.b, self._poly, self._closed = pack, a, b, poly, closed
+        self.ids, self.pos = pack.ids[a:b], pack.pos[a:b]
+        kind = np.append(pack.kinds[pack.ids[a : b + 2]], np.full(2, Pack.BEGIN, np.uint8))
+        self.kind, n1, n2 = kind[: b - a], kind[1 : b - a + 1], kind[2 : b - a + 2]
+        is_ = lambda k, what: (k & what) != 0
+        self.last = is_(n1, Pack.BEGIN)  # of its text
+        before_stop = is_(n1, Pack.CJK_STOP) | is_(n1, Pack.STOP) & is_(n2, Pack.BEGIN | Pack.SPACE | Pack.LINE)
+        self.stops = self.last | is_(n1, Pack.LINE) | is_(self.kind, Pack.CJK_STOP) | np.where(is_(self.kind, Pack.STOP), is_(n1, Pack.SPACE), before_stop)
+        self.own = ~is_(self.kind, Pack.BEGIN)
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(level, polynomials, those of all tokens but the last, whether there is such a run) for runs of each length, then for segments."""
+        lo = max(0, self.a - RUN + 1)
+        h = self.pack.hashes[self.pack.ids[lo : self.b]]
+        g, skip = np.zeros(len(h), np.uint64), self.a - lo
+        for n in range(1, RUN + 1):
+            before = np.concatenate([np.zeros(1, np.uint64), g[:-1]]) if n > 1 else g
+            g = before * np.uint64(_BASE) + h
+            yield n, g[skip:], before[skip:], self.own & (self.pos >= n - 1)
+        yield SEGMENT, *self._segments(h[skip:])
+
+    def _segments(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = self.b - self.a
+        word = (self.kind & (Pack.SPACE | Pack.LINE | Pack.STOP | Pack.BEGIN)) == 0
+        ended = np.concatenate([[0], np.cumsum(self.stops)])  # before each token
+        at = np.flatnonzero(word)
+        opens = np.zeros(m, bool)
+        if len(at):
+            opens[at] = np.diff(ended[at], prepend=-1 if self._closed else 0) > 0
+        places = np.arange(m)
+        start = np.maximum.accumulate(np.where(opens, places, -1))
+        # Sum of h[j] B^(i-j) over the segment, as a difference of running sums of h[j] B^-j.
+        up, down = np.full(m, _BASE, np.uint64), np.full(m, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        q = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down)])
+        g = (q[1:] - q[np.maximum(start, 0)]) * up
+        going = start < 0
+        g[going] += self._poly * up[going] * np.uint64(_BASE)
+        before = np.concatenate([np.full(1, self._poly), g[:-1]])
+        before[opens] = 0
+        open_at = ended[:-1] == ended[np.maximum(start, 0)]
+        if self._closed:
+            open_at &= start >= 0
+        last_word = at[-1] if len(at) else -1
+        self.closed = bool(self.stops[max(last_word, 0) :].any()) or (last_word < 0 and self._closed)
+        self.poly = g[-1]
+        return g, before, open_at & self.own
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to packs, and the tails of each pack's texts with their counts."""
+    voc = Vocabulary()
+    keys, chars, held, size = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal keys, chars, held, size
+        ids = np.concatenate(held)
+        used = np.zeros(len(voc.tokens), bool)
+        used[ids] = True
+        small = (np.cumsum(used) - 1).astype(np.int32)[ids]
+        sizes = np.array([len(x) for x in held], dtype=np.int32)
+        words = [voc.tokens[i] for i in np.flatnonzero(used)]
+        _, _, tail, head, prev = Pack(words, small, sizes).tails()
+        both = np.stack([tail, prev], axis=1)
+        _, first, n = np.unique(both, axis=0, return_index=True, return_counts=True) if len(both) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        num = lambda x: [None, *x[first].view(np.int64).tolist()]
+        none = [None] * len(first)
+        cols = [["pack"] + ["tail"] * len(first), [keys, *none], [chars, *none], [sizes, *none], [words, *none], [small.tobytes(), *none], num(tail), num(head), num(prev), [None, *n.tolist()]]
+        keys, chars, held, size = [], [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PACK_TYPES)], names=_PACK_NAMES)
+
+    for b in batches:
+        for tkey, text in zip(b["tkey"].to_pylist(), b["text"].to_pylist()):
+            ids = voc.encode(text)
+            keys.append(tkey)
+            chars.append(len(text))
+            held.append(ids)
+            size += len(ids)
+            if size >= FLUSH:
+                yield flush()
+            if len(voc.raw) > FLUSH:  # the numbers of held texts are the old table's
+                if held:
+                    yield flush()
+                voc = Vocabulary()
+    if held:
+        yield flush()
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Pack]]:
+    for b in batches:
+        for i in range(b.num_rows):  # one at a time: a pack is megabytes
+            row = b.slice(i, 1).to_pylist()[0]
+            yield row, Pack(row["voc"], np.frombuffer(row["ids"], dtype=np.int32), np.array(row["sizes"]))
+
+
+READINGS_DDL = "tkey binary, tail_size int, tail bigint, size int, n_tokens int, open_block boolean, keys array<bigint>, frags array<bigint>"
+
 
-        h, out = xxhash.xxh3_64(), []
-        for ch in token[:-1]:  # one pass, however long the token
-            h.update(ch.encode("utf-8", "replace"))
-            out.append(h.intdigest())
-        return np.array(out, dtype=np.uint64)
+def _readings(tails: Tails):
+    """Each text as it ends, and as it ends before each of the tails that it has.
 
-    def encode(self, text: str) -> array:
-        raw, out = self.raw, array("i", [self.begin])
-        for x in TOKEN.findall(text) if len(text) < 1 << 20 else (m.group() for m in TOKEN.finditer(text)):
-            i = raw.get(x)
-            if i is None:
-                i = self.of(_class(x))
-                if len(x) < 40:
-                    raw[x] = i
-            out.append(i)
-        return out
+    keys has those of its last runs by length, of its closing segment and, before a tail, of the run that its last
+    token and the tail's first two make.
+    """
+    names = [f.split(" ")[0] for f in READINGS_DDL.split(", ")]
+    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, pack in _packs(batches):
+            n = len(pack.ends)
+            text, k, tail = (np.concatenate([x, y]) for x, y in zip((np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint64)), pack.ends_before(tails)))
+            place = pack.ends[text] - k
+            step, h = np.minimum(k, 2), pack.hashes
+            on = h[pack.ids[place]]
+            for j in (1, 2):
+                on = np.where(step >= j, on * np.uint64(_BASE) + h[pack.ids[np.minimum(place + j, len(pack.ids) - 1)]], on)
+            on = np.where(step == 2, _mixed(on, 3, False), _mixed(on, 2, False)).view(np.int64)
+            fences = np.cumsum(pack.kinds[pack.ids] & Pack.FENCE != 0)
+            open_block = (fences[place] - fences[pack.ends[text] - pack.sizes[text] + 1]) % 2 == 1
+            for s in pack.stretches(FLUSH):
+                r = np.flatnonzero((place >= s.a) & (place < s.b))
+                at = place[r] - s.a
+                alpha = s.kind[at] & Pack.ALPHA != 0
+                keys, frags = [], []
+                for level, g, _, ok in s.runs():
+                    keys.append([x if v else None for x, v in zip(_mixed(g[at], level, False).view(np.int64).tolist(), ok[at])])
+                    frags.append([x if v else None for x, v in zip(_mixed(g[at], level, True).view(np.int64).tolist(), ok[at] & alpha)])
+                t, marked = text[r], k[r] > 0
+                keys.append([x if v else None for x, v in zip(on[r].tolist(), marked)])
+                cols = [
+                    [row["tkeys"][i] for i in t], k[r], pa.array(tail[r].view(np.int64), mask=~marked), np.array(row["chars"])[t], s.pos[at], open_block[r],
+                    list(zip(*keys)), list(zip(*frags)),
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, ty) for c, ty in zip(cols, types)], names=names)
+
+    return run
+
+
+@dataclass
+class Filter:
+    """A set of keys with false hits: the bits that they hash to. Keys of other rounds than its own aren't in it."""
+
+    bits: np.ndarray
+    round: int = 0
+    rounds: int = 1
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> "Filter":
+        size = max(1 << 15, 1 << (16 * max(1, len(keys)) - 1).bit_length())
+        on = np.zeros(size, np.uint8)
+        on[(keys & np.uint64(size - 1)).astype(np.int64)] = 1
+        return cls(np.packbits(on, bitorder="little"))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        p = keys & np.uint64(len(self.bits) * 8 - 1)
+        hit = (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return hit if self.rounds == 1 else hit & ((keys >> np.uint64(40)) % np.uint64(self.rounds) == np.uint64(self.round))
 
 
 def _sum_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -203,127 +411,139 @@ def _sum_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (u, *(np.bincount(inv, weights=v, minlength=len(u)).astype(np.int64) for v in values))
 
 
-def _counter(bitmap):
-    def wanted(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        p = keys & np.uint64(BITMAP_BITS - 1)
-        return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _beginnings(token: str) -> np.ndarray:
+    import xxhash
+
+    h, out = xxhash.xxh3_64(), []
+    for ch in token[:-1]:  # one pass, however long the token
+        h.update(ch.encode("utf-8", "replace"))
+        out.append(h.intdigest())
+    return np.array(out, dtype=np.uint64)
 
-    def emit(voc: _Tokens, ids: np.ndarray, pos: np.ndarray, left: np.ndarray, marked: np.ndarray, fresh: np.ndarray, total: tuple[int, int], bits: np.ndarray) -> pa.RecordBatch:
-        """Counts of one stretch. pos: place in the text; left: tokens of the text after this one; fresh: not counted before."""
-        token_hash, kind = np.array(voc.hashes, dtype=np.uint64)[ids], np.array(voc.kinds, dtype=np.uint8)[ids]
-        size = len(ids)
-        after = np.append(kind[1:], 0)
-        after2 = np.append(after[1:], 0)
-        last, end1, end2 = kind, left == 0, left == 1
-        is_ = lambda k, what: (k & what) != 0
-        done = end2 | is_(after2, _Tokens.SPACE | _Tokens.LINE)
-        e = end1 | is_(after, _Tokens.LINE) | is_(last, _Tokens.CJK) | np.where(is_(last, _Tokens.STOP), is_(after, _Tokens.SPACE), is_(after, _Tokens.CJK) | (is_(after, _Tokens.STOP) & done))
-        use = fresh & (pos > 0) & ~(end1 & marked)
-        lens = np.array([len(x) for x in voc.prefixes], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        flat = np.concatenate(voc.prefixes) if voc.prefixes else np.zeros(0, np.uint64)
-        g = np.zeros(size, np.uint64)  # polynomial of the n - 1 tokens before
+
+COUNTS_DDL = "key bigint, n bigint, e bigint, x bigint, p bigint"
+
+
+def _counter(wanted, words=None, tails: Tails | None = None):
+    """Counts of the wanted runs and segments: all, those at the end of a sentence or line, of a text, and those whose last word begins with the key's.
+
+    words is a filter of all fragments by themselves; without it none are counted. What stands before one of the tails
+    at the end of its text isn't counted, as it may have been cut there.
+    """
+
+    def count(s: Stretch, want: Filter, frag: np.ndarray, lens: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
         parts: list[tuple[np.ndarray, ...]] = []
-        for n in range(1, RUN + 1):
-            before = g if n == 1 else np.concatenate([np.zeros(1, np.uint64), g[:-1]])
-            g = before * np.uint64(_BASE) + token_hash
-            at = np.flatnonzero(use & (pos >= n - 1))
-            if not len(at):
-                break
-            keys = _mixed(g[at], n, False)
-            hit = wanted(keys, bits)
-            sel = at[hit]
-            zero = np.zeros(len(sel), np.int64)
-            parts.append((keys[hit], np.ones(len(sel), np.int64), e[sel].astype(np.int64), end1[sel].astype(np.int64), zero))
-            # Beginnings of each distinct run's last word, after the words before it.
-            _, first, times = np.unique(keys, return_index=True, return_counts=True)
-            spot = at[first]
-            k = lens[ids[spot]]
-            rep = np.repeat(np.arange(len(spot)), k)
-            inner = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
-            frag = _mixed(before[spot][rep] * np.uint64(_BASE) + flat[starts[ids[spot]][rep] + inner], n, True)
-            hit = wanted(frag, bits)
-            zero = np.zeros(int(hit.sum()), np.int64)
-            parts.append((frag[hit], zero, zero, zero, times[rep[hit]]))
-        cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 4
-        key, *sums = _sum_up(*cols)
-        # The row without key has the totals: tokens and texts.
-        rows = [[None, *key.view(np.int64).tolist()]] + [[t, *v.tolist()] for t, v in zip((total[0], 0, total[1], 0), sums)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["key", "n", "e", "x", "p"])
+        starts = np.concatenate([[0], np.cumsum(lens)])
+        for level, g, before, ok in s.runs():
+            at = np.flatnonzero(ok & use)
+            if level == 1:  # by token
+                ids, size = s.ids[at], len(s.pack.voc)
+                n, e, x = (np.bincount(ids, weights=w, minlength=size) for w in (None, s.stops[at], s.last[at]))
+                seen = np.flatnonzero(n)
+                keys = _mixed(s.pack.hashes[seen], 1, False)
+                hit = want.has(keys)
+                sel = seen[hit]
+                parts.append((keys[hit], n[sel], e[sel], x[sel], np.zeros(len(sel))))
+                rep, times = np.repeat(seen, lens[seen]), np.repeat(n[seen], lens[seen])
+                before, ids = np.zeros(size, np.uint64), np.arange(size)
+            else:
+                keys = _mixed(g[at], level, False)
+                hit = want.has(keys)
+                sel = at[hit]
+                parts.append((keys[hit], np.ones(len(sel)), s.stops[sel], s.last[sel], np.zeros(len(sel))))
+                ids = s.ids
+                rep = np.repeat(at, lens[ids[at]])
+                times = np.ones(len(rep))
+            # Beginnings of each word after the tokens before it.
+            k = lens[ids[rep]]
+            first = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])) if len(rep) else np.zeros(0, np.int64)
+            inner = np.arange(len(rep)) - np.repeat(first, k[first] if len(rep) else 0)
+            keys = _mixed(before[rep] * np.uint64(_BASE) + frag[starts[ids[rep]] + inner], level, True)
+            hit = want.has(keys)
+            zero = np.zeros(int(hit.sum()))
+            parts.append((keys[hit], zero, zero, zero, times[hit]))
+        key, *sums = _sum_up(*[np.concatenate(c) for c in zip(*parts)])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, sums)], names=["key", "n", "e", "x", "p"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
-        voc = _Tokens()
-        held: list[tuple[np.ndarray, ...]] = []
-        size = texts = 0
-
-        def flush():
-            nonlocal held, size, texts
-            ids, pos, left, marked, fresh = (np.concatenate(c) for c in zip(*held))
-            out = emit(voc, ids, pos, left, marked, fresh, (int(fresh.sum()), texts), bits)
-            held, size, texts = [], 0, 0
-            return out
-
-        for b in batches:
-            for text in b["text"].to_pylist():
-                if len(voc.hashes) > FLUSH:  # ids of held stretches are the old table's
-                    if held:
-                        yield flush()
-                    voc = _Tokens()
-                mark, kept, space = split_ending(text)
-                ids = np.frombuffer(voc.encode(kept), dtype=np.int32)
-                if space and not voc.kinds[ids[-1]] & _Tokens.STOP:
-                    ids = np.append(ids, np.int32(voc.space))
-                texts += 1
-                for a in range(0, len(ids), FLUSH):  # a longer text in stretches that overlap by a run
-                    lo, hi = max(0, a - RUN + 1), min(len(ids), a + FLUSH + 2)
-                    pos = np.arange(lo, hi)
-                    held.append((ids[lo:hi], pos, len(ids) - 1 - pos, np.full(hi - lo, bool(mark)), (pos >= a) & (pos < a + FLUSH)))
-                    size += hi - lo
-                    if size >= FLUSH:
-                        yield flush()
-        if held or texts:
-            yield flush()
+        want, some = wanted.value, words.value if words else None
+        known: dict[str, np.ndarray] = {}
+        none = np.zeros(0, np.uint64)
+        for _, pack in _packs(batches):
+            per = []
+            for t, kind in zip(pack.voc, pack.kinds):
+                if some is None or len(t) < 2 or not kind & Pack.ALPHA:
+                    per.append(none)
+                    continue
+                f = known.get(t)
+                if f is None:
+                    f = _beginnings(t)
+                    f = f[some.has(_mixed(f, 1, True))]
+                    if len(t) < 40 and len(known) < FLUSH:
+                        known[t] = f
+                per.append(f)
+            frag, lens = np.concatenate([none, *per]), np.array([len(x) for x in per], dtype=np.int64)
+            cut = np.zeros(len(pack.ids), bool)
+            if tails:
+                text, k, _ = pack.ends_before(tails)
+                cut[pack.ends[text] - k] = True
+            for s in pack.stretches(FLUSH):
+                yield count(s, want, frag, lens, ~cut[s.a : s.b])
 
     return run
 
 
-def wanted_bitmap(ends: DataFrame) -> bytes:
-    """BITMAP_BITS bits, set where a run or fragment of some ending hashes to."""
-    keys = ends.select(F.explode("runs").alias("r")).select(F.explode(F.array("r.key", "r.frag")).alias("k")).where("k is not null")
-    pos = F.col("k").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
-    rows = keys.select(pos.alias("pos")).groupBy(F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits")).collect()
-    out = bytearray(BITMAP_BITS // 8)
-    for r in rows:  # at most BITMAP_BITS / 32768 of 4 KB each
-        at = (r.bucket - 1) * 4096
-        out[at : at + 4096] = r.bits
-    return bytes(out)
-
-
-def score_endings(texts: DataFrame, ends: DataFrame) -> tuple[DataFrame, int, int]:
-    """(sig, p_end, n, runs_n, runs_x, runs_p) of every distinct ending; tokens and texts of the corpus."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(wanted_bitmap(ends))
-    counts = materialize(
-        texts.select("text").mapInArrow(_counter(bitmap), "key bigint, n bigint, e bigint, x bigint, p bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "e", "x", "p")]),
-        "runs",
-    )
-    total = counts.where("key is null").select("n", "x").collect()
-    hits = counts.where("key is not null")
-    sigs = ends.groupBy("sig").agg(F.first("own").alias("own"), F.first("runs").alias("runs"), F.first("n_tokens").alias("n_tokens"))
-    run = sigs.select("sig", "own", F.explode("runs").alias("r")).select("sig", "own", "r.n", "r.key", "r.frag")
-    whole = run.select("sig", "own", "n", "key", F.lit(False).alias("is_frag"))
-    frag = run.where("frag is not null").select("sig", "own", "n", F.col("frag").alias("key"), F.lit(True).alias("is_frag"))
-    got = whole.unionByName(frag).withColumnRenamed("n", "len").join(hits, "key", "left")
-    z = lambda c, cond: F.coalesce(F.max(F.when(cond, F.col(c))), F.lit(0))
-    per = got.groupBy("sig", "len").agg(
-        F.first("own").alias("own"), z("n", ~F.col("is_frag")).alias("n"), z("e", ~F.col("is_frag")).alias("e"), z("x", ~F.col("is_frag")).alias("x"), z("p", F.col("is_frag")).alias("p")
-    )
-    own = F.col("own")
-    per = per.select("sig", "len", (F.col("n") - own).alias("n"), (F.col("e") - own).alias("e"), (F.col("x") - own).alias("x"), "p").where("n + p >= 4")
-    best = per.groupBy("sig").agg(F.max(F.struct("len", "n", "e", "x", "p")).alias("b")).select(
-        "sig", (F.col("b.e") / (F.col("b.n") + F.col("b.p"))).alias("p_end"), F.col("b.len").alias("len"), F.col("b.n").alias("runs_n"), F.col("b.x").alias("runs_x"), F.col("b.p").alias("runs_p")
+def filter_of(keys: DataFrame, n: int, round: int = 0, rounds: int = 1) -> Filter:
+    """A filter of one round's keys (column key), of 16 bits for each of n keys, at most FILTER_BITS."""
+    size = max(1 << 15, min(FILTER_BITS, 1 << (16 * max(1, n) // rounds - 1).bit_length()))
+    mine = F.pmod(F.shiftrightunsigned("key", 40), F.lit(rounds)) == round
+    pos = F.col("key").bitwiseAND(F.lit(size - 1)) + 1
+    rows = keys.where(mine).select(pos.alias("pos")).groupBy(F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits")).collect()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows:  # at most FILTER_BITS / 32768 of 4 KB each
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return Filter(out, round, rounds)
+
+
+def find_tails(packed: DataFrame, n_texts: int) -> Tails:
+    """The tails that recur after tokens of many kinds.
+
+    A text has at most TAIL of them, and each is in one of MARK_RATE texts, so there are at most TAIL * MARK_RATE.
+    """
+    spark = packed.sparkSession
+    pairs = packed.where("kind = 'tail'").groupBy("tail", "prev").agg(F.sum("n").alias("n"), F.first("head").alias("head"))
+    often = pairs.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("n").alias("top"), F.first("head").alias("head"))
+    rows = often.where(F.col("n") >= max(MARK_MIN, n_texts / MARK_RATE)).where("kinds >= 3 and 3 * top <= n").select("tail", "head", "n").collect()
+    rows.sort(key=lambda r: r.tail & _WORD)
+    ints = lambda x: np.array(x, dtype=np.int64)
+    heads = np.unique(ints([r.head for r in rows]))
+    sent = spark.sparkContext.broadcast(Filter.of(heads.view(np.uint64)))
+    seen = packed.where("kind = 'pack'").mapInArrow(_counter(sent), COUNTS_DDL).groupBy("key").agg(F.sum("n").alias("n"))
+    every = {r.key: r.n for r in seen.join(F.broadcast(spark.createDataFrame([(int(h),) for h in heads], "key bigint")), "key").collect()} if rows else {}
+    return Tails(ints([r.tail for r in rows]).view(np.uint64), ints([r.n for r in rows]), np.array([r.n >= END_SHARE * every.get(r.head, 0) for r in rows], dtype=bool))
+
+
+def score_readings(packed: DataFrame, readings: DataFrame, tails: Tails) -> DataFrame:
+    """(sig, counts by level) of every distinct reading (sig, keys, frags), its own counts included."""
+    spark = packed.sparkSession
+    run = readings.select("sig", F.posexplode(F.arrays_zip("keys", "frags")).alias("level", "r")).select("sig", (F.col("level") + 1).alias("level"), "r.keys", "r.frags")
+    run = run.select("sig", "level", F.posexplode(F.array("keys", "frags")).alias("is_frag", "key")).where("key is not null")
+    words = run.where("level = 1 and is_frag = 1").select("key")
+    n_keys, n_words = run.agg(F.approx_count_distinct("key"), F.approx_count_distinct(F.when(F.expr("level = 1 and is_frag = 1"), F.col("key")))).first()
+    word_filter = spark.sparkContext.broadcast(filter_of(words, n_words))
+    rounds = max(1, -(-16 * n_keys // FILTER_BITS))
+    counts = None
+    for i in range(rounds):
+        sent = spark.sparkContext.broadcast(filter_of(run.select("key"), n_keys, i, rounds))
+        part = packed.where("kind = 'pack'").mapInArrow(_counter(sent, word_filter, tails), COUNTS_DDL)
+        counts = part if counts is None else counts.unionByName(part)
+    hits = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "e", "x", "p")])
+    got = run.join(hits, "key")
+    one = lambda c, level, frag: F.coalesce(F.max(F.when(F.expr(f"level = {level} and is_frag = {frag}"), F.col(c))), F.lit(0))
+    return got.groupBy("sig").agg(
+        *[F.struct(*[one(c, level, int(c == "p")).alias(c) for c in "nexp"]).alias(f"l{level}") for level in range(1, SEGMENT + 1)],
+        one("n", SEGMENT + 1, 0).alias("goes_on_so"),
     )
-    return best, int(total[0].n or 0) if total else 0, int(total[0].x or 0) if total else 0
 
 
 COPY_DDL = "tkey binary, part int, first_text string, open_text string, inside_word boolean, inside_sentence boolean"
@@ -333,7 +553,7 @@ GOES_ON = 40  # characters looked at on each side of the place where a prefix st
 def goes_on(text: str, longer: str) -> tuple[bool, bool]:
     """Whether the longer text goes on inside a word, or inside a sentence, where text stops."""
     rest = longer[len(text) : len(text) + GOES_ON]
-    inside_word = text[-1:].isalpha() and rest[:1].isalpha()
+    inside_word = len(TOKEN.findall(text[-1:] + rest[:1])) == 1 and text[-1:].isalpha() and rest[:1].isalpha()
     before, after = tokens(text[-GOES_ON:]), tokens(rest)
     n1 = after[0] if after else END
     n2 = after[1] if len(after) > 1 else END
@@ -404,9 +624,10 @@ def prefix_copies(texts: DataFrame) -> DataFrame:
     ordered = texts.select("tkey", "text").repartitionByRange("text").sortWithinPartitions("text")
     got = materialize(ordered.mapInArrow(_extended, COPY_DDL), "copies")
     flags = got.where("inside_word is not null").select("tkey", "inside_word", "inside_sentence")
-    # One row per partition of the sort.
+    # One number per partition of the sort meets in a task; the texts are joined to it.
     parts = got.where("open_text is not null").select("part", "first_text").distinct()
-    nexts = parts.select("part", F.lead("first_text").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("next"))
+    after = parts.select("part", F.lead("part").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("after"))
+    nexts = after.join(parts.select(F.col("part").alias("after"), F.col("first_text").alias("next")), "after").select("part", "next")
     crossing = materialize(got.where("open_text is not null").join(nexts, "part").where(F.startswith("next", "open_text")).select("tkey", "open_text"), "crossing")
     shortest = crossing.agg(F.min(F.char_length("open_text")).alias("n")).first().n
     if shortest is not None:
@@ -439,40 +660,82 @@ def length_limits(sized: DataFrame) -> DataFrame:
     return spread.where("at >= 6 and at >= 5 * (around + 0.5) and longer < 0.35").select("source", "size", "at", "around")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, reason): reason is null for whole texts; blank texts have no row."""
+
+
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, tkey, size) of the documents that aren't blank; (tkey, text) of their distinct texts."""
     rows = docs.select("doc_id", norm_source(F.col("source")).alias("source"), "text").where(~is_blank(F.col("text")))
     keyed = rows.select("doc_id", "source", F.unhex(F.md5("text")).alias("tkey"), F.char_length("text").alias("size"))
-    texts = materialize(rows.select("text").distinct().select(F.unhex(F.md5("text")).alias("tkey"), "text"), "texts")
-    ends = materialize(texts.mapInArrow(_ends, ENDS_DDL), "ends")
-    scores, n_tokens, n_texts = score_endings(texts, ends)
-    copies = prefix_copies(texts)
-    p, none = F.col("p_end"), F.lit(None).cast("string")
-    sure = (F.col("len") > 2) | (F.col("runs_p") >= 9 * F.col("runs_n")) | (F.col("n_tokens") >= 12)
-    short = F.col("n_tokens") < 4
-    text_reason = (
-        F.when(F.col("mark") == "hard", "mark")
-        .when((F.col("mark") == "soft") & (p < 0.3) & (F.col("len") > 2), "mark")
-        .when(F.col("open_block"), "open_block")
-        .when((F.col("mark") == "") & (p < 0.03) & sure & ~(short & (F.col("runs_p") == 0)), "mid_text")
-        .when((F.col("mark") == "") & (F.col("size") >= 20) & F.col("inside_word") & (p.isNull() | (p < 0.3)), "copy")
-        .when((F.col("mark") == "") & (F.col("size") >= 40) & F.col("inside_sentence") & (p < 0.15), "copy")
-        .otherwise(none)
+    return keyed, materialize(rows.select("text").distinct().select(F.unhex(F.md5("text")).alias("tkey"), "text"), "texts")
+
+
+def read_endings(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Every reading of every text with the counts of its last runs (run) and its closing segment (seg) in other texts; tokens and texts of the corpus.
+
+    run is the longest one with EVIDENCE, null if none has it. Counts are n (all), e (where a sentence or line ends),
+    x (where a text ends) and p (where the last word goes on).
+    """
+    total = {"tokens": F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)), "texts": F.sum(F.when(F.col("kind") == "pack", F.size("sizes")))}
+    packed = materialize(texts.mapInArrow(_tokenise, PACK_DDL), "packs", partition_by=["kind"], counts=total)
+    n_tokens, n_texts = (int(packed._logloom_counts.get(c) or 0) for c in ("tokens", "texts"))
+    tails = find_tails(packed, n_texts)
+    found = packed.where("kind = 'pack'").mapInArrow(_readings(tails), READINGS_DDL)
+    readings = materialize(found.withColumn("sig", F.xxhash64("keys")), "readings")
+    sigs = readings.groupBy("sig").agg(F.first("keys").alias("keys"), F.first("frags").alias("frags"))
+    got = readings.drop("keys", "frags").join(score_readings(packed, sigs, tails), "sig", "left")
+    own = F.when(F.col("tail_size") == 0, 1).otherwise(0)  # before a tail a text isn't counted
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    level = lambda i: F.struct(F.lit(i).alias("len"), *[F.greatest(z(f"l{i}.{c}") - own, F.lit(0)).alias(c) for c in "nex"], z(f"l{i}.p").alias("p"))
+    runs = F.filter(F.array(*[level(i) for i in range(RUN, 0, -1)]), lambda r: r["n"] + r["p"] >= EVIDENCE)
+    return got.select("tkey", "tail_size", "tail", "size", "n_tokens", "open_block", F.get(runs, F.lit(0)).alias("run"), level(SEGMENT).alias("seg"), z("l1.n").alias("last_n"), z("goes_on_so").alias("goes_on_so")), n_tokens, n_texts
+
+
+def share(c: str, of: str) -> Column:
+    """The share of a count in all that a run or segment is found with."""
+    return F.try_divide(F.col(f"{of}.{c}"), F.col(f"{of}.n") + F.col(f"{of}.p"))
+
+
+def learned_marks(readings: DataFrame) -> DataFrame:
+    """(tail): tails before which runs hardly ever end, and hardly ever go on with the tail."""
+    p = share("e", "run")
+    stat = readings.where("tail_size > 0").groupBy("tail").agg(
+        F.count(p).alias("judged"), F.count_if(p < RARE).alias("open"), F.sum(F.greatest(F.col("goes_on_so") - 1, F.lit(0))).alias("so"), F.sum("last_n").alias("last_n")
     )
-    verdict = (
-        ends.join(scores, "sig", "left")
-        .join(copies, "tkey", "left")
-        .select("tkey", text_reason.alias("reason"), p, F.coalesce("runs_n", F.lit(0)).alias("rn"), F.coalesce("runs_x", F.lit(0)).alias("rx"), F.coalesce("runs_p", F.lit(0)).alias("rp"))
+    return stat.where((F.col("judged") >= MARK_MIN) & (F.col("open") >= END_SHARE * F.col("judged")) & (F.col("so") <= NATURAL * F.col("last_n"))).select("tail")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, reason, ways): reason is the first way that holds, null for whole texts; blank texts have no row."""
+    keyed, texts = keyed_rows(docs)
+    endings, n_tokens, n_texts = read_endings(texts)
+    readings = materialize(endings, "endings")
+    marked = (
+        readings.where("tail_size > 0").join(learned_marks(readings), "tail", "left_semi")
+        .where("run is not null").select("tkey").distinct().withColumn("marked", F.lit(True))
+    )
+    one = readings.where("tail_size = 0").join(prefix_copies(texts), "tkey", "left").join(marked, "tkey", "left")
+    p, x, seg = share("e", "run"), share("x", "run"), share("e", "seg")
+    goes_on = lambda limit: F.coalesce(p < limit, F.lit(True))
+    told = (F.col("n_tokens") >= MIN_TOKENS) | (F.greatest("run.p", "seg.p") > 0)
+    unmarked = F.col("marked").isNull()
+    ways = {
+        "copy": unmarked & (F.col("inside_word") & goes_on(0.3) | F.col("inside_sentence") & told & (p < LIKELY)),
+        "segment": unmarked & told & (seg < RARE) & (F.col("seg.n") + F.col("seg.p") >= 2) & goes_on(LIKELY),
+        # One or two tokens only tell a fragment.
+        "run": unmarked & told & (p < RARE) & ((F.col("run.len") > 2) | (share("p", "run") >= 0.9)),
+        "mark": F.col("marked"),
+        "open_block": unmarked & F.col("open_block") & (x < RARE),
+    }
+    verdict = one.select(
+        "tkey", p.alias("p"), *[F.coalesce(F.col(f"run.{c}"), F.lit(0)).alias(f"r{c}") for c in "nxp"],
+        F.filter(F.array(*[F.when(w, F.lit(name)) for name, w in ways.items()]), lambda w: w.isNotNull()).alias("ways"),
     )
-    limits = length_limits(keyed)
     # Of the texts at a limit: cut there by chance, or an end that happens to be there. Without evidence the lengths decide.
     as_cut = F.col("at") * (F.col("rn") - F.col("rx") + F.col("rp")) / F.lit(float(max(1, n_tokens)))
     as_end = (F.col("around") + 0.1) * (F.col("rx") + 0.5) / F.lit(float(max(1, n_texts)))
-    return (
-        keyed.join(verdict, "tkey")
-        .join(limits, ["source", "size"], "left")
-        .select("doc_id", "source", F.coalesce("reason", F.when(F.when(p.isNull(), F.col("at") > F.col("around")).otherwise(as_cut > as_end), "limit")).alias("reason"))
-    )
+    limit = F.when(F.col("p").isNull(), F.col("at") > F.col("around")).otherwise(as_cut > as_end)
+    every = F.when(F.coalesce(limit, F.lit(False)), F.array_append("ways", F.lit("limit"))).otherwise(F.col("ways"))
+    return keyed.join(verdict, "tkey").join(length_limits(keyed), ["source", "size"], "left").select("doc_id", "source", F.get(every, F.lit(0)).alias("reason"), every.alias("ways"))
 
 
 def find_cut(docs: DataFrame) -> DataFrame:
@@ -480,11 +743,13 @@ def find_cut(docs: DataFrame) -> DataFrame:
     return judge(docs).where("reason is not null").select("doc_id").distinct()
 
 
+WAYS = ("copy", "segment", "run", "mark", "open_block", "limit")
+
+
 def cut_rates(docs: DataFrame) -> DataFrame:
-    """Per source: documents with text, cut ones by reason, and the rate."""
+    """Per source: documents with text, cut ones by each way that holds (a text may count in several), and the rate."""
     j = judge(docs)
-    n = lambda r: F.count_if(F.col("reason") == r).alias(f"n_{r}")
     return j.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
-        F.count("*").alias("n_docs"), F.count("reason").alias("n_cut"), n("mark"), n("mid_text"), n("open_block"), n("copy"), n("limit"),
+        F.count("*").alias("n_docs"), F.count("reason").alias("n_cut"), *[F.count_if(F.array_contains("ways", w)).alias(f"n_{w}") for w in WAYS],
         F.round(F.count("reason") / F.count("*"), 6).alias("cut_rate"),
     )
