@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -138,16 +138,20 @@ def node_table(raw: DataFrame, with_fields: bool = True, every: bool = False) ->
     return lines.mapInArrow(_label_batches(with_fields, every), NODES_DDL)
 
 
-def node_tables(raw: DataFrame, types: list[str]) -> dict[str, DataFrame]:
-    """One flat table per node type, linked by (record_id, parent_pre)."""
-    nodes = node_table(raw, every=True)
-    return {t: nodes.where(F.col("node_type") == t) for t in types}
+def node_tables(raw: DataFrame, folder: str) -> DataFrame:
+    """One flat table per node type below folder (``node_type=...``), all written in one pass, linked by (record_id, parent_pre)."""
+    node_table(raw, every=True).write.mode("error").partitionBy("node_type").parquet(folder)
+    return raw.sparkSession.read.schema(NODES_DDL).parquet(folder)
 
 
-def enclosed(nodes: DataFrame, outer: DataFrame) -> DataFrame:
-    """Nodes below each outer node: equal record_id, interval inside; outer_path names the outer one."""
-    o = outer.select("record_id", F.col("pre").alias("_lo"), F.col("post").alias("_hi"), F.col("node_path").alias("outer_path"))
-    return nodes.join(o, "record_id").where("pre > _lo and post < _hi").drop("_lo", "_hi")
+def enclosed(nodes: DataFrame, outer: Column) -> DataFrame:
+    """(record_id, pre, node_path, node_type, outer_pre, outer_path, outer_type): every node inside of an outer one's interval.
+
+    Pairs are made within a record, and only with its outer nodes.
+    """
+    o = nodes.where(outer).select("record_id", F.col("pre").alias("outer_pre"), F.col("post").alias("_post"), F.col("node_path").alias("outer_path"), F.col("node_type").alias("outer_type"))
+    i = nodes.select("record_id", "pre", "post", "node_path", "node_type")
+    return i.join(o, "record_id").where("pre > outer_pre and post < _post").drop("post", "_post")
 
 
 def find_nodes(raw: DataFrame) -> DataFrame:

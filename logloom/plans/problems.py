@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bad_rows, drift, hierarchy, intervals, nested, orphans
@@ -27,8 +27,7 @@ def p2_renames(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     u = drift.unify(table(spark, d, "raw_records"), table(spark, d, "expected_fields"))
-    flat = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))).alias(c)
-    return u.select("record_id", "source", "jsonl_path", "line_number", "record_type", flat("fields"), flat("other"))
+    return u.select("record_id", "source", "jsonl_path", "line_number", "record_type", *map(_sorted_json, ("fields", "other", "retyped")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +51,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.find_nodes(table(spark, d, "raw_records"))
 
 
+def _sorted_json(c: str) -> Column:
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))).alias(c)
+
+
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     n = nested.node_table(table(spark, d, "raw_records"), every=True)
-    return n.select("record_id", "source", "pre", "post", "depth", "node_path", "parent_pre", "node_type", F.to_json("fields").alias("fields"))
+    return n.select("record_id", "source", "pre", "post", "depth", "node_path", "parent_pre", "node_type", _sorted_json("fields"))
+
+
+def p4_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that node_tables writes: each type's fields, and in how many nodes each is."""
+    n = nested.node_table(table(spark, d, "raw_records"), every=True)
+    return n.select("node_type", F.explode(F.map_keys("fields")).alias("field")).groupBy("node_type", "field").agg(F.count("*").alias("n_nodes"))
+
+
+def p4_enclosed(spark: SparkSession, d: str) -> DataFrame:
+    """Everything inside of tool calls and results, by interval containment."""
+    n = nested.node_table(table(spark, d, "raw_records"), with_fields=False, every=True)
+    return nested.enclosed(n, F.col("node_type").isin("tool_use", "tool_result", "function_call"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +96,8 @@ QUERIES = {
     "p3_descendants": p3_descendants,
     "p4_found": p4_found,
     "p4_nodes": p4_nodes,
+    "p4_by_type": p4_by_type,
+    "p4_enclosed": p4_enclosed,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_clean": p7_clean,

@@ -119,6 +119,37 @@ nodes as (select record_id, substr(t.fullkey, 3) as node_path, regexp_replace(su
   from loads, json_tree(json_object(inner_name, json_extract(j, '$.' || inner_name))) t where inner_type = 'OBJECT' and t.type = 'OBJECT' and t.fullkey <> '$')
 select distinct record_id, node_path, case when node_path = inner_name then '' else up end as parent_path, node_type from nodes"""
 
+# Objects of a body in the order of a walk: with r objects before it and d around it, r - d of those before are closed.
+NODES = f"""with recursive {JSON_LINES},
+tree as (select record_id, source, t.id, t.parent, t.key, t.type, t.value, t.fullkey, inner_name
+  from loads, json_tree(json_object(inner_name, json_extract(j, '$.' || inner_name))) t where inner_type = 'OBJECT'),
+owner_of(record_id, id, cur, top, name) as (
+  select c.record_id, c.id, c.parent, c.id, case when p.type = 'ARRAY' then '[' || c.key || ']' else c.key end from tree c join tree p on p.record_id = c.record_id and p.id = c.parent where c.parent is not null and c.parent > 0 or p.type = 'ARRAY'
+  union all select o.record_id, o.id, c.parent, c.id, case when p.type = 'ARRAY' then '[' || c.key || ']' else c.key end || o.name
+  from owner_of o join tree c on c.record_id = o.record_id and c.id = o.cur and c.type = 'ARRAY' join tree p on p.record_id = c.record_id and p.id = c.parent),
+owned as (select o.* from owner_of o join tree c on c.record_id = o.record_id and c.id = o.cur where c.type = 'OBJECT'),
+above(record_id, id, up) as (
+  select record_id, id, cur from owned join tree using (record_id, id) where type = 'OBJECT'
+  union all select a.record_id, a.id, o.cur from above a join owned o on o.record_id = a.record_id and o.id = a.up),
+objects as (select record_id, source, id, substr(fullkey, 3) as node_path, case when json_type(value, '$.type') = 'VARCHAR' then json_extract_string(value, '$.type') else '' end as node_type,
+  row_number() over (partition by record_id order by id) - 1 as r from tree where type = 'OBJECT' and id > 0),
+placed as (select o.*, (select count(*) from above a where a.record_id = o.record_id and a.id = o.id) as d, (select count(*) from above a where a.record_id = o.record_id and a.up = o.id) as below,
+  (select cur from owned w where w.record_id = o.record_id and w.id = o.id) as up from objects o),
+labelled as (select *, 2 * r - d as pre, 2 * r - d + 2 * below + 1 as post from placed)
+"""
+VALUE = "case when t.type = 'NULL' then null when t.type = 'VARCHAR' then json_extract_string(t.value, '$') else t.value::varchar end"
+P4_NODES = NODES + f""", boxes as (select distinct o.record_id, o.top from owned o join tree t using (record_id, id) where t.type = 'OBJECT' and o.top <> o.id),
+cells as (select o.record_id, o.cur as id, o.name, {VALUE} as v from owned o join tree t using (record_id, id) left join boxes b on b.record_id = o.record_id and b.top = o.top
+  where t.type <> 'OBJECT' and (t.type <> 'ARRAY' and (o.top = o.id or b.top is not null)
+    or t.type = 'ARRAY' and (o.top = o.id and not exists (select 1 from boxes x where x.record_id = o.record_id and x.top = o.id) or o.top <> o.id and b.top is not null and json_array_length(t.value) = 0))),
+packed as (select record_id, id, to_json(map(list(name order by name), list(v order by name)))::varchar as fields from cells group by 1, 2)
+select l.record_id, l.source, l.pre, l.post, l.d as depth, l.node_path, u.pre as parent_pre, l.node_type, coalesce(p.fields, '{{}}') as fields
+from labelled l left join packed p using (record_id, id) left join labelled u on u.record_id = l.record_id and u.id = l.up"""
+P4_BY_TYPE = P4_NODES.replace("select l.record_id, l.source, l.pre", ", n as (select l.record_id, l.source, l.pre", 1) + """)
+select node_type, field, count(*) as n_nodes from (select node_type, unnest(json_keys(fields)) as field from n) group by all"""
+P4_ENCLOSED = NODES + """select i.record_id, i.pre, i.node_path, i.node_type, o.pre as outer_pre, o.node_path as outer_path, o.node_type as outer_type
+from above a join labelled i on i.record_id = a.record_id and i.id = a.id join labelled o on o.record_id = a.record_id and o.id = a.up where o.node_type in ('tool_use', 'tool_result', 'function_call')"""
+
 P2 = f"""with {JSON_LINES},
 rec as (select record_id, coalesce(source, '') as source, coalesce(jsonl_path, '') as jsonl_path, j, rtype || case when source = 'codex' and rtype = 'response_item'
   then ':' || case when json_type(j, '$.payload.type') = 'VARCHAR' then json_extract_string(j, '$.payload.type') else '' end else '' end as record_type from loads),
@@ -152,6 +183,9 @@ union all select jsonl_path, record_type, 'renamed', p.full_path, q.full_path fr
 SQL |= {
     "p2_found": P2,
     "p4_found": P4,
+    "p4_nodes": P4_NODES,
+    "p4_by_type": P4_BY_TYPE,
+    "p4_enclosed": P4_ENCLOSED,
     "p7_found": P7,
     "p7_clean": f"with {JSON_LINES} select raw_records.* from raw_records join loads using (record_id)",
 }

@@ -231,7 +231,7 @@ def test_nodes_odd_rows(spark):
     nodes = nested.node_table(raw)
     n = {r.record_id: r["count"] for r in nodes.groupBy("record_id").count().collect()}
     assert n == {1: 3001, 2: 3, 6: 1}
-    below = nested.enclosed(nodes.where("record_id = 1").select("record_id", "pre", "post", "node_path"), nodes.where("record_id = 1 and depth = 2990"))
+    below = nested.enclosed(nodes, F.expr("record_id = 1 and depth = 2990"))
     assert below.count() == 10
     assert nested.find_nodes(raw.limit(0)).count() == 0
 
@@ -272,10 +272,18 @@ def test_nodes_lose_no_value(spark, sf):
         assert sorted(got[rid], key=key) == sorted(leaves(rec.get("payload", rec.get("message")), []), key=key), rid
 
 
-def test_node_tables_by_type(spark):
+def test_node_tables_by_type(spark, tmp_path):
     raw = spark.createDataFrame([(1, "codex", '{"payload":{"type":"p","in":[{"type":"c","cmd":["ls"]},{"type":"d"}]}}')], "record_id bigint, source string, line string")
-    t = nested.node_tables(raw, ["p", "c"])
-    assert [(r.parent_pre, r.fields) for r in t["c"].collect()] == [(0, {"type": "c", "cmd": '["ls"]'})] and [r.pre for r in t["p"].collect()] == [0]
+    t = nested.node_tables(raw, f"file://{tmp_path}/nodes")
+    assert sorted(p.name for p in (tmp_path / "nodes").glob("node_type=*")) == ["node_type=c", "node_type=d", "node_type=p"]
+    assert [(r.parent_pre, r.fields) for r in t.where("node_type = 'c'").collect()] == [(0, {"type": "c", "cmd": '["ls"]'})] and [r.pre for r in t.where("node_type = 'p'").collect()] == [0]
+
+
+def test_nodes_of_equal_paths_all_stay(spark):
+    line = '{"type":"x","message":{"a.b":{"type":"x","c":{"v":1}},"a":{"b":{"type":"y","c":{"v":2}}}}}'
+    raw = spark.createDataFrame([(1, "claude_code", line)], "record_id bigint, source string, line string")
+    n = nested.node_table(raw, every=True).collect()
+    assert len(n) == 6 and sorted(r.fields["v"] for r in n if "v" in r.fields) == ["1", "2"] and {r.node_type for r in n} == {"", "x", "y"}
 
 
 EXPECTED = [
