@@ -56,7 +56,8 @@ RUN = 4  # tokens of the longest run
 SEGMENT = RUN + 1  # the level of closing segments
 EVIDENCE = 4  # other runs or segments that a level needs
 MIN_TOKENS = 4
-FLUSH = 1_000_000  # tokens counted at a time
+FLUSH = 1 << 18  # tokens of a pack, and counts held back
+WIDTH = 1 << 16  # tokens worked on at a time
 TAIL = 16  # tokens of the longest mark
 MARK_MIN, MARK_RATE, END_SHARE = 3, 10_000, 0.8
 RARE, LIKELY = 0.03, 0.2  # shares of ends
@@ -109,7 +110,7 @@ def ending(text: str) -> list[str]:
 # A run's hash is a polynomial of its tokens' hashes, mixed with its level.
 # Constants are odd numbers, the last two those of a public mixer.
 _WORD = (1 << 64) - 1
-_BASE, _LENGTH, _FRAGMENT, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+_BASE, _LENGTH, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -119,9 +120,9 @@ def _token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
 
 
-def _mixed(g: np.ndarray, level: int, fragment: bool) -> np.ndarray:
+def _mixed(g: np.ndarray, level: int) -> np.ndarray:
     """Keys of runs from their polynomials."""
-    h = g + np.uint64((level * _LENGTH + (_FRAGMENT if fragment else 0)) & _WORD)
+    h = g + np.uint64(level * _LENGTH & _WORD)
     for m in (_MIX1, _MIX2):
         h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
     return h ^ (h >> np.uint64(33))
@@ -214,7 +215,7 @@ class Pack:
             head = np.zeros(len(sel), np.uint64)
             for j in range(min(k, RUN)):
                 head = head * np.uint64(_BASE) + h[self.ids[at + j]]
-            rows.append((sel, np.full(len(sel), k), _mixed(g[sel], 100 + k, False), _mixed(head, min(k, RUN), False), h[self.ids[at - 1]]))
+            rows.append((sel, np.full(len(sel), k), _mixed(g[sel], 100 + k), _mixed(head, min(k, RUN)), h[self.ids[at - 1]]))
         return tuple(np.concatenate(c) for c in zip(*rows))
 
     def ends_before(self, tails: Tails) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,7 +343,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Pack]]:
             yield row, Pack(row["voc"], np.frombuffer(row["ids"], dtype=np.int32), np.array(row["sizes"]))
 
 
-READINGS_DDL = "tkey binary, tail_size int, tail bigint, size int, n_tokens int, open_block boolean, keys array<bigint>, frags array<bigint>"
+READINGS_DDL = "tkey binary, tail_size int, tail bigint, size int, n_tokens int, open_block boolean, keys array<bigint>"
 
 
 def _readings(tails: Tails):
@@ -352,7 +353,7 @@ def _readings(tails: Tails):
     token and the tail's first two make.
     """
     names = [f.split(" ")[0] for f in READINGS_DDL.split(", ")]
-    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, pack in _packs(batches):
@@ -363,22 +364,18 @@ def _readings(tails: Tails):
             on = h[pack.ids[place]]
             for j in (1, 2):
                 on = np.where(step >= j, on * np.uint64(_BASE) + h[pack.ids[np.minimum(place + j, len(pack.ids) - 1)]], on)
-            on = np.where(step == 2, _mixed(on, 3, False), _mixed(on, 2, False)).view(np.int64)
+            on = np.where(step == 2, _mixed(on, 3), _mixed(on, 2)).view(np.int64)
             fences = np.cumsum(pack.kinds[pack.ids] & Pack.FENCE != 0)
             open_block = (fences[place] - fences[pack.ends[text] - pack.sizes[text] + 1]) % 2 == 1
-            for s in pack.stretches(FLUSH):
+            for s in pack.stretches(WIDTH):
                 r = np.flatnonzero((place >= s.a) & (place < s.b))
                 at = place[r] - s.a
-                alpha = s.kind[at] & Pack.ALPHA != 0
-                keys, frags = [], []
-                for level, g, _, ok in s.runs():
-                    keys.append([x if v else None for x, v in zip(_mixed(g[at], level, False).view(np.int64).tolist(), ok[at])])
-                    frags.append([x if v else None for x, v in zip(_mixed(g[at], level, True).view(np.int64).tolist(), ok[at] & alpha)])
+                keys = [[x if v else None for x, v in zip(_mixed(g[at], level).view(np.int64).tolist(), ok[at])] for level, g, _, ok in s.runs()]
                 t, marked = text[r], k[r] > 0
                 keys.append([x if v else None for x, v in zip(on[r].tolist(), marked)])
                 cols = [
                     [row["tkeys"][i] for i in t], k[r], pa.array(tail[r].view(np.int64), mask=~marked), np.array(row["chars"])[t], s.pos[at], open_block[r],
-                    list(zip(*keys)), list(zip(*frags)),
+                    list(zip(*keys)),
                 ]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, ty) for c, ty in zip(cols, types)], names=names)
 
@@ -406,9 +403,10 @@ class Filter:
         return hit if self.rounds == 1 else hit & ((keys >> np.uint64(40)) % np.uint64(self.rounds) == np.uint64(self.round))
 
 
-def _sum_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    u, inv = np.unique(keys, return_inverse=True)
-    return (u, *(np.bincount(inv, weights=v, minlength=len(u)).astype(np.int64) for v in values))
+def _sum_up(keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    coded = pa.array(keys.view(np.int64)).dictionary_encode()
+    at, size = coded.indices.to_numpy(), len(coded.dictionary)
+    return pa.RecordBatch.from_arrays([coded.dictionary, *(pa.array(np.bincount(at, weights=v, minlength=size).astype(np.int64)) for v in values)], names=["key", "n", "e", "x", "p"])
 
 
 def _beginnings(token: str) -> np.ndarray:
@@ -425,70 +423,86 @@ COUNTS_DDL = "key bigint, n bigint, e bigint, x bigint, p bigint"
 
 
 def _counter(wanted, words=None, tails: Tails | None = None):
-    """Counts of the wanted runs and segments: all, those at the end of a sentence or line, of a text, and those whose last word begins with the key's.
+    """Counts of the wanted runs and segments: all (n), those at the end of a sentence or line (e), of a text (x), and those of which they are a strict prefix inside the last word (p).
 
-    words is a filter of all fragments by themselves; without it none are counted. What stands before one of the tails
-    at the end of its text isn't counted, as it may have been cut there.
+    words is a filter of all runs of one token; without it no beginnings of words are counted. What stands before one
+    of the tails at the end of its text isn't counted, as it may have been cut there.
     """
 
-    def count(s: Stretch, want: Filter, frag: np.ndarray, lens: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
-        parts: list[tuple[np.ndarray, ...]] = []
-        starts = np.concatenate([[0], np.cumsum(lens)])
+    def by_token(pack: Pack, use: np.ndarray, stops: np.ndarray, last: np.ndarray, want: Filter, frag: np.ndarray, lens: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Runs of one token are the vocabulary."""
+        at = np.flatnonzero(use & (pack.pos > 0))
+        ids, size = pack.ids[at], len(pack.voc)
+        n, e, x = (np.bincount(ids, weights=w, minlength=size) for w in (None, stops[at], last[at]))
+        keys = _mixed(pack.hashes, 1)
+        hit = np.flatnonzero(want.has(keys) & (n > 0))
+        zero = np.zeros(len(hit))
+        rep = np.repeat(n, lens)
+        begun = _mixed(frag, 1)
+        sub = np.flatnonzero(want.has(begun) & (rep > 0))
+        none = np.zeros(len(sub))
+        return [(keys[hit], n[hit], e[hit], x[hit], zero), (begun[sub], none, none, none, rep[sub])]
+
+    def by_place(s: Stretch, use: np.ndarray, want: Filter, frag: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        some = lens[s.ids] > 0
         for level, g, before, ok in s.runs():
-            at = np.flatnonzero(ok & use)
-            if level == 1:  # by token
-                ids, size = s.ids[at], len(s.pack.voc)
-                n, e, x = (np.bincount(ids, weights=w, minlength=size) for w in (None, s.stops[at], s.last[at]))
-                seen = np.flatnonzero(n)
-                keys = _mixed(s.pack.hashes[seen], 1, False)
-                hit = want.has(keys)
-                sel = seen[hit]
-                parts.append((keys[hit], n[sel], e[sel], x[sel], np.zeros(len(sel))))
-                rep, times = np.repeat(seen, lens[seen]), np.repeat(n[seen], lens[seen])
-                before, ids = np.zeros(size, np.uint64), np.arange(size)
-            else:
-                keys = _mixed(g[at], level, False)
-                hit = want.has(keys)
-                sel = at[hit]
-                parts.append((keys[hit], np.ones(len(sel)), s.stops[sel], s.last[sel], np.zeros(len(sel))))
-                ids = s.ids
-                rep = np.repeat(at, lens[ids[at]])
-                times = np.ones(len(rep))
-            # Beginnings of each word after the tokens before it.
-            k = lens[ids[rep]]
-            first = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])) if len(rep) else np.zeros(0, np.int64)
-            inner = np.arange(len(rep)) - np.repeat(first, k[first] if len(rep) else 0)
-            keys = _mixed(before[rep] * np.uint64(_BASE) + frag[starts[ids[rep]] + inner], level, True)
+            if level == 1:
+                continue
+            ok &= use
+            at = np.flatnonzero(ok)
+            keys = _mixed(g[at], level)
             hit = want.has(keys)
-            zero = np.zeros(int(hit.sum()))
-            parts.append((keys[hit], zero, zero, zero, times[hit]))
-        key, *sums = _sum_up(*[np.concatenate(c) for c in zip(*parts)])
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, sums)], names=["key", "n", "e", "x", "p"])
+            sel = at[hit]
+            yield keys[hit], np.ones(len(sel)), s.stops[sel], s.last[sel], np.zeros(len(sel))
+            # Beginnings of each word after the tokens before it.
+            at = np.flatnonzero(ok & some)
+            k = lens[s.ids[at]]
+            rep = np.repeat(at, k)
+            inner = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+            keys = _mixed(before[rep] * np.uint64(_BASE) + frag[starts[s.ids[rep]] + inner], level)
+            keys = keys[want.has(keys)]
+            zero = np.zeros(len(keys))
+            yield keys, zero, zero, zero, np.ones(len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, some = wanted.value, words.value if words else None
         known: dict[str, np.ndarray] = {}
         none = np.zeros(0, np.uint64)
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for _, pack in _packs(batches):
             per = []
-            for t, kind in zip(pack.voc, pack.kinds):
+            for t, kind in zip(pack.voc, pack.kinds.tolist()):
                 if some is None or len(t) < 2 or not kind & Pack.ALPHA:
                     per.append(none)
                     continue
                 f = known.get(t)
                 if f is None:
                     f = _beginnings(t)
-                    f = f[some.has(_mixed(f, 1, True))]
+                    f = f[some.has(_mixed(f, 1))]
                     if len(t) < 40 and len(known) < FLUSH:
                         known[t] = f
                 per.append(f)
             frag, lens = np.concatenate([none, *per]), np.array([len(x) for x in per], dtype=np.int64)
-            cut = np.zeros(len(pack.ids), bool)
+            starts = np.cumsum(lens) - lens
+            use = np.ones(len(pack.ids), bool)
             if tails:
                 text, k, _ = pack.ends_before(tails)
-                cut[pack.ends[text] - k] = True
-            for s in pack.stretches(FLUSH):
-                yield count(s, want, frag, lens, ~cut[s.a : s.b])
+                use[pack.ends[text] - k] = False
+            stops, last = [], []
+            for s in pack.stretches(WIDTH):
+                for part in by_place(s, use[s.a : s.b], want, frag, starts, lens):
+                    if len(part[0]):
+                        parts.append(part)
+                        held += len(part[0])
+                stops.append(s.stops)
+                last.append(s.last)
+            parts += by_token(pack, use, np.concatenate(stops), np.concatenate(last), want, frag, lens)
+            if held >= 4 * FLUSH:
+                yield _sum_up(*[np.concatenate(c) for c in zip(*parts)])
+                parts, held = [], 0
+        if parts:
+            yield _sum_up(*[np.concatenate(c) for c in zip(*parts)])
 
     return run
 
@@ -523,26 +537,27 @@ def find_tails(packed: DataFrame, n_texts: int) -> Tails:
     return Tails(ints([r.tail for r in rows]).view(np.uint64), ints([r.n for r in rows]), np.array([r.n >= END_SHARE * every.get(r.head, 0) for r in rows], dtype=bool))
 
 
-def score_readings(packed: DataFrame, readings: DataFrame, tails: Tails) -> DataFrame:
-    """(sig, counts by level) of every distinct reading (sig, keys, frags), its own counts included."""
+def score_readings(packed: DataFrame, readings: DataFrame, tails: Tails, n_keys: int) -> DataFrame:
+    """(sig, run, seg, last_n, so) of the distinct readings (sig, own, keys).
+
+    run has the counts of its longest last run with EVIDENCE elsewhere, seg those of its closing segment, null for none;
+    last_n and so count its last token, and that with the first two of the tail after it.
+    """
     spark = packed.sparkSession
-    run = readings.select("sig", F.posexplode(F.arrays_zip("keys", "frags")).alias("level", "r")).select("sig", (F.col("level") + 1).alias("level"), "r.keys", "r.frags")
-    run = run.select("sig", "level", F.posexplode(F.array("keys", "frags")).alias("is_frag", "key")).where("key is not null")
-    words = run.where("level = 1 and is_frag = 1").select("key")
-    n_keys, n_words = run.agg(F.approx_count_distinct("key"), F.approx_count_distinct(F.when(F.expr("level = 1 and is_frag = 1"), F.col("key")))).first()
-    word_filter = spark.sparkContext.broadcast(filter_of(words, n_words))
+    keys = readings.select("sig", "own", F.posexplode("keys").alias("level", "key")).where("key is not null").withColumn("level", F.col("level") + 1)
     rounds = max(1, -(-16 * n_keys // FILTER_BITS))
+    words = spark.sparkContext.broadcast(filter_of(keys.where("level = 1"), n_keys)) if rounds > 1 else None
     counts = None
     for i in range(rounds):
-        sent = spark.sparkContext.broadcast(filter_of(run.select("key"), n_keys, i, rounds))
-        part = packed.where("kind = 'pack'").mapInArrow(_counter(sent, word_filter, tails), COUNTS_DDL)
+        sent = spark.sparkContext.broadcast(filter_of(keys, n_keys, i, rounds))
+        part = packed.where("kind = 'pack'").mapInArrow(_counter(sent, words or sent, tails), COUNTS_DDL)
         counts = part if counts is None else counts.unionByName(part)
-    hits = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "e", "x", "p")])
-    got = run.join(hits, "key")
-    one = lambda c, level, frag: F.coalesce(F.max(F.when(F.expr(f"level = {level} and is_frag = {frag}"), F.col(c))), F.lit(0))
+    hits = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in "nexp"])
+    got = keys.join(hits, "key").select("sig", "level", *[(F.col(c) - F.when(F.col("level") <= SEGMENT, F.col("own")).otherwise(0)).alias(c) for c in "nex"], "p")
+    level, c = F.col("level"), F.struct(F.col("level").alias("len"), *"nexp")
     return got.groupBy("sig").agg(
-        *[F.struct(*[one(c, level, int(c == "p")).alias(c) for c in "nexp"]).alias(f"l{level}") for level in range(1, SEGMENT + 1)],
-        one("n", SEGMENT + 1, 0).alias("goes_on_so"),
+        F.max(F.when((level <= RUN) & (F.col("n") + F.col("p") >= EVIDENCE), c)).alias("run"), F.max(F.when(level == SEGMENT, c)).alias("seg"),
+        F.max(F.when(level == 1, F.col("n"))).alias("last_n"), F.max(F.when(level > SEGMENT, F.col("n"))).alias("so"),
     )
 
 
@@ -670,24 +685,17 @@ def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_endings(texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """Every reading of every text with the counts of its last runs (run) and its closing segment (seg) in other texts; tokens and texts of the corpus.
-
-    run is the longest one with EVIDENCE, null if none has it. Counts are n (all), e (where a sentence or line ends),
-    x (where a text ends) and p (where the last word goes on).
-    """
+    """Every reading of every text with its scores; tokens and texts of the corpus."""
     total = {"tokens": F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)), "texts": F.sum(F.when(F.col("kind") == "pack", F.size("sizes")))}
     packed = materialize(texts.mapInArrow(_tokenise, PACK_DDL), "packs", partition_by=["kind"], counts=total)
     n_tokens, n_texts = (int(packed._logloom_counts.get(c) or 0) for c in ("tokens", "texts"))
     tails = find_tails(packed, n_texts)
     found = packed.where("kind = 'pack'").mapInArrow(_readings(tails), READINGS_DDL)
-    readings = materialize(found.withColumn("sig", F.xxhash64("keys")), "readings")
-    sigs = readings.groupBy("sig").agg(F.first("keys").alias("keys"), F.first("frags").alias("frags"))
-    got = readings.drop("keys", "frags").join(score_readings(packed, sigs, tails), "sig", "left")
-    own = F.when(F.col("tail_size") == 0, 1).otherwise(0)  # before a tail a text isn't counted
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    level = lambda i: F.struct(F.lit(i).alias("len"), *[F.greatest(z(f"l{i}.{c}") - own, F.lit(0)).alias(c) for c in "nex"], z(f"l{i}.p").alias("p"))
-    runs = F.filter(F.array(*[level(i) for i in range(RUN, 0, -1)]), lambda r: r["n"] + r["p"] >= EVIDENCE)
-    return got.select("tkey", "tail_size", "tail", "size", "n_tokens", "open_block", F.get(runs, F.lit(0)).alias("run"), level(SEGMENT).alias("seg"), z("l1.n").alias("last_n"), z("goes_on_so").alias("goes_on_so")), n_tokens, n_texts
+    sig = found.withColumn("own", F.when(F.col("tail_size") == 0, 1).otherwise(0))  # before a tail a text isn't counted
+    readings = materialize(sig.withColumn("sig", F.xxhash64("keys", "own")), "readings", counts={"keys": F.sum(F.size("keys"))})
+    sigs = readings.groupBy("sig", "own").agg(F.first("keys").alias("keys"))
+    scores = score_readings(packed, sigs, tails, int(readings._logloom_counts.get("keys") or 0))
+    return readings.drop("keys", "own").join(scores, "sig", "left"), n_tokens, n_texts
 
 
 def share(c: str, of: str) -> Column:
@@ -699,9 +707,9 @@ def learned_marks(readings: DataFrame) -> DataFrame:
     """(tail): tails before which runs hardly ever end, and hardly ever go on with the tail."""
     p = share("e", "run")
     stat = readings.where("tail_size > 0").groupBy("tail").agg(
-        F.count(p).alias("judged"), F.count_if(p < RARE).alias("open"), F.sum(F.greatest(F.col("goes_on_so") - 1, F.lit(0))).alias("so"), F.sum("last_n").alias("last_n")
+        F.count(p).alias("judged"), F.count_if(p < RARE).alias("open"), F.sum(F.col("so") - 1).alias("so"), F.sum("last_n").alias("last_n")
     )
-    return stat.where((F.col("judged") >= MARK_MIN) & (F.col("open") >= END_SHARE * F.col("judged")) & (F.col("so") <= NATURAL * F.col("last_n"))).select("tail")
+    return stat.where((F.col("judged") >= MARK_MIN) & (F.col("open") >= END_SHARE * F.col("judged")) & (F.col("so") <= NATURAL * F.coalesce("last_n", F.lit(0)))).select("tail")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -716,7 +724,7 @@ def judge(docs: DataFrame) -> DataFrame:
     one = readings.where("tail_size = 0").join(prefix_copies(texts), "tkey", "left").join(marked, "tkey", "left")
     p, x, seg = share("e", "run"), share("x", "run"), share("e", "seg")
     goes_on = lambda limit: F.coalesce(p < limit, F.lit(True))
-    told = (F.col("n_tokens") >= MIN_TOKENS) | (F.greatest("run.p", "seg.p") > 0)
+    told = (F.col("n_tokens") >= MIN_TOKENS) | (F.coalesce(F.greatest("run.p", "seg.p"), F.lit(0)) > 0)
     unmarked = F.col("marked").isNull()
     ways = {
         "copy": unmarked & (F.col("inside_word") & goes_on(0.3) | F.col("inside_sentence") & told & (p < LIKELY)),

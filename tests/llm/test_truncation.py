@@ -170,11 +170,11 @@ class Sent:
     value = X.Filter(X.np.full(1 << 12, 255, X.np.uint8))
 
 
-def key_of(run, level, fragment=False):
+def key_of(run, level):
     g = 0
     for x in run:
         g = (g * X._BASE + X._token_hash(x)) & X._WORD
-    return int(X._mixed(X.np.array([g], X.np.uint64), level, fragment).view(X.np.int64)[0])
+    return int(X._mixed(X.np.array([g], X.np.uint64), level).view(X.np.int64)[0])
 
 
 def segments(toks):
@@ -206,7 +206,7 @@ def brute_counts(texts):
             for n, run in runs:
                 add(key_of(run, n), 1, int(X.stops(toks[k], n1, n2)), int(n1 == X.END), 0)
                 for j in range(1, len(run[-1]) if run[-1].isalpha() else 1):
-                    add(key_of([*run[:-1], run[-1][:j]], n, True), 0, 0, 0, 1)
+                    add(key_of([*run[:-1], run[-1][:j]], n), 0, 0, 0, 1)
     return out
 
 
@@ -231,11 +231,11 @@ def test_counts_against_brute_force(monkeypatch, flush):
     got = {}
     rows, _ = packs(texts)
     monkeypatch.setattr(X, "FLUSH", flush)
+    monkeypatch.setattr(X, "WIDTH", flush)
     for b in X._counter(Sent, Sent)(iter(rows)):
         for k, *v in zip(*(b[c].to_pylist() for c in ("key", "n", "e", "x", "p"))):
             got[k] = [a + int(c) for a, c in zip(got.get(k, [0, 0, 0, 0]), v)]
-    # By tokens of a pack, runs that only others have may come with zeros.
-    assert {k: v for k, v in got.items() if any(v)} == brute_counts(texts)
+    assert got == brute_counts(texts)
 
 
 @pytest.mark.parametrize("flush", [3, 1000])
@@ -245,7 +245,7 @@ def test_readings_have_the_keys_of_their_ends(monkeypatch, flush):
     texts = [*TEXTS, "one more <cut>", "and a wor <cut>", "the <cut>"]
     rows, tails = packs(texts)
     cut = key_of(X.tokens(" <cut>"), 100 + 4)
-    monkeypatch.setattr(X, "FLUSH", flush)
+    monkeypatch.setattr(X, "WIDTH", flush)
     keep = X.Tails(X.np.array([cut], X.np.int64).view(X.np.uint64), X.np.array([3]), X.np.array([True]))
     got = {(r["tkey"].decode(), r["tail_size"]): r for b in X._readings(keep)(iter(rows)) for r in b.to_pylist()}
     assert len(got) == len(texts) + 3
@@ -255,7 +255,6 @@ def test_readings_have_the_keys_of_their_ends(monkeypatch, flush):
         assert row["n_tokens"] == len(toks) - 1
         for n in range(1, X.RUN + 1):
             assert row["keys"][n - 1] == (key_of(toks[-n:], n) if n <= len(toks) and len(toks) > 1 else None)
-            assert row["frags"][n - 1] == (key_of(toks[-n:], n, True) if n <= len(toks) and len(toks) > 1 and toks[-1].isalpha() else None)
         start = segments(every)[len(toks) - 1]
         assert row["keys"][X.SEGMENT - 1] == (None if start is None else key_of(toks[start:], X.SEGMENT))
         assert row["keys"][X.SEGMENT] == (key_of(every[len(toks) - 1 : len(toks) + 2], 3) if k else None)
@@ -275,7 +274,7 @@ def test_long_words_and_texts_are_counted(monkeypatch):
     text = "a" * 200_000 + " b" * 200_000
     rows, _ = packs([text])
     out = {}
-    monkeypatch.setattr(X, "FLUSH", 150_000)
+    monkeypatch.setattr(X, "WIDTH", 150_000)
     for b in X._counter(Sent, Sent)(iter(rows)):
         for k, n in zip(b["key"].to_pylist(), b["n"].to_pylist()):
             out[k] = out.get(k, 0) + n
