@@ -21,8 +21,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.find_changes(table(spark, d, "raw_records"), table(spark, d, "expected_fields"))
 
 
-def p2_renames(spark: SparkSession, d: str) -> DataFrame:
-    return drift.find_renames(table(spark, d, "raw_records"), table(spark, d, "expected_fields"))
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return drift.find_matches(table(spark, d, "raw_records"), table(spark, d, "expected_fields"))
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ QUERIES = {
     "p1_found": _orphans,
     "p1_rates": p1_rates,
     "p2_found": p2_found,
-    "p2_renames": p2_renames,
+    "p2_matches": p2_matches,
     "p2_unified": p2_unified,
     "p3_found": p3_found,
     "p3_paths": p3_paths,

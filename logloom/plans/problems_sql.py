@@ -150,7 +150,7 @@ select node_type, field, count(*) as n_nodes from (select node_type, unnest(json
 P4_ENCLOSED = NODES + """select i.record_id, i.pre, i.node_path, i.node_type, o.pre as outer_pre, o.node_path as outer_path, o.node_type as outer_type
 from above a join labelled i on i.record_id = a.record_id and i.id = a.id join labelled o on o.record_id = a.record_id and o.id = a.up where o.node_type in ('tool_use', 'tool_result', 'function_call')"""
 
-P2 = f"""with {JSON_LINES},
+P2_PARTS = f"""with {JSON_LINES},
 rec as (select record_id, coalesce(source, '') as source, coalesce(jsonl_path, '') as jsonl_path, j, rtype || case when source = 'codex' and rtype = 'response_item'
   then ':' || case when json_type(j, '$.payload.type') = 'VARCHAR' then json_extract_string(j, '$.payload.type') else '' end else '' end as record_type from loads),
 listed as (select source, record_type, case when contains(field_path, '.') then regexp_replace(field_path, '\\.[^.]*$', '') else '' end as obj, regexp_extract(field_path, '[^.]*$') as field,
@@ -173,15 +173,36 @@ fit as (select a.source, a.jsonl_path, a.record_type, a.obj, r.field as old, a.f
   from added a join removed r using (source, jsonl_path, record_type, obj) where r.n_removed = 1 and a.present = a.n and len(list_filter(a.kinds, lambda k: k <> 'null' and not contains(r.json_types, '|' || k || '|'))) = 0),
 renamed as (select * from fit where n_fit = 1),
 path(obj, field, full_path) as (select distinct obj, field, case when obj = '' then field else obj || '.' || field end from (select obj, field from fields union select obj, field from removed))
-select jsonl_path, record_type, 'added' as change_kind, case when source = 'codex' and record_type like 'response\\_item:%' escape '\\' then 'payload.type' else 'type' end as field_path, '' as new_path from unknown
+"""
+P2 = P2_PARTS + """select jsonl_path, record_type, 'added' as change_kind, case when source = 'codex' and record_type like 'response\\_item:%' escape '\\' then 'payload.type' else 'type' end as field_path, '' as new_path from unknown
 union all select jsonl_path, record_type, 'retyped', l.field_path, '' from fields f join listed l using (source, record_type, obj, field)
   where len(list_filter(f.kinds, lambda k: k <> 'null' and not contains(l.json_types, '|' || k || '|'))) > 0
 union all select jsonl_path, record_type, 'removed', full_path, '' from removed r join path using (obj, field) where not exists (select 1 from renamed n where n.source = r.source and n.jsonl_path = r.jsonl_path and n.record_type = r.record_type and n.obj = r.obj)
 union all select jsonl_path, record_type, 'added', full_path, '' from added a join path using (obj, field) where not exists (select 1 from renamed n where n.source = a.source and n.jsonl_path = a.jsonl_path and n.record_type = a.record_type and n.obj = a.obj and n.new = a.field)
 union all select jsonl_path, record_type, 'renamed', p.full_path, q.full_path from renamed n join path p on p.obj = n.obj and p.field = n.old join path q on q.obj = n.obj and q.field = n.new"""
 
+P2_UNIFIED = P2_PARTS.replace("select record_id, coalesce(source, '') as source", "select record_id, line_number, coalesce(source, '') as source", 1) + f""", t as (
+  select record_id, line_number, source, jsonl_path, record_type, x.id, x.parent, x.type, x.value, substr(x.fullkey, 3) as at, regexp_replace(substr(x.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') as general from rec, json_tree(j) x),
+known as (select distinct source, record_type, obj from listed),
+opened as (select t.* from t join known k on k.source = t.source and k.record_type = t.record_type and k.obj = t.general where t.type = 'OBJECT' and t.id > 0
+  union all select t.* from t where t.id = 0),
+cells as (select t.record_id, case when n.old is null then t.at else regexp_replace(t.at, '[^.]*$', n.old) end as name, {VALUE} as v, l.field is not null or n.old is not null as is_listed,
+    case when l.field is not null and t.type <> 'NULL' and not contains(l.json_types, '|' || k.kind || '|') then k.kind end as odd
+  from opened o join t on t.record_id = o.record_id and t.parent = o.id
+  cross join lateral (select case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind) k
+  left join listed l on l.source = t.source and l.record_type = t.record_type and l.field_path = t.general
+  left join renamed n on n.jsonl_path = t.jsonl_path and n.record_type = t.record_type and t.general = case when n.obj = '' then n.new else n.obj || '.' || n.new end
+  where not (t.type = 'OBJECT' and len(json_keys(t.value)) > 0 and exists (select 1 from known q where q.source = t.source and q.record_type = t.record_type and q.obj = t.general))
+    and not (t.type = 'ARRAY' and json_array_length(t.value) > 0 and exists (select 1 from known q where q.source = t.source and q.record_type = t.record_type and q.obj = t.general || '[]')
+      and len(list_filter(json_extract(t.value, '$[*]'), lambda e: json_type(e) <> 'OBJECT' or e::varchar = '{{}}')) = 0)),
+packed as (select record_id, to_json(map(list(name order by name) filter (is_listed), list(v order by name) filter (is_listed)))::varchar as fields,
+    to_json(map(list(name order by name) filter (not is_listed), list(v order by name) filter (not is_listed)))::varchar as other,
+    to_json(map(list(name order by name) filter (odd is not null), list(odd order by name) filter (odd is not null)))::varchar as retyped from cells group by 1)
+select r.record_id, r.source, r.jsonl_path, r.line_number, r.record_type, coalesce(fields, '{{}}') as fields, coalesce(other, '{{}}') as other, coalesce(retyped, '{{}}') as retyped from rec r left join packed using (record_id)"""
+
 SQL |= {
     "p2_found": P2,
+    "p2_unified": P2_UNIFIED,
     "p4_found": P4,
     "p4_nodes": P4_NODES,
     "p4_by_type": P4_BY_TYPE,

@@ -346,10 +346,39 @@ def test_unify_keeps_deep_values(spark):
 
 def test_matching_is_one_to_one():
     listed = {"id": (("string",), True), "role": (("string",), True)}
-    fields = {"ident": (3, {"string"}, 0.0), "rolle": (3, {"string"}, 0.0)}
-    assert drift.match_object(fields, 3, listed)[2] == []
-    assert drift.match_object({**fields, "role": (3, {"string"}, 0.0)}, 3, listed)[2] == []
-    assert drift.match_object({"ident": (3, {"string"}, 0.0), "role": (3, {"string"}, 0.0)}, 3, listed)[2][0][:2] == ("id", "ident")
+    fields = {"ident": (3, {"string"}, None), "rolle": (3, {"string"}, None)}
+    both = drift.match_object(fields, 3, listed)
+    assert both.renamed == [] and {r: a for r, (a, _) in both.pairs.items()} == {"id": "ident", "role": "rolle"}
+    two = drift.match_object({**fields, "role": (3, {"string"}, None)}, 3, listed)
+    assert two.renamed == [] and two.pairs["id"][0] == "ident"
+    assert drift.match_object({"ident": (3, {"string"}, None), "role": (3, {"string"}, None)}, 3, listed).renamed[0][:2] == ("id", "ident")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_assignment_against_brute_force(seed):
+    from itertools import permutations
+
+    r = random.Random(seed)
+    left, right = [f"l{i}" for i in range(r.randrange(0, 5))], [f"r{i}" for i in range(r.randrange(1, 6))]
+    edges = {x: [(r.choice([0.1, 0.5, r.random()]), y) for y in right if r.random() < 0.6] for x in left}
+    got = drift.assign(edges)
+    assert len({a for a, _ in got.values()}) == len(got) and all((w, a) in edges[x] for x, (a, w) in got.items())
+    best = (0, 0.0)
+    for order in permutations([*right, *[None] * len(left)], len(left)):
+        w = [dict((a, w) for w, a in edges[x]).get(y) for x, y in zip(left, order) if y]
+        w = [x for x in w if x is not None]
+        best = max(best, (len(w), sum(w)))
+    assert (len(got), pytest.approx(sum(w for _, w in got.values()))) == best
+
+
+def test_unify_keeps_the_place_in_each_array(spark):
+    exp = spark.createDataFrame([("codex", "m", p, "x", False) for p in ("payload.content", "payload.content[].content", "payload.content[].content[].text", "payload.git", "payload.git.sha")], "source string, record_type string, field_path string, json_types string, is_required boolean")
+    line = '{"type":"m","payload":{"content":[{"content":[{"text":"x"},{"text":"y"}]},{"content":[{"text":"z"}]},{"content":[]}],"git":{}}}'
+    raw = spark.createDataFrame([(1, "codex", "f", 1, line)], "record_id bigint, source string, jsonl_path string, line_number int, line string")
+    r = drift.unify(raw, exp).first()
+    want = {"content[0].content[0].text": "x", "content[0].content[1].text": "y", "content[1].content[0].text": "z", "content[2].content": "[]", "git": "{}"}
+    assert r.fields == {"payload." + k: v for k, v in want.items()}
+    assert r.other == {"type": "m"} and set(r.retyped) == set(r.fields)
 
 
 def test_rename_edges_are_weighted_by_whole_values(spark):
@@ -359,16 +388,17 @@ def test_rename_edges_are_weighted_by_whole_values(spark):
     lines += [("h", '{"type":"m","payload":{"ident":5}}')]
     raw = spark.createDataFrame([(i, "codex", p, 1, x) for i, (p, x) in enumerate(lines)], "record_id bigint, source string, jsonl_path string, line_number int, line string")
     exp = spark.createDataFrame(EXPECTED, "source string, record_type string, field_path string, json_types string, is_required boolean")
-    got = {(r.jsonl_path, r.field_path, r.new_path): r for r in drift.find_renames(raw, exp).collect()}
+    got = {(r.jsonl_path, r.field_path, r.new_path): r for r in drift.find_matches(raw, exp).collect()}
     assert {k: r.is_rename for k, r in got.items()} == {("g", "payload.id", "payload.k1"): False, ("g", "payload.id", "payload.k2"): False, ("h", "payload.id", "payload.ident"): True}
     k1, k2 = got["g", "payload.id", "payload.k1"].weight, got["g", "payload.id", "payload.k2"].weight
     assert k1 - k2 > 0.1 and all(0 <= r.weight <= 1 for r in got.values())
+    assert got["g", "payload.id", "payload.k1"].is_matched and not got["g", "payload.id", "payload.k2"].is_matched
 
 
 def test_rename_edges_hold_the_renames(spark, sf):
     raw, exp = table(spark, sf, "raw_records"), table(spark, sf, "expected_fields")
     want = {(r.jsonl_path, r.record_type, r.field_path, r.new_path) for r in drift.find_changes(raw, exp).where("change_kind = 'renamed'").collect()}
-    assert {tuple(r)[1:5] for r in drift.find_renames(raw, exp).where("is_rename").collect()} == want
+    assert {tuple(r)[1:5] for r in drift.find_matches(raw, exp).where("is_rename").collect()} == want
 
 
 def brute_changes(raw, expected, bad):
