@@ -174,12 +174,30 @@ def descendant_pairs(rows: DataFrame) -> DataFrame:
 
 
 def descendants(rows: DataFrame) -> DataFrame:
-    """(uuid, n_children, n_descendants, height) of every node on a tree, by its ancestor pairs."""
+    """(uuid, n_children, n_descendants, height) of every node on a tree, without its pairs.
+
+    Round k knows of each node what lies less than 2^k below it (size, itself
+    included, and height) and its ancestor at distance 2^k; the nodes that have
+    it as that ancestor bring what lies up to twice as deep. So a tree of depth
+    d takes log2(d)+2 rounds of one row per node. The search ends when no node
+    runs out of ancestors any more: the others hang on circles, and nothing of
+    a circle is below a node of a tree.
+    """
     nodes = materialize(node_table(rows), "nodes")
-    paths = path_table(nodes, "v")
-    below = ancestor_pairs(paths).groupBy(F.col("ancestor").alias("v")).agg(
-        F.count_if(F.col("distance") == 1).alias("n_children"), F.count("*").alias("n_descendants"), F.max("distance").alias("height")
-    )
-    z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    on_tree = paths.select("v").join(below, "v", "left")
-    return on_tree.join(nodes.select("v", "uuid"), "v").select("uuid", z("n_children"), z("n_descendants"), z("height"))
+    one, open_ = F.lit(1).cast("bigint"), {"rest": F.count("anc")}
+    state = materialize(nodes.select("v", F.col("a").alias("anc"), one.alias("size"), F.lit(0).cast("bigint").alias("height"), F.lit(0).cast("bigint").alias("kids")), "below", counts=open_)
+    step = 1
+    while True:
+        up = state.where("anc is not null").groupBy(F.col("anc").alias("v")).agg(F.sum("size").alias("more"), (F.max("height") + step).alias("far"), F.count("*").alias("n"))
+        known = state.select(F.col("v").alias("anc"), F.col("anc").alias("above"))
+        grown = state.join(up, "v", "left").join(known, "anc", "left").select(
+            "v", F.col("above").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.greatest("height", "far").alias("height"), (F.coalesce("n", F.lit(0)) if step == 1 else F.col("kids")).alias("kids")
+        )
+        nxt = materialize(grown, "below", counts=open_)
+        done = nxt._logloom_counts["rest"] == state._logloom_counts["rest"]
+        if done:
+            release(nxt)
+            # A tree with links has at least one round before this one; without links nothing has children.
+            return state.where("anc is null").join(nodes.select("v", "uuid"), "v").select("uuid", F.col("kids").alias("n_children"), (F.col("size") - 1).alias("n_descendants"), "height")
+        release(state)
+        state, step = nxt, 2 * step

@@ -127,6 +127,18 @@ def test_descendants(spark):
     assert got == {"r": (2, 3, 2), "a": (1, 1, 1), "b": (0, 0, 0), "c": (0, 0, 0)}
 
 
+def test_descendants_of_a_long_chain(spark):
+    n = 100_000
+    m = spark.range(n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("u"), "id").alias("uuid"), F.when(F.col("id") > 0, F.concat(F.lit("u"), F.col("id") - 1)).alias("parent_uuid"),
+    )
+    m = m.unionByName(spark.createDataFrame([(n, "c1", "c2"), (n + 1, "c2", "c1"), (n + 2, "h", "c1"), (n + 3, "leaf", "u7")], "seq bigint, uuid string, parent_uuid string"))
+    got = hierarchy.descendants(m)
+    assert got.count() == n + 1
+    assert got.where(f"uuid not in ('u7', 'leaf') and try_cast(substr(uuid, 2) as int) > 7 and (n_descendants <> {n - 1} - try_cast(substr(uuid, 2) as int) or height <> n_descendants or n_children <> if(height > 0, 1, 0))").count() == 0
+    assert {r.uuid: tuple(r)[1:] for r in got.where("uuid in ('u0', 'u7', 'leaf')").collect()} == {"u0": (1, n, n - 1), "u7": (2, n - 7, n - 8), "leaf": (0, 0, 0)}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_descendant_pairs_against_brute_force(spark, seed):
     r = random.Random(seed)
@@ -143,6 +155,9 @@ def test_descendant_pairs_against_brute_force(spark, seed):
     got = hierarchy.descendant_pairs(m).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
     assert hierarchy.descendant_pairs(m.limit(0)).count() == 0
+    below = {u: [(v, n) for a, v, n in want if a == u] for u in set(par) - loose}
+    assert {x.uuid: tuple(x)[1:] for x in hierarchy.descendants(m).collect()} == {u: (sum(n == 1 for _, n in x), len(x), max((n for _, n in x), default=0)) for u, x in below.items()}
+    assert hierarchy.descendants(m.limit(0)).count() == 0
 
 
 def brute_spans(rows):
