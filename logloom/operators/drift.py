@@ -29,7 +29,7 @@ a type that isn't listed give one ``added`` row.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -182,14 +182,14 @@ def similarity(name: str, types: tuple[str, ...], new: str, kinds: set[str], old
 
 
 def candidates(fields: dict[str, tuple], total: int, listed: dict[str, tuple[tuple[str, ...], bool]], usual: dict[str, tuple] | None = None) -> tuple[list[str], list[str], dict[str, list[tuple[float, str]]]]:
-    """(removed, added, edges by removed field, the heaviest first); fields: {name: (present, kinds, sketch or nothing)}, usual: sketches of listed fields elsewhere."""
+    """(removed, added, edges by removed field, the heaviest first); fields: {name: (present, kinds, sketch, what gives it, or None)}, usual: sketches of listed fields elsewhere."""
     removed = [f for f, (_, must) in listed.items() if must and f not in fields]
     added = [f for f in fields if f not in listed]
     edges = {}
     for r in removed:
         types, old = listed[r][0], (usual or {}).get(r)
         edges[r] = sorted(
-            ((similarity(r, types, a, fields[a][1], old, fields[a][2] or None), a) for a in added if fields[a][0] == total and fields[a][1] - {"null"} <= set(types)), reverse=True
+            ((similarity(r, types, a, fields[a][1], old, fields[a][2]() if callable(fields[a][2]) else fields[a][2]), a) for a in added if fields[a][0] == total and fields[a][1] - {"null"} <= set(types)), reverse=True
         )
     return removed, added, edges
 
@@ -254,27 +254,35 @@ def match_object(fields: dict[str, tuple], total: int, listed: dict[str, tuple[t
     return ObjectMatch(removed, added, edges, assign(edges))
 
 
-def by_object(fields: list[dict]) -> tuple[dict[str, int], dict[str, dict[str, tuple]]]:
-    """(objects, {name: (present, kinds, sketch or None)}) of a file's profile by object path."""
+def by_object(fields: Iterable[tuple]) -> tuple[dict[str, int], dict[str, dict[str, tuple]]]:
+    """(objects, {name: (present, kinds, sketch)}) by object path of a file's (object path, field, present, kinds, sketch)."""
     totals: dict[str, int] = {}
     by: dict[str, dict[str, tuple]] = defaultdict(dict)
-    for f in fields:
-        if f["field"]:
-            kinds = {k for i, k in enumerate(KINDS) if f["kinds"] >> i & 1}
-            by[f["object_path"]][f["field"][1:]] = (f["present"], kinds, _sketch_of(f))
+    for obj, field, present, bits, sketch in fields:
+        if field:
+            by[obj][field[1:]] = (present, _KIND_SETS[bits], sketch)
         else:
-            totals[f["object_path"]] = f["present"]
+            totals[obj] = present
     return totals, by
 
 
-def _sketch_of(f: dict) -> tuple | None:
-    return (f["digits"], f["chars"], f["texts"], f["mins"]) if f.get("texts") else None
+_KIND_SETS = [{k for i, k in enumerate(KINDS) if bits >> i & 1} for bits in range(1 << len(KINDS))]
+
+
+def profile_entries(files: pa.ListArray) -> Iterator[list[tuple]]:
+    """by_object()'s entries of each file. Sketches, which hardly any entry needs, are read when asked for."""
+    flat, at = files.values, files.offsets.to_pylist()
+    names = [flat.field(c).to_pylist() for c in ("object_path", "field", "present", "kinds")]
+    nums = [flat.field(c) for c in ("digits", "chars", "texts", "mins")]
+    sketch = lambda i: tuple(c[i].as_py() for c in nums) if nums[2][i].as_py() else None
+    for lo, hi in zip(at, at[1:]):
+        yield [(*(c[i] for c in names), lambda i=i: sketch(i)) for i in range(lo, hi)]
 
 
 ROWS_DDL = "source string, jsonl_path string, record_type string, change_kind string, field_path string, new_path string, weight double, is_matched boolean, is_rename boolean"
 
 
-def compare(source: str, record_type: str, fields: list[dict], schema: dict, usual: dict) -> list[tuple]:
+def compare(source: str, record_type: str, fields: list[tuple], schema: dict, usual: dict) -> list[tuple]:
     """(change kind, field path, new path, weight, is matched, is rename) of one file's records of one type: its changes, and every edge as kind 'edge'."""
     listed = schema.get((source, record_type))
     if listed is None:
@@ -304,7 +312,7 @@ def match_files(raw: DataFrame, expected: DataFrame) -> DataFrame:
     one = fields.join(raw.sparkSession.createDataFrame(listed, ", ".join(f"{c} string" for c in key)), key, "left_semi")
     usual: dict = defaultdict(dict)
     for r in one.groupBy(*key).agg(*_sketch_sums()).collect():  # at most MAX_EXPECTED
-        usual[(r.source, r.record_type, r.object_path)][r.field[1:]] = _sketch_of(r.asDict())
+        usual[(r.source, r.record_type, r.object_path)][r.field[1:]] = (r.digits, r.chars, r.texts, r.mins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 6 + [pa.float64(), pa.bool_(), pa.bool_()]
@@ -312,7 +320,7 @@ def match_files(raw: DataFrame, expected: DataFrame) -> DataFrame:
         for b in batches:
             out = [
                 (source, path, rt, *c)
-                for source, path, rt, fields in zip(*(b[c].to_pylist() for c in ("source", "jsonl_path", "record_type", "fields")))
+                for source, path, rt, fields in zip(*(b[c].to_pylist() for c in ("source", "jsonl_path", "record_type")), profile_entries(b["fields"]))
                 for c in compare(source, rt, fields, schema, usual)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 9, types)], names=names)
