@@ -46,3 +46,16 @@ def running_last(rows: DataFrame, keys: list[str], segment: Column, order: list[
     carried = ends.select(*keys, "_seg", F.last("_end", ignorenulls=True).over(before).alias("_before"))
     joined = cut.withColumn("_own", F.last("_val", ignorenulls=True).over(inner)).join(carried, [*keys, "_seg"])
     return joined.withColumn(name, F.coalesce("_own", "_before")).drop("_seg", "_val", "_own", "_before")
+
+
+def arrival_numbers(rows: DataFrame, group: Column, segment: Column, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 1, 2, 3 ... over all rows, by group, segment and order.
+
+    No task sees all rows or all segments: segments are counted within their
+    group, and only the groups' totals, as many as there are groups, meet.
+    """
+    cut = rows.withColumn("_group", group)
+    totals = cut.groupBy("_group").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return running_sum(cut, ["_group"], segment, order, F.lit(1), "_at").join(offsets, "_group").withColumn(name, F.col("_at") + F.col("_offset")).drop("_group", "_at", "_offset")

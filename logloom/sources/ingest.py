@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeref import UsageError
-from ..operators.running import running_sum
+from ..operators.running import arrival_numbers
 from ..runtime import materialize
 from .dialects import classify_lines
-from .jsonl import SOURCES, list_files, plan_files, read_lines
+from .jsonl import SOURCES, list_files, listing_table, plan_files, read_lines
 from .store import Store
+from .tables import first_of, upsert_sessions
 
 MAX_DIAGNOSTICS = 5
 MARKER = "/.claude/worktrees/"
@@ -31,7 +34,7 @@ class ImportResult:
     diagnostics: list[str] = field(default_factory=list)
 
     def summary(self) -> str:
-        return f"Imported {self.imported} files ({self.scanned} scanned, {self.skipped} skipped, {self.failed} failed, {self.unparsed} unparsed lines)"
+        return f"{self.imported} of {self.scanned} files imported, {self.skipped} unchanged, {self.failed} failed; {self.unparsed} lines not parsed"
 
 
 def resolve_repo(cwd: str) -> str:
@@ -48,9 +51,13 @@ def resolve_repo(cwd: str) -> str:
 
 
 def resolved_paths(cwds: DataFrame, resolver=resolve_repo) -> DataFrame:
-    """(cwd, repo) of the distinct working directories; git is asked once each, on the driver, where the folders are."""
-    rows = [(r.cwd, resolver(r.cwd)) for r in cwds.select("cwd").where("cwd <> ''").distinct().toLocalIterator()]
-    return cwds.sparkSession.createDataFrame(rows, "cwd string, repo string")
+    """(cwd, repo) of the distinct working directories; git is asked once each, by the executors, which have to see the folders as the logs' writers did."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["cwd"], pa.array([resolver(c) for c in b["cwd"].to_pylist()], pa.string())], names=["cwd", "repo"])
+
+    return cwds.select("cwd").where("cwd <> ''").distinct().mapInArrow(run, "cwd string, repo string")
 
 
 def chosen_sources(name: str) -> list[str]:
@@ -62,37 +69,27 @@ def chosen_sources(name: str) -> list[str]:
 
 
 def merge_bodies(stored: DataFrame, bodies: DataFrame, imported_at: str) -> DataFrame:
-    """Stored sessions with the bodies of a run merged in: last non-empty text, lowest start, highest end."""
-    cols = ["cwd", "repo_path", "git_branch", "version", "started_at", "ended_at"]
-    old = stored.select("source", "session_id", *cols, "custom_title", "agent_name", "imported_at", F.lit(-1).cast("bigint").alias("file_ord"), F.lit(-1).alias("line_number"))
+    """Stored sessions with the bodies of a run merged in, after them in order of files and lines."""
+    text = lambda c: F.lit(c).cast("string")
+    old = stored.withColumn("file_ord", F.lit(-1).cast("bigint")).withColumn("line_number", F.lit(-1))
     new = bodies.select(
-        "source", "session_id", "cwd", "repo_path", "git_branch", "version", F.col("timestamp").alias("started_at"), F.col("timestamp").alias("ended_at"),
-        F.lit(None).cast("string").alias("custom_title"), F.lit(None).cast("string").alias("agent_name"), F.lit(imported_at).alias("imported_at"), "file_ord", "line_number",
-    )
-    place = F.struct("file_ord", "line_number")
-    last = lambda c: F.max_by(F.col(c), F.when(F.col(c) != "", place))
-    is_old = F.col("file_ord") < 0
-    return old.unionByName(new).groupBy("source", "session_id").agg(
-        F.coalesce(last("cwd"), F.lit("")).alias("cwd"),
-        last("repo_path").alias("repo_path"),
-        F.coalesce(last("git_branch"), F.lit("")).alias("git_branch"),
-        F.coalesce(last("version"), F.lit("")).alias("version"),
-        F.max(F.when(is_old, F.col("custom_title"))).alias("custom_title"),
-        F.max(F.when(is_old, F.col("agent_name"))).alias("agent_name"),
-        F.min("started_at").alias("started_at"),
-        F.max("ended_at").alias("ended_at"),
-        F.max_by("imported_at", place).alias("imported_at"),
-        # When the session's row came to be: before this run, or with its first body.
-        F.min("file_ord").alias("_born"),
+        "source", "session_id", "cwd", "repo_path", "git_branch", "version", text(None).alias("custom_title"), text(None).alias("agent_name"),
+        F.col("timestamp").alias("started_at"), F.col("timestamp").alias("ended_at"), text(imported_at).alias("imported_at"), "file_ord", "line_number",
     )
+    # _born: when the session's row came to be, before this run or with its first body.
+    return upsert_sessions(old.unionByName(new), [F.col("file_ord"), F.col("line_number")], F.min("file_ord").alias("_born"))
+
+
+def last_names(names: DataFrame, place: Column) -> DataFrame:
+    """(source, session_id, _title, _agent): of lines (outcome title or agent, value) the last one of each session; '' counts, null means none."""
+    pick = lambda k: F.max_by("value", F.when(F.col("outcome") == k, place))
+    return names.groupBy("source", "session_id").agg(pick("title").alias("_title"), pick("agent").alias("_agent"))
 
 
 def apply_names(sessions: DataFrame, names: DataFrame, imported_at: str) -> DataFrame:
     """Titles and agent names of a run: the last per session, from files read when its row existed; '' overwrites."""
     known = names.join(sessions.select("source", "session_id", "_born"), ["source", "session_id"]).where(F.col("file_ord") >= F.col("_born"))
-    pick = lambda k: F.max_by("value", F.when(F.col("outcome") == k, F.struct("file_ord", "line_number")))
-    last = known.groupBy("source", "session_id").agg(pick("title").alias("_title"), pick("agent").alias("_agent"))
-    j = sessions.join(last, ["source", "session_id"], "left")
+    j = sessions.join(last_names(known, F.struct("file_ord", "line_number")), ["source", "session_id"], "left")
     touched = F.col("_title").isNotNull() | F.col("_agent").isNotNull()
     return j.select(
         "source", "session_id", "cwd", "repo_path", "git_branch", "version", F.coalesce("_title", "custom_title").alias("custom_title"),
@@ -100,8 +97,14 @@ def apply_names(sessions: DataFrame, names: DataFrame, imported_at: str) -> Data
     )
 
 
+FILES = 4096  # whose messages are numbered in one group
+
+
 def run_import(store: Store, roots: dict[str, str], source: str = "all", full: bool = False, now: dt.datetime | None = None, resolver=resolve_repo) -> ImportResult:
-    """Import what is new below roots ({source: folder}). The source is checked before anything is deleted."""
+    """Import what is new below roots ({source: folder}). The source is checked before anything is deleted.
+
+    A file that can't be read is reported and left as it was; all others are imported.
+    """
     wanted = chosen_sources(source)
     imported_at = (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
     if full:
@@ -112,35 +115,41 @@ def run_import(store: Store, roots: dict[str, str], source: str = "all", full: b
     if not listing.files:
         return res
     state = store.read("import_state")
-    plan = plan_files(spark, listing, state).collect()  # as long as the driver-side listing
-    todo = [(r.source, r.jsonl_path, r.size, r.file_ord, r.start) for r in plan if r.start is not None]
-    res.skipped, res.imported = len(plan) - len(todo), len(todo)
-    if not todo:
+    plan = materialize(plan_files(listing_table(spark, listing), state), "import-plan")
+    todo = plan.where("start is not null")
+    tally = plan.agg(F.count("*").alias("files"), F.count("start").alias("todo")).first()
+    res.skipped = tally.files - tally.todo
+    if not tally.todo:
         return res
-    lines = materialize(classify_lines(read_lines(spark, todo)).where("is_new"), "import-lines")
+    every = read_lines(todo)
+    broken = materialize(every.where("error is not null").groupBy("jsonl_path").agg(F.min("error").alias("error")), "import-failed")
+    failed = [r.error for r in broken.orderBy("jsonl_path").collect()]  # at most as many as were listed
+    res.errors += failed
+    res.failed += len(failed)
+    res.imported = tally.todo - len(failed)
+    good = every.where("error is null").join(broken, "jsonl_path", "left_anti").drop("error")
+    lines = materialize(classify_lines(good).where("is_new"), "import-lines")
     bad = lines.where("outcome = 'unparsed'")
     res.unparsed = bad.count()
     res.diagnostics = [f"{r.jsonl_path}:{r.line_number}: {r.error}" for r in bad.orderBy("file_ord", "line_number").limit(MAX_DIAGNOSTICS).collect()]
 
     # A file in which no body was ever seen commits nothing and is read again.
-    bodied = lines.groupBy("jsonl_path").agg((F.max(F.col("outcome") == "body") | (F.max("start") > 0)).alias("ok")).where("ok").select("jsonl_path")
+    seen = lines.groupBy("jsonl_path").agg(
+        (F.max(F.col("outcome") == "body") | (F.max("start") > 0)).alias("ok"), F.max(F.col("line_number") - F.when(F.col("ended"), 0).otherwise(1)).cast("bigint").alias("line_feeds")
+    )
+    bodied = seen.where("ok").select("jsonl_path", "line_feeds")
     kept = lines.join(bodied, "jsonl_path", "left_semi")
     raw_bodies = kept.where("outcome = 'body'")
     repos = resolved_paths(raw_bodies.select("cwd"), resolver)
     bodies = raw_bodies.join(repos.withColumnRenamed("repo", "repo_path"), "cwd", "left")
 
     sessions = apply_names(merge_bodies(store.read("sessions"), bodies, imported_at), kept.where("outcome in ('title', 'agent')"), imported_at)
-    first = Window.partitionBy("uuid").orderBy("file_ord", "line_number")
-    fresh = (
-        bodies.where("has_content").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-        .join(store.read("messages").select("uuid"), "uuid", "left_anti")
-        .withColumn("_all", F.lit(0))
-    )
-    # Arrival numbers follow files and lines; files are the segments of the running count.
+    fresh = first_of(bodies.where("has_content"), ["uuid"], "file_ord", "line_number").join(store.read("messages").select("uuid"), "uuid", "left_anti")
+    # Arrival numbers follow files and lines.
     base = store.manifest()["next_seq"]
-    numbered = materialize(running_sum(fresh, ["_all"], F.col("file_ord"), ["file_ord", "line_number"], F.lit(1), "_n"), "import-messages")
+    numbered = materialize(arrival_numbers(fresh, F.floor(F.col("file_ord") / FILES), F.col("file_ord"), ["file_ord", "line_number"], "_n"), "import-messages")
     messages = numbered.select((F.col("_n") + (base - 1)).alias("seq"), "uuid", "source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")
-    new_state = spark.createDataFrame([(p, s, size, size, imported_at) for s, p, size, _, _ in todo], "jsonl_path string, source string, file_size bigint, last_offset bigint, imported_at string").join(bodied, "jsonl_path", "left_semi")
+    new_state = todo.select("jsonl_path", "source", F.col("size").alias("file_size"), F.col("size").alias("last_offset"), F.lit(imported_at).alias("imported_at")).join(bodied, "jsonl_path")
     states = state.join(new_state, "jsonl_path", "left_anti").unionByName(new_state)
     store.publish(replace={"sessions": sessions, "import_state": states}, append={"messages": messages}, next_seq=base + numbered.count())
     return res

@@ -1,21 +1,30 @@
 """JSONL files: listing, differential plan and byte-exact lines.
 
-The listing is driver-side, as it decides which paths are read at all; file
-contents are read by the executors. A path's lines are those after its stored
-offset, numbered by the line feeds before it; of dialect B the lines before it
-are kept, too, as they may name the session, but never counted again.
+The listing is driver-side, as it decides which paths are read at all; files
+are read by the executors in ranges of bytes, so no file is one row and a file
+may hold a third of all bytes. A line belongs to the range that it starts in.
+Lines are numbered by the line feeds before them: counts per range, summed up
+over a file's ranges. Of a file that grew only what is new is read, after its
+stored offset and the line feeds counted up to it; of dialect B, and where no
+count is stored, the prefix is read, too, as it may name the session, but its
+lines never count again. A file that can't be read gives one row with the
+error and keeps no other file from being read.
 """
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 SOURCES = {"claude-code": "claude_code", "codex": "codex"}
 LISTING_DDL = "source string, jsonl_path string, size bigint, file_ord bigint"
 
@@ -82,49 +91,85 @@ def list_files(roots: dict[str, str]) -> Listing:
     return out
 
 
-def plan_files(spark: SparkSession, listing: Listing, state: DataFrame) -> DataFrame:
-    """(source, jsonl_path, size, file_ord, start): where reading starts; start is null for unchanged files."""
-    files = spark.createDataFrame(listing.files, LISTING_DDL)
-    s = state.select("jsonl_path", "file_size", "last_offset")
-    start = F.when(F.col("file_size") == F.col("size"), None).when(F.col("file_size") < F.col("size"), F.col("last_offset")).otherwise(0)
-    return files.join(s, "jsonl_path", "left").select("source", "jsonl_path", "size", "file_ord", start.cast("bigint").alias("start"))
+def listing_table(spark: SparkSession, listing: Listing) -> DataFrame:
+    return spark.createDataFrame(listing.files, LISTING_DDL)
 
 
-def split_lines(content: bytes, start: int, keep_prefix: bool) -> list[tuple[int, bool, bytes]]:
-    """(line number, is new, line without its line feed). Only line feeds end lines; the rest after the last one is a line."""
-    out: list[tuple[int, bool, bytes]] = []
+def plan_files(files: DataFrame, state: DataFrame) -> DataFrame:
+    """files (jsonl_path, size and others) with ``action`` (new, skip, resume, reread) and ``start``, where reading starts: null for unchanged files."""
+    stored = [c for c in ("file_size", "last_offset", "line_feeds") if c in state.columns]
+    j = files.join(state.select("jsonl_path", *stored), "jsonl_path", "left")
+    act = F.when(F.col("file_size").isNull(), "new").when(F.col("file_size") == F.col("size"), "skip").when(F.col("file_size") < F.col("size"), "resume").otherwise("reread")
+    start = F.when(act == "resume", F.col("last_offset")).when(act != "skip", 0).cast("bigint")
+    feeds = [F.when(act == "resume", F.col("line_feeds")).alias("line_feeds")] if "line_feeds" in stored else []
+    return j.select(*files.columns, act.alias("action"), start.alias("start"), *feeds)
 
-    def add(part: bytes, first: int, new: bool) -> None:
-        lines = part.split(b"\n")
-        if lines and lines[-1] == b"":
-            lines.pop()
-        out.extend((first + i, new, x) for i, x in enumerate(lines))
 
-    prefix = content[:start]
-    if keep_prefix and start:
-        add(prefix, 1, False)
-    add(content[start:], 1 + prefix.count(b"\n"), True)
-    return out
+RANGE = 32 << 20  # bytes
+BATCH = 4 << 20  # bytes of lines in an Arrow batch
+
+
+def lines_from(f: BinaryIO, lo: int, hi: int, end: int, first: bool) -> Iterator[tuple[bytes, bool]]:
+    """(line without its line feed, whether it had one) of the lines that start at lo to hi - 1, read up to end; first: a line starts at lo."""
+    f.seek(lo if first else lo - 1)
+    at = lo
+    if not first:  # the rest of the line that holds the byte before lo
+        at = lo - 1 + len(f.readline(end - lo + 1))
+    while at < hi:
+        line = f.readline(end - at)
+        if not line:
+            return
+        at += len(line)
+        yield (line[:-1], True) if line.endswith(b"\n") else (line, False)
+
+
+def _open(path: str) -> BinaryIO:
+    if "://" in path:
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        return io.BufferedReader(where.open_input_file(name))
+    return open(path, "rb")
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["jsonl_path", "is_new", "lo", "i", "line", "ended", "error"]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], names=names)
+    for b in batches:
+        for path, new, lo, hi, begin, end in zip(*(b[c].to_pylist() for c in ("jsonl_path", "is_new", "lo", "hi", "begin", "end"))):
+            rows, size = [], 0
+            try:
+                with _open(path) as f:
+                    for i, (line, ended) in enumerate(lines_from(f, lo, hi, end, lo == begin)):
+                        rows.append((path, new, lo, i, line.decode("utf-8", "replace"), ended, None))
+                        size += len(line)
+                        if size >= BATCH:
+                            yield make(rows)
+                            rows, size = [], 0
+            except OSError as e:
+                rows.append((path, new, lo, -1, None, False, f"{path}: {e.strerror or e}"))
+            yield make(rows)
 
 
-def read_lines(spark: SparkSession, todo: list[tuple[str, str, int, int, int]]) -> DataFrame:
-    """(source, jsonl_path, file_ord, start, line_number, is_new, line) of the files to read.
+def read_lines(todo: DataFrame) -> DataFrame:
+    """(source, jsonl_path, file_ord, start, line_number, is_new, line, ended, error) of the files to read.
 
-    todo: (source, path, size, file_ord, start). Malformed UTF-8 becomes U+FFFD.
+    todo: source, jsonl_path, size, file_ord, start and, where known, line_feeds before start. Malformed UTF-8 becomes
+    U+FFFD. error rows have no line.
     """
-    plan = spark.createDataFrame(todo, "source string, jsonl_path string, size bigint, file_ord bigint, start bigint")
-    files = spark.read.format("binaryFile").load(["file://" + t[1] if "://" not in t[1] else t[1] for t in todo])
-    got = files.select(F.regexp_replace("path", "^file:/+", "/").alias("jsonl_path"), "content").join(plan, "jsonl_path")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for source, path, ord_, start, size, content in zip(*(b[c].to_pylist() for c in ("source", "jsonl_path", "file_ord", "start", "size", "content"))):
-                for n, new, line in split_lines(content[:size], start, source == "codex"):
-                    rows.append((source, path, ord_, start, n, new, line.decode("utf-8", "replace")))
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-            names = ["source", "jsonl_path", "file_ord", "start", "line_number", "is_new", "line"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], names=names)
-
-    # A file's bytes are one row: keep the Arrow batches small.
-    return got.repartition("jsonl_path").mapInArrow(run, "source string, jsonl_path string, file_ord bigint, start bigint, line_number int, is_new boolean, line string")
+    keep = todo.withColumn("_feeds", F.col("line_feeds") if "line_feeds" in todo.columns else F.lit(None).cast("bigint"))
+    # What was read before is a part of its own: a line that ends with it ends there.
+    prefix = (F.col("start") > 0) & ((F.col("source") == "codex") | F.col("_feeds").isNull())
+    part = lambda new, lo, hi: F.struct(F.lit(new).alias("is_new"), lo.alias("begin"), hi.alias("end"))
+    parts = F.filter(F.array(F.when(prefix, part(False, F.lit(0).cast("bigint"), F.col("start"))), part(True, F.col("start"), F.col("size"))), lambda x: x.isNotNull() & (x["begin"] < x["end"]))
+    cut = keep.select("jsonl_path", F.explode(parts).alias("x")).select("jsonl_path", "x.*").withColumn("lo", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(RANGE).cast("bigint"))))
+    ranges = cut.withColumn("hi", F.least(F.col("lo") + RANGE, "end")).repartition("jsonl_path", "lo")
+    lines = materialize(ranges.mapInArrow(_read_ranges, "jsonl_path string, is_new boolean, lo bigint, i bigint, line string, ended boolean, error string"), "lines")
+    feeds = lines.groupBy("jsonl_path", "is_new", "lo").agg(F.count_if("ended").alias("n"))
+    before = feeds.select("jsonl_path", "is_new", "lo", F.coalesce(F.sum("n").over(Window.partitionBy("jsonl_path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    base = F.when(prefix, 0).otherwise(F.coalesce("_feeds", F.lit(0)))
+    return (
+        lines.join(before, ["jsonl_path", "is_new", "lo"]).join(keep, "jsonl_path")
+        .select("source", "jsonl_path", "file_ord", "start", (F.col("i") + 1 + F.col("before") + base).cast("int").alias("line_number"), "is_new", "line", "ended", "error")
+    )

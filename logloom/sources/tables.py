@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def first_of(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each key in the given order (unique within a key for a deterministic result); at most one per key and task is shuffled."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     """One row per uuid, the one that arrived first (lowest seq).
 
@@ -21,8 +27,7 @@ def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     as ''), seq and those columns. A null seq loses to any other.
     """
     slim = messages.select(F.coalesce(norm_id(F.col("uuid")), F.lit("")).alias("uuid"), F.col("seq"), *keep)
-    w = Window.partitionBy("uuid").orderBy(F.col("seq").asc_nulls_last())
-    return slim.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_of(slim, ["uuid"], F.col("seq").asc_nulls_last())
 
 
 def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
@@ -51,24 +56,28 @@ def canonical_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_sessions(s: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of each session merged, ids normalised; rows without source or id don't count."""
+    known = s.withColumn("session_id", norm_id(F.col("session_id"))).where("session_id is not null and session_id <> '' and source is not null and source <> ''")
+    return upsert_sessions(known, order)
+
+
+def upsert_sessions(rows: DataFrame, order: list[Column], *more: Column) -> DataFrame:
+    """The upsert of session rows: the last non-empty text of each column in the given order, the lowest start, the highest end."""
+
     def last(c: str) -> Column:
         return F.max_by(F.col(c), F.when(F.col(c) != "", F.struct(*order, F.col(c))))
 
-    return (
-        s.withColumn("session_id", norm_id(F.col("session_id")))
-        .where("session_id is not null and session_id <> '' and source is not null and source <> ''")
-        .groupBy("source", "session_id")
-        .agg(
-            F.coalesce(last("cwd"), F.lit("")).alias("cwd"),
-            last("repo_path").alias("repo_path"),
-            F.coalesce(last("git_branch"), F.lit("")).alias("git_branch"),
-            F.coalesce(last("version"), F.lit("")).alias("version"),
-            last("custom_title").alias("custom_title"),
-            last("agent_name").alias("agent_name"),
-            F.min("started_at").alias("started_at"),
-            F.max("ended_at").alias("ended_at"),
-            F.max("imported_at").alias("imported_at"),
-        )
+    return rows.groupBy("source", "session_id").agg(
+        F.coalesce(last("cwd"), F.lit("")).alias("cwd"),
+        last("repo_path").alias("repo_path"),
+        F.coalesce(last("git_branch"), F.lit("")).alias("git_branch"),
+        F.coalesce(last("version"), F.lit("")).alias("version"),
+        last("custom_title").alias("custom_title"),
+        last("agent_name").alias("agent_name"),
+        F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"),
+        F.max("imported_at").alias("imported_at"),
+        *more,
     )
 
 

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import rfc3339_micros
-from ..operators.running import running_sum
+from ..operators.running import arrival_numbers
 from ..runtime import materialize
 from ..sources.dialects import A, parse_lines
 from ..sources.store import Store
+from ..sources.tables import first_of
 
+GROUPS = 1024  # of files, whose messages are numbered together
 LINES_DDL = "source string, jsonl_path string, line_number int, line string, loaded_at timestamp"
 
 
@@ -36,17 +37,12 @@ def stream_messages(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def turns_per_window(messages: DataFrame, window: str = "1 hour") -> DataFrame:
-    """User and assistant messages per source and time window, late rows counted until the watermark."""
-    at = F.timestamp_micros(rfc3339_micros(F.col("timestamp")))
-    return messages.withColumn("at", at).withWatermark("at", window).groupBy("source", F.window("at", window)).agg(F.count_if(F.col("role") == "user").alias("n_user"), F.count_if(F.col("role") == "assistant").alias("n_assistant"))
-
-
 def append_batch(store: Store, batch: DataFrame) -> int:
     """Append a batch's new messages; their number."""
-    fresh = batch.join(store.read("messages").select("uuid"), "uuid", "left_anti").dropDuplicates(["uuid"]).withColumn("_all", F.lit(0))
+    known = batch.fillna({"jsonl_path": "", "line_number": 0})
+    fresh = first_of(known, ["uuid"], "jsonl_path", "line_number", "loaded_at").join(store.read("messages").select("uuid"), "uuid", "left_anti")
     base = store.manifest()["next_seq"]
-    n = materialize(running_sum(fresh.fillna({"jsonl_path": "", "line_number": 0}), ["_all"], F.col("jsonl_path"), ["jsonl_path", "line_number", "uuid"], F.lit(1), "_n"), "stream-batch")
+    n = materialize(arrival_numbers(fresh, F.pmod(F.xxhash64("jsonl_path"), F.lit(GROUPS)), F.col("jsonl_path"), ["jsonl_path", "line_number", "uuid"], "_n"), "stream-batch")
     count = n.count()
     if count:
         rows = n.select((F.col("_n") + (base - 1)).alias("seq"), "uuid", "source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")

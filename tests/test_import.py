@@ -8,7 +8,7 @@ import pytest
 from logloom.cli import App, check_show, parser
 from logloom.functions.timeref import UsageError
 from logloom.sources.ingest import run_backfill, run_import
-from logloom.sources.jsonl import list_files, split_lines
+from logloom.sources.jsonl import lines_from, list_files
 from logloom.sources.store import Store
 
 
@@ -169,10 +169,69 @@ def test_listing(tmp_path):
     assert list_files({"claude_code": str(tmp_path / "none")}).files == []
 
 
-def test_split_lines():
-    assert split_lines(b"a\r\nb\n\nc", 0, False) == [(1, True, b"a\r"), (2, True, b"b"), (3, True, b""), (4, True, b"c")]
-    assert split_lines(b"a\nb\nc\n", 3, True) == [(1, False, b"a"), (2, False, b"b"), (2, True, b""), (3, True, b"c")]
-    assert split_lines(b"", 0, True) == []
+def lines_of(content, lo, hi, end, first):
+    return list(lines_from(io.BytesIO(content), lo, hi, end, first))
+
+
+def test_lines_of_ranges():
+    assert lines_of(b"a\r\nb\n\nc", 0, 7, 7, True) == [(b"a\r", True), (b"b", True), (b"", True), (b"c", False)]
+    assert lines_of(b"a\nb\nc\n", 3, 6, 6, True) == [(b"", True), (b"c", True)] and lines_of(b"", 0, 0, 0, True) == []
+    content = b"one\n\ntwo two\n" + b"x" * 40 + b"\nlast"
+    whole = lines_of(content, 0, len(content), len(content), True)
+    for step in range(1, 30):
+        parts = [x for lo in range(0, len(content), step) for x in lines_of(content, lo, min(lo + step, len(content)), len(content), lo == 0)]
+        assert parts == whole
+
+
+def test_a_file_in_ranges(w, monkeypatch):
+    monkeypatch.setattr("logloom.sources.jsonl.RANGE", 100)
+    lines = [body(f"u{i}", text="x" * (1 + i * 7 % 90)) for i in range(20)]
+    w.put(w.a / "x.jsonl", "", *lines[:11], "{broken", end="")
+    r = w.load()
+    assert [d.split(":")[1] for d in r.diagnostics] == ["13"]
+    w.put(w.a / "x.jsonl", "", "{broken", *lines[11:])
+    r = w.load()
+    assert [d.split(":")[1] for d in r.diagnostics] == ["14"]
+    assert w.rows("messages", "seq", "uuid") == sorted(((i + 1, f"u{i}") for i in range(20)), key=str)
+
+
+def test_a_file_that_fails_stops_no_other(w, monkeypatch):
+    for n in "abc":
+        w.put(w.a / f"{n}.jsonl", body(f"u{n}"))
+    # It goes away between listing and reading.
+    real = list_files
+
+    def listing(roots):
+        out = real(roots)
+        (w.a / "b.jsonl").unlink()
+        return out
+
+    monkeypatch.setattr("logloom.sources.ingest.list_files", listing)
+    r = w.load()
+    assert (r.imported, r.scanned, r.failed, len(r.errors)) == (2, 3, 1, 1) and "b.jsonl" in r.errors[0]
+    assert w.rows("messages", "seq", "uuid") == [(1, "ua"), (2, "uc")] and len(w.rows("import_state", "jsonl_path")) == 2
+
+
+def test_the_prefix_of_a_grown_file_is_not_read(w):
+    f = w.a / "s1.jsonl"
+    w.put(f, body("u1"), body("u2"))
+    w.load()
+    size = f.stat().st_size
+    with open(f, "r+b") as x:  # were it read, it would be unparsed and count another line feed
+        x.write(b"{" + b"\n" * (size - 2))
+    w.put(f, body("u3"), "{broken")
+    r = w.load()
+    assert r.unparsed == 1 and r.diagnostics[0].startswith(f"{f}:4:") and ("u3",) in w.rows("messages", "uuid")
+
+
+def test_of_two_writers_the_second_fails(w):
+    w.put(w.a / "s.jsonl", body("u1"))
+    w.load()
+    seen = w.store.manifest()
+    w.store._switch({k: v for k, v in seen.items() if k != "number"}, seen["number"])
+    with pytest.raises(Exception, match="exist"):
+        w.store._switch({"version": 1, "next_seq": 1, "parts": {}}, seen["number"])
+    assert w.store.manifest() == seen | {"number": seen["number"] + 1} and len(w.rows("messages", "uuid")) == 1
 
 
 def test_failed_publish_changes_nothing(w):
@@ -207,7 +266,7 @@ def test_cli(w):
     )
     w.put(w.b / "r.jsonl", b_meta("sess-2", "/work/other"), b_item("user", "/briefing daily"), b_item("user", "日報 second"))
     code, out, err = w.cli("import", "--projects-dir", str(w.tmp / "a"), "--codex-dir", str(w.tmp / "b"))
-    assert (code, out) == (0, "Imported 2 files (2 scanned, 0 skipped, 0 failed, 0 unparsed lines)\n")
+    assert (code, out) == (0, "2 of 2 files imported, 0 unchanged, 0 failed; 0 lines not parsed\n")
     assert w.cli("outline", "sess-1")[1] == "1\t2026-03-28 15:00\t36\tfirst question\n2\t2026-03-28 15:03\t35\tsecond question after blank lines\n"
     assert json.loads(w.cli("outline", "sess-1", "--format", "json")[1])[1] == {"turn": 2, "timestamp": "2026-03-28T15:03:00Z", "bodySize": 35, "firstLine": "second\tquestion after blank lines"}
     (w.tmp / "config.json").write_text('{"projectAliases": {"App": ["/work/app"]}, "dayBoundary": "16:00"}')
@@ -227,7 +286,7 @@ def test_cli(w):
     assert w.cli("show", "sess-1", "--turn", "9")[1].count("###") == 0
     assert w.cli("show", "nope") == (1, "", "error: no session has the id nope\n")
     assert "\n---\n\n## " in w.cli("show", "--since", "2026-03-28")[1]
-    assert w.cli("backfill")[:2] == (0, "Backfilled: deleted=0 resolved=0 unresolved=0\n")
+    assert w.cli("backfill")[:2] == (0, "0 sessions without messages deleted, 0 repo paths filled, 0 left open\n")
     for bad in (["sessions", "--format", "xml"], ["show"], ["sessions", "--since", "2026-03-29", "--until", "2026-03-28"], ["import", "--full"], ["import", "--source", "x"], ["outline"], ["search", ""], ["sessions", "--day-boundary", "9"], ["nonsense"]):
         assert w.cli(*bad)[0] == 1, bad
     (w.tmp / "config.json").write_text("{")
