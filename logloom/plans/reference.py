@@ -18,7 +18,12 @@ from ..operators import search as SE
 from ..operators import sessions as SS
 from ..operators import turns as TU
 from ..operators.filters import SessionFilter
+from ..runtime import scratch_path
 from ..sources.config import Config
+from ..sources.dialects import classify_lines, parse_lines, session_in_force
+from ..sources.ingest import last_names
+from ..sources.jsonl import plan_files
+from ..sources.store import Store
 from ..sources.tables import canonical_messages, canonical_sessions, table
 
 SINCE, UNTIL = "2024-06-01T00:00:00.000Z", "2025-03-01T00:00:00.000Z"
@@ -47,18 +52,12 @@ def _sizes() -> tuple[str | Column, ...]:
     return ("source", "session_id", "is_sidechain", F.octet_length("content").alias("bytes"))
 
 
-
 def incremental_plan(s, d):
-    """What an import would do with each file of the state table if all had grown to a listing's size."""
+    """What an import would do with each file, had the stored ones grown or shrunk to a listing's size and each raw log been copied."""
     st = table(s, d, "import_state").where("jsonl_path is not null")
-    listing = st.select("jsonl_path", (F.col("file_size") + F.pmod(F.length("jsonl_path"), F.lit(3)) - 1).alias("size"))
-    return resume_plan(listing, st)
-
-
-def resume_plan(listing: DataFrame, state: DataFrame) -> DataFrame:
-    j = listing.join(state.select("jsonl_path", "file_size", "last_offset"), "jsonl_path", "left")
-    act = F.when(F.col("file_size").isNull(), "new").when(F.col("file_size") == F.col("size"), "skip").when(F.col("file_size") < F.col("size"), "resume").otherwise("reread")
-    return j.select("jsonl_path", "size", act.alias("action"), F.when(act == "resume", F.col("last_offset")).when(act != "skip", 0).cast("bigint").alias("start"))
+    grown = st.select("jsonl_path", (F.col("file_size") + F.pmod(F.length("jsonl_path"), F.lit(3)) - 1).alias("size"))
+    copies = table(s, d, "raw_records").groupBy(F.concat("jsonl_path", F.lit(".copy")).alias("jsonl_path")).agg(F.sum(F.octet_length("line") + 1).alias("size"))
+    return plan_files(grown.unionByName(copies.where("jsonl_path is not null")), st.select("jsonl_path", "file_size", "last_offset"))
 
 
 def session_upsert(s, d):
@@ -195,8 +194,6 @@ def derived_uuid(s, d):
 
 def forward_fill(s, d):
     """The session that each dialect-B line belongs to: the last session_meta before it in its file."""
-    from ..sources.dialects import parse_lines, session_in_force
-
     raw = table(s, d, "raw_records").where((F.col("source") == "codex") & ~T.is_blank(F.col("line"))).fillna("", ["jsonl_path"])
     p = parse_lines(raw.select("record_id", "source", "jsonl_path", "line_number", "line"))
     return session_in_force(p, "in_force", F.col("session_id"), ["line_number", "record_id"]).select("record_id", F.col("in_force").alias("session_id"))
@@ -204,12 +201,11 @@ def forward_fill(s, d):
 
 def last_title(s, d):
     """The last title line of each session that has a row; an empty title counts."""
-    from ..sources.dialects import parse_lines
-
     raw = table(s, d, "raw_records").where("source = 'claude_code'")
-    p = parse_lines(raw.select("record_id", "source", "line")).where("kind = 'title'")
-    last = p.groupBy("source", T.norm_id(F.col("session_id")).alias("session_id")).agg(F.max_by("value", "record_id").alias("custom_title"))
-    return last.join(canonical_sessions(s, d).select("source", "session_id"), ["source", "session_id"], "left_semi")
+    p = parse_lines(raw.select("record_id", "source", "line")).where("kind in ('title', 'agent')")
+    names = p.select("source", T.norm_id(F.col("session_id")).alias("session_id"), F.col("kind").alias("outcome"), "value", "record_id")
+    last = last_names(names, F.col("record_id")).where("_title is not null or _agent is not null")
+    return last.select("source", "session_id", F.col("_title").alias("custom_title"), F.col("_agent").alias("agent_name")).join(canonical_sessions(s, d).select("source", "session_id"), ["source", "session_id"], "left_semi")
 
 
 def first_line(s, d):
@@ -270,16 +266,18 @@ def show_bulk(s, d):
 
 def parse_outcomes(s, d):
     """Lines by dialect and what an import does with them."""
-    from ..sources.dialects import classify_lines
-
     raw = table(s, d, "raw_records")
     return classify_lines(raw.select("source", "jsonl_path", "line_number", "line")).groupBy("source", "outcome").agg(F.count("*").alias("lines"))
 
 
 def migrate_stamp_source(s, d):
-    """Rows of an older layout get their only source and merge under the new key."""
+    """A store of the older layout, written from the tables of the only source it had, after its migration."""
     old = canonical_sessions(s, d).where("source = 'claude_code'").drop("source")
-    return old.select(F.lit("claude_code").alias("source"), "session_id", "cwd", "repo_path", "imported_at")
+    store = Store(s, scratch_path(s, "store"))
+    store.publish(replace={"sessions": old, "messages": _m(s, d, "source", "session_id").where("source = 'claude_code'").drop("source")}, version=3)
+    store.migrate()
+    rows = [store.read(t).select(F.lit(t).alias("table_name"), "source", "session_id") for t in ("sessions", "messages")]
+    return rows[0].unionByName(rows[1]).groupBy("table_name", "source", "session_id").agg(F.count("*").alias("n_rows"))
 
 
 QUERIES = {

@@ -105,7 +105,9 @@ DISPLAY = f"(select *, {ALIAS} as alias from (select *, {BASE} as base from (sel
 
 SQL = {
     "incremental_plan": """select jsonl_path, size, action, (case action when 'resume' then last_offset when 'skip' then null else 0 end)::bigint as start from (
-      select *, case when size = file_size then 'skip' when size > file_size then 'resume' else 'reread' end as action from (select *, file_size + (length(jsonl_path) % 3) - 1 as size from import_state))""",
+      select *, case when file_size is null then 'new' when size = file_size then 'skip' when size > file_size then 'resume' else 'reread' end as action from (
+        select jsonl_path, file_size, last_offset, file_size + (length(jsonl_path) % 3) - 1 as size from import_state
+        union all select jsonl_path || '.copy', null, null, sum(strlen(line) + 1)::bigint from raw_records where jsonl_path is not null group by 1))""",
     "parse_outcomes": OUTCOMES,
     "session_upsert": W_S + "select * from sess",
     "dedup_first_wins": f"with {FIRST} select uuid, seq, source, session_id, role from first_rows",
@@ -153,8 +155,10 @@ SQL = {
     "derived_uuid": "select record_id, 'codex:' || sha256(jsonl_path || chr(0) || line_number) as uuid from raw_records where source = 'codex'",
     "forward_fill": f"""with {JSON_LINES} select b.record_id, last_value(case when g.rtype = 'session_meta' and coalesce(g.inner_type, '') in ('OBJECT', 'NULL') and {META_TYPES} then coalesce(json_extract_string(g.j, '$.payload.id'), '') end ignore nulls)
       over (partition by b.jsonl_path order by b.line_number, b.record_id rows unbounded preceding) as session_id from bare b left join typed g using (record_id) where b.source = 'codex'""",
-    "last_title": f"""with {JSON_LINES}, {SESS}, t as (select source, {norm("json_extract_string(j, '$.sessionId')")} as session_id, arg_max(coalesce(json_extract_string(j, '$.customTitle'), ''), record_id) as custom_title
-      from typed where source = 'claude_code' and rtype = 'custom-title' group by 1, 2) select t.* from t join sess using (source, session_id)""",
+    "last_title": f"""with {JSON_LINES}, {SESS}, t as (select source, {norm("json_extract_string(j, '$.sessionId')")} as session_id,
+        arg_max(coalesce(json_extract_string(j, '$.customTitle'), ''), record_id) filter (rtype = 'custom-title') as custom_title,
+        arg_max(coalesce(json_extract_string(j, '$.agentName'), ''), record_id) filter (rtype = 'agent-name') as agent_name
+      from typed where source = 'claude_code' and rtype in ('custom-title', 'agent-name') group by 1, 2) select t.* from t join sess using (source, session_id)""",
     "first_line": f"with {FIRST} select uuid, {LINE} as line from first_rows",
     "tsv_sanitize": f"with {FIRST} select uuid, translate(content, chr(9) || chr(10) || chr(13), '   ') as cell from first_rows",
     "local_time": f"with {FIRST} select uuid, {local_time('timestamp')} as local_time from first_rows",
@@ -167,5 +171,6 @@ SQL = {
       from (select *, coalesce(started_at, '') as a, coalesce(ended_at, '') as b from {DISPLAY})""",
     "show_bulk": W_ALL + f"""select uuid, t.source, t.session_id, turn, role, content from turns t join sess s on s.source = t.source and s.session_id = t.session_id where{RANGE}
       and ({' or '.join(f"{_fold('s.repo_path')} like '%{p}%'" for p in ('keeper', 'ledgerkit-38d70', '/work/ledgerkit-db434'))})""",
-    "migrate_stamp_source": W_S + "select source, session_id, cwd, repo_path, imported_at from sess where source = 'claude_code'",
+    "migrate_stamp_source": W_ALL + """select 'sessions' as table_name, source, session_id, count(*) as n_rows from sess where source = 'claude_code' group by all
+      union all select 'messages', source, session_id, count(*) from first_rows where source = 'claude_code' group by all""",
 }

@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -62,19 +64,36 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     seen = Observation() if counts else None
     if seen:
         df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
-    path = f"{shared_dir(spark).rstrip('/')}/logloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     w = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     schema = df.schema
     w.parquet(path)
-    _written[path] = spark
     out = spark.read.schema(schema).parquet(path)
     out._logloom_path = path
     out._logloom_counts = seen.get if seen else {}
     return out
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, deleted at the end of scratch() or of the driver."""
+    path = f"{shared_dir(spark).rstrip('/')}/logloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Everything materialised inside is deleted at the end: for long sessions that run many queries."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _delete(_written.pop(path), path)
+
+
 def release(*dfs: DataFrame) -> None:
     """Delete materialised tables that no later plan reads."""
     for df in dfs:
