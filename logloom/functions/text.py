@@ -119,21 +119,29 @@ def not_synthetic(c: Column) -> Column:
     return out
 
 
+def _chars_before(c: Column, byte: Column) -> Column:
+    """Characters of c that end at or before the one that holds the byte at this place, counted from 0."""
+    return F.char_length(F.substring(c.cast("binary"), F.lit(1), byte.cast("int") + 1).cast("string")) - 1
+
+
 def snippet(c: Column, query: str) -> Column:
     """The first hit with 40 characters on each side, trimmed, with dots where cut.
 
-    The place is the exact hit, else the first hit ignoring case, else the start.
+    The place is the exact hit, else the first hit ignoring case, else the start. It is a place in bytes: where
+    lowering changes the width of a character, the place in the lowered text is taken as one in the text.
     """
-    n = len(query)
+    size, width = F.octet_length(c), len(query.encode())
     exact = F.instr(c, query) if query else F.lit(1)
-    folded = F.instr(F.lower(c), query.lower()) if query else F.lit(1)
-    at = F.when(exact > 0, exact).when(folded > 0, folded).otherwise(1)
-    start = F.greatest(at - SNIPPET_CONTEXT, F.lit(1))
-    stop = F.least(at - 1 + n + SNIPPET_CONTEXT, F.char_length(c))
-    body = utrim(c.substr(start, stop - start + 1))
-    return F.concat(
-        F.when(start > 1, "...").otherwise(""), body, F.when(stop < F.char_length(c), "...").otherwise("")
-    )
+    low = F.lower(c)
+    folded = F.instr(low, query.lower()) if query else F.lit(1)
+    before = lambda t, at: F.octet_length(F.substr(t, F.lit(1), at - 1))
+    byte = F.when(exact > 0, before(c, exact)).when((folded > 0) & (before(low, folded) < size), before(low, folded)).otherwise(0)
+    at = _chars_before(c, byte)
+    stop = F.octet_length(F.substr(c, F.lit(1), at)) + width
+    end = F.when(stop < size, _chars_before(c, stop)).otherwise(F.char_length(c))
+    lo, hi = F.greatest(at - SNIPPET_CONTEXT, F.lit(0)), F.least(end + SNIPPET_CONTEXT, F.char_length(c))
+    body = utrim(F.substr(c, lo + 1, hi - lo))
+    return F.concat(F.when(lo > 0, "...").otherwise(""), body, F.when(hi < F.char_length(c), "...").otherwise(""))
 
 
 def sql_trim_class() -> str:

@@ -48,8 +48,8 @@ def running_last(rows: DataFrame, keys: list[str], segment: Column, order: list[
     return joined.withColumn(name, F.coalesce("_own", "_before")).drop("_seg", "_val", "_own", "_before")
 
 
-def arrival_numbers(rows: DataFrame, group: Column, segment: Column, order: list[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, 3 ... over all rows, by group, segment and order.
+def arrival_numbers(rows: DataFrame, group: Column, segment: Column, order: list[Column | str], name: str, back: bool = False) -> DataFrame:
+    """Add ``name``: 1, 2, 3 ... over all rows, by group, segment and order; from the last one if back.
 
     No task sees all rows or all segments: segments are counted within their
     group, and only the groups' totals, as many as there are groups, meet.
@@ -57,5 +57,18 @@ def arrival_numbers(rows: DataFrame, group: Column, segment: Column, order: list
     cut = rows.withColumn("_group", group)
     totals = cut.groupBy("_group").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return running_sum(cut, ["_group"], segment, order, F.lit(1), "_at").join(offsets, "_group").withColumn(name, F.col("_at") + F.col("_offset")).drop("_group", "_at", "_offset")
+    every = Window.partitionBy(F.lit(0))
+    offsets = totals.select("_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"), F.sum("_size").over(every).alias("_all"))
+    at = F.col("_at") + F.col("_offset")
+    numbered = running_sum(cut, ["_group"], segment, order, F.lit(1), "_at").join(offsets, "_group")
+    return numbered.withColumn(name, F.col("_all") + 1 - at if back else at).drop("_group", "_at", "_offset", "_all")
+
+
+def ranked(rows: DataFrame, time: str, ties: list[Column | str], back: bool = False) -> DataFrame:
+    """Add ``rank``: the place in the order by a time string (nulls lowest) and ties, from the last one if back.
+
+    Months are the groups and hours the segments of the count. Ties are in ascending order even of a rank from the
+    last one, so there they are given descending.
+    """
+    t = F.coalesce(F.col(time), F.lit(""))
+    return arrival_numbers(rows, F.substring(t, 1, 7), F.substring(t, 1, 13), [F.col(time), *ties], "rank", back)

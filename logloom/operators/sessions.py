@@ -63,7 +63,7 @@ def list_projects(sessions: DataFrame, where: SessionFilter | None = None) -> Da
 
 
 def projects_report(sessions: DataFrame, config: Config, where: SessionFilter | None = None, short: bool = False) -> DataFrame:
-    """Projects with aliased ones merged under their canonical name; others stay apart even if they print alike."""
+    """Projects with aliased ones merged under their canonical name; others stay apart even if they print alike. repo_path tells them apart."""
     p = list_projects(sessions, where)
     alias = config.canonical(F.col("repo_path"))
     key = F.when(alias.isNotNull(), F.concat(F.lit("alias:"), alias)).otherwise(F.concat(F.lit("raw:"), F.col("repo_path")))
@@ -71,12 +71,12 @@ def projects_report(sessions: DataFrame, config: Config, where: SessionFilter |
         p.select(key.alias("_key"), config.display(F.col("repo_path"), short).alias("project"), "session_count", "last_started")
         .groupBy("_key")
         .agg(F.first("project").alias("project"), F.sum("session_count").alias("session_count"), F.max("last_started").alias("last_started"))
-        .drop("_key")
+        .withColumnRenamed("_key", "repo_path")
     )
 
 
 def session_lookup(sessions: DataFrame, messages: DataFrame, session_id: str) -> DataFrame:
-    """Session rows with this id in any source: the filter reaches both scans."""
+    """Session rows with this id in any source."""
     same = F.col("session_id") == session_id
     return list_sessions(sessions.where(same), messages.where(same))
 

@@ -25,11 +25,14 @@ def main_messages(messages: DataFrame) -> DataFrame:
     return messages.where("is_sidechain = false and source is not null and session_id is not null")
 
 
+def hour() -> Column:
+    """The segments of a session: a prefix of a string grows with it in byte order, so it can cut the order of times."""
+    return F.substring(F.coalesce("timestamp", F.lit("")), 1, 13)
+
+
 def with_turns(messages: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """main messages (of the sessions in only) with their turn number. Filter content only after this, or turns renumber."""
-    # A prefix of a string grows with it in byte order, so it can cut the order of times.
-    hour = F.substring(F.coalesce("timestamp", F.lit("")), 1, 13)
-    counted = running_sum(messages, KEYS, hour, ["timestamp", "seq"], F.when(F.col("role") == "user", 1).otherwise(0), "_users", only)
+    counted = running_sum(messages, KEYS, hour(), ["timestamp", "seq"], F.when(F.col("role") == "user", 1).otherwise(0), "_users", only)
     return counted.withColumn("turn", F.greatest(F.col("_users"), F.lit(1)).cast("bigint")).drop("_users")
 
 

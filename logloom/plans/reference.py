@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,13 +18,14 @@ from ..operators import search as SE
 from ..operators import sessions as SS
 from ..operators import turns as TU
 from ..operators.filters import SessionFilter
+from ..operators.running import ranked, running_sum
 from ..runtime import scratch_path
 from ..sources.config import Config
 from ..sources.dialects import classify_lines, parse_lines, session_in_force
 from ..sources.ingest import last_names
 from ..sources.jsonl import plan_files
 from ..sources.store import Store
-from ..sources.tables import canonical_messages, canonical_sessions, table
+from ..sources.tables import canonical_messages, canonical_sessions, table, with_content
 
 SINCE, UNTIL = "2024-06-01T00:00:00.000Z", "2025-03-01T00:00:00.000Z"
 TZ, BOUNDARY = "Asia/Tokyo", dt.timedelta(hours=4)
@@ -37,8 +38,8 @@ CONFIG = Config(
 N = 2
 
 
-def _m(s: SparkSession, d: str, *cols: str | Column) -> DataFrame:
-    return canonical_messages(s, d, *cols)
+def _m(s: SparkSession, d: str, *cols: str | Column, session: str | None = None) -> DataFrame:
+    return canonical_messages(s, d, *cols, session=session)
 
 
 def _main(s: SparkSession, d: str, *cols: str | Column) -> DataFrame:
@@ -68,12 +69,17 @@ def dedup_first_wins(s, d):
     return _m(s, d, "source", "session_id", "role")
 
 
+def _latest_first(rows: DataFrame) -> DataFrame:
+    return ranked(rows, "started_at", [F.col("source").desc(), F.col("session_id").desc()], back=True)
+
+
 def sessions_list(s, d):
-    return SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()))
+    """Session rows, with their place in the listing."""
+    return _latest_first(SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes())))
 
 
 def _sessions_where(where):
-    return lambda s, d: SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()), where)
+    return lambda s, d: _latest_first(SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()), where))
 
 
 def nonblank_messages(s, d):
@@ -81,7 +87,9 @@ def nonblank_messages(s, d):
 
 
 def messages_main(s, d):
-    return _main(s, d, *_ORDER, "role", "content").select("uuid", "seq", "source", "session_id", "role", "content", "timestamp")
+    """Main messages, with their place in their session."""
+    m = running_sum(_main(s, d, *_ORDER, "role"), TU.KEYS, TU.hour(), ["timestamp", "seq"], F.lit(1), "rank")
+    return with_content(m, table(s, d, "messages")).select("uuid", "seq", "source", "session_id", "role", "content", "timestamp", "rank")
 
 
 def turns(s, d):
@@ -116,7 +124,8 @@ def noncommand_turns(s, d):
 
 
 def search_hits(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY).drop("seq")
+    """Hits, with their place in the listing: the latest first."""
+    return ranked(SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY), "timestamp", ["seq"], back=True).drop("seq")
 
 
 def search_time(s, d):
@@ -137,19 +146,20 @@ def search_snippet(s, d):
 
 
 def search_full(s, d):
-    return SE.search_report(_m(s, d, *_ORDER, "role", SE.hit_content(QUERY, SessionFilter(SINCE, ""))), canonical_sessions(s, d), QUERY, CONFIG, SessionFilter(SINCE, ""), TZ).drop("seq", "timestamp")
+    hits = SE.search_report(_m(s, d, *_ORDER, "role", SE.hit_content(QUERY, SessionFilter(SINCE, ""))), canonical_sessions(s, d), QUERY, CONFIG, SessionFilter(SINCE, ""), TZ)
+    return ranked(hits, "timestamp", ["seq"], back=True)
 
 
 def sessions_full(s, d):
-    return SS.sessions_report(canonical_sessions(s, d), _m(s, d, *_ORDER, "role", *TU.body_columns(), TU.command_column(CONFIG.patterns)), CONFIG, SessionFilter(SINCE, UNTIL), TZ, BOUNDARY, short=True)
+    return _latest_first(SS.sessions_report(canonical_sessions(s, d), _m(s, d, *_ORDER, "role", *TU.body_columns(), TU.command_column(CONFIG.patterns)), CONFIG, SessionFilter(SINCE, UNTIL), TZ, BOUNDARY, short=True))
 
 
 def projects_list(s, d):
-    return SS.list_projects(canonical_sessions(s, d), SessionFilter(SINCE, UNTIL))
+    return ranked(SS.list_projects(canonical_sessions(s, d), SessionFilter(SINCE, UNTIL)), "last_started", [F.col("repo_path").desc()], back=True)
 
 
 def projects_alias(s, d):
-    return SS.projects_report(canonical_sessions(s, d), CONFIG, short=True)
+    return ranked(SS.projects_report(canonical_sessions(s, d), CONFIG, short=True), "last_started", [F.col("project").desc(), F.col("repo_path").desc()], back=True).drop("repo_path")
 
 
 def project_display(s, d):
@@ -162,7 +172,9 @@ def session_get(s, d):
 
 
 def session_lookup(s, d):
-    return SS.session_lookup(canonical_sessions(s, d), _m(s, d, *_sizes()), LOOKUP)
+    """Session rows with one id, at most one per source, in the order of sources."""
+    rows = SS.session_lookup(canonical_sessions(s, d), _m(s, d, *_sizes(), session=LOOKUP), LOOKUP)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy("source")).cast("bigint"))
 
 
 def ambiguous_ids(s, d):
@@ -242,8 +254,32 @@ def show_json(s, d):
 def show_markdown(s, d):
     """Heading and body of each main message, and the header of its session."""
     m = _main(s, d, *_ORDER, "role", "content")
-    body = F.concat(F.lit("\n### "), T.role_heading(F.col("role")), F.lit("\n\n"), F.col("content"), F.lit("\n"))
-    return m.select("uuid", body.alias("markdown"))
+    return m.select("uuid", _markdown().alias("markdown"))
+
+
+def _parts(messages: DataFrame, text: Column, between: str) -> DataFrame:
+    """(source, session_id, part, n_messages, text): a session's messages in order, by hours, so that no session meets in one row."""
+    cut = messages.withColumn("_seg", TU.hour()).groupBy(*TU.KEYS, "_seg").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("timestamp", "seq", text.alias("text")))).alias("m"))
+    at = F.row_number().over(Window.partitionBy(*TU.KEYS).orderBy("_seg")).cast("bigint")  # one row per hour
+    return cut.select(*TU.KEYS, at.alias("part"), "n_messages", F.array_join(F.col("m.text"), between).alias("text"))
+
+
+def show_arrays(s, d):
+    """Each session's messages as JSON, in parts: joined by commas they are the array of its document."""
+    m = _main(s, d, *_ORDER, "role", "content").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
+    return _parts(m, F.to_json(F.struct("role", "content", "timestamp"), {"ignoreNullFields": "false"}), ",")
+
+
+def show_documents(s, d):
+    """Each session as Markdown, in parts: 0 is its header, the rest its messages; they are joined as they are."""
+    m = _main(s, d, *_ORDER, "role", "content").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
+    body = _parts(m, F.coalesce(_markdown(), F.lit("")), "")
+    head = show_header(s, d).select("source", "session_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("n_messages"), F.col("header").alias("text"))
+    return head.unionByName(body.join(head.select(*TU.KEYS), TU.KEYS, "left_semi"))
+
+
+def _markdown() -> Column:
+    return F.concat(F.lit("\n### "), T.role_heading(F.col("role")), F.lit("\n\n"), F.col("content"), F.lit("\n"))
 
 
 def show_header(s, d):
@@ -261,7 +297,8 @@ def show_bulk(s, d):
     """Main messages of the sessions that started in the range, with their turn."""
     f = SessionFilter(SINCE, UNTIL, CONFIG.expand_project("keeper"))
     keys = canonical_sessions(s, d).where(f.sessions()).select("source", "session_id")
-    return TU.with_turns(_main(s, d, *_ORDER, "role", "content"), keys).select("uuid", "source", "session_id", "turn", "role", "content")
+    turns = TU.with_turns(_main(s, d, *_ORDER, "role"), keys)
+    return with_content(turns, table(s, d, "messages")).select("uuid", "source", "session_id", "turn", "role", "content")
 
 
 def parse_outcomes(s, d):
@@ -328,6 +365,8 @@ QUERIES = {
     "show_json": show_json,
     "show_markdown": show_markdown,
     "show_header": show_header,
+    "show_arrays": show_arrays,
+    "show_documents": show_documents,
     "show_bulk": show_bulk,
     "migrate_stamp_source": migrate_stamp_source,
 }

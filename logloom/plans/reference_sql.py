@@ -26,10 +26,10 @@ W_M = f"with {FIRST}, {MAIN} "
 W_T = f"with {FIRST}, {MAIN}, {TURNS} "
 W_S = f"with {SESS} "
 W_ALL = f"with {FIRST}, {MAIN}, {TURNS}, {SESS} "
-LIST = """select s.source, s.session_id, s.cwd, coalesce(s.repo_path, '') as repo_path, coalesce(s.started_at, '') as started_at, coalesce(s.ended_at, '') as ended_at,
+LIST = """select row_number() over (order by coalesce(s.started_at, '') desc, s.source, s.session_id) as rank, s.source, s.session_id, s.cwd, coalesce(s.repo_path, '') as repo_path, coalesce(s.started_at, '') as started_at, coalesce(s.ended_at, '') as ended_at,
   coalesce(s.custom_title, '') as custom_title, count(m.uuid) as message_count, coalesce(sum(strlen(m.content)) filter (where not m.is_sidechain), 0)::bigint as body_size
   from sess s left join first_rows m on m.source = s.source and m.session_id = s.session_id"""
-BY = " group by 1, 2, 3, 4, 5, 6, 7"
+BY = " group by s.source, s.session_id, s.cwd, s.repo_path, s.started_at, s.ended_at, s.custom_title"
 RANGE = f" s.started_at >= '{SINCE}' and s.started_at < '{UNTIL}' "
 ALIAS = """case when repo_path in ('keeper', 'ledgerkit-38d70', '/work/ledgerkit-db434') or base in ('keeper', 'ledgerkit-38d70', '/work/ledgerkit-db434') then 'keeper'
   when repo_path in ('pebbles', 'pebblework-f5ce1', 'pebblework-68c52') or base in ('pebbles', 'pebblework-f5ce1', 'pebblework-68c52') then 'pebbles' end"""
@@ -54,9 +54,11 @@ def logical_day(a: str, b: str) -> str:
     return f"coalesce({_local(v, '%Y-%m-%d', 4)}, '')"
 
 
+NEWEST = "row_number() over (order by timestamp desc nulls last, seq desc) as rank"
 HITS = f"""hits as (select m.source, m.session_id, m.uuid, m.seq, coalesce(s.repo_path, '') as repo_path, m.timestamp, m.content from main m
   join sess s on s.source = m.source and s.session_id = m.session_id where {_fold('m.content')} like '%scheduler%')"""
 HIT_COLS = "select source, session_id, uuid, repo_path, timestamp, content from hits"
+RANKED_HITS = f"select source, session_id, uuid, repo_path, timestamp, content, {NEWEST} from hits"
 SNIP_AT = "case when strpos(content, 'Scheduler') > 0 then strpos(content, 'Scheduler') when strpos(lower(content), 'scheduler') > 0 then strpos(lower(content), 'scheduler') else 1 end"
 SNIPS = f"""snips as (select *, case when b > 1 then '...' else '' end || trim(substr(content, b, e - b + 1), {WS}) || case when e < length(content) then '...' else '' end as snippet from (
   select *, greatest(hit - 40, 1) as b, least(hit + 48, length(content)) as e from (select *, {SNIP_AT} as hit from hits)))"""
@@ -117,7 +119,7 @@ SQL = {
     "sessions_alias_filter": W_ALL + LIST + " where " + " or ".join(f"{_fold('s.repo_path')} like '%{p}%'" for p in ("pebbles", "pebblework-f5ce1", "pebblework-68c52")) + BY,
     "sessions_combined": W_ALL + LIST + " where" + RANGE + f"and ({_fold('s.repo_path')} like '%pebble%' or {_fold('s.repo_path')} like '%larkspur%')" + BY,
     "nonblank_messages": f"with {FIRST} select uuid, source, session_id from first_rows where trim(content, {WS}) <> ''",
-    "messages_main": W_M + "select uuid, seq, source, session_id, role, content, timestamp from main",
+    "messages_main": W_M + "select uuid, seq, source, session_id, role, content, timestamp, row_number() over (partition by source, session_id order by timestamp nulls first, seq) as rank from main",
     "turns": W_T + "select uuid, source, session_id, role, turn from turns",
     "user_turns": W_T + "select uuid, source, session_id, turn from turns where role = 'user'",
     "turn_range": W_T + "select uuid, source, session_id, turn from turns where turn between 2 and 3",
@@ -127,24 +129,24 @@ SQL = {
     "summary_n": W_M + SUMMARY.replace("{w}", SYN),
     "summary_include_clear": W_M + SUMMARY.replace("{w}", ""),
     "noncommand_turns": f"with {FIRST}, {MAIN}, {NONCMD} select * from noncmd",
-    "search_hits": W_ALL + "," + HITS + HIT_COLS,
+    "search_hits": W_ALL + "," + HITS + RANKED_HITS,
     "search_time": W_ALL + "," + HITS + HIT_COLS + f" where timestamp >= '{SINCE}' and timestamp < '{UNTIL}'",
     "search_wildcard": W_ALL + "," + HITS.replace("'%scheduler%'", "'%the%old_handle%'") + HIT_COLS,
     "search_with_turns": W_ALL + "," + HITS + "select h.uuid, h.source, h.session_id, t.turn from hits h join turns t using (uuid)",
     "search_snippet": W_ALL + "," + HITS + "," + SNIPS + " select uuid, snippet from snips",
-    "search_full": W_ALL + "," + HITS + "," + SNIPS + f""" select source, session_id, uuid, turn, translate({local_time('timestamp')}, chr(9) || chr(10) || chr(13), '   ') as time,
+    "search_full": W_ALL + "," + HITS + "," + SNIPS + f""" select source, session_id, uuid, turn, timestamp, seq, {NEWEST}, translate({local_time('timestamp')}, chr(9) || chr(10) || chr(13), '   ') as time,
       translate(coalesce({ALIAS}, repo_path), chr(9) || chr(10) || chr(13), '   ') as project, translate(snippet, chr(9) || chr(10) || chr(13), '   ') as snippet
       from (select n.*, t.turn, {BASE.replace('repo_path', 'n.repo_path')} as base from snips n join turns t on t.uuid = n.uuid where n.timestamp >= '{SINCE}')""",
     "sessions_full": f"with {FIRST}, {MAIN}, {SESS}, {NONCMD}, lst as ({LIST} where{RANGE}{BY})" + f"""
-      select source, session_id, cwd, repo_path, started_at, ended_at, custom_title, message_count, body_size, coalesce({ALIAS}, base) as project,
+      select source, session_id, cwd, repo_path, started_at, ended_at, custom_title, message_count, body_size, rank, coalesce({ALIAS}, base) as project,
       {time_range('started_at', 'ended_at')} as time_range, {logical_day('started_at', 'ended_at')} as logical_day,
       coalesce(noncommand_turns, 0)::bigint as noncommand_turns, coalesce(first_noncommand_line, '') as first_noncommand_line
       from (select *, {BASE} as base from lst) left join noncmd using (source, session_id)""",
-    "projects_list": W_S + f"select coalesce(repo_path, '') as repo_path, count(*) as session_count, max(started_at) as last_started from sess s where{RANGE}group by 1",
-    "projects_alias": W_S + f"select coalesce(alias, base) as project, sum(n)::bigint as session_count, max(t) as last_started from (select repo_path, base, alias, count(*) as n, max(started_at) as t from {DISPLAY} group by 1, 2, 3) group by coalesce('a:' || alias, 'r:' || repo_path), 1",
+    "projects_list": W_S + f"select *, row_number() over (order by last_started desc nulls last, repo_path) as rank from (select coalesce(repo_path, '') as repo_path, count(*) as session_count, max(started_at) as last_started from sess s where{RANGE}group by 1)",
+    "projects_alias": W_S + f"select project, session_count, last_started, row_number() over (order by last_started desc nulls last, project, k) as rank from (select coalesce('alias:' || alias, 'raw:' || repo_path) as k, coalesce(alias, base) as project, sum(n)::bigint as session_count, max(t) as last_started from (select repo_path, base, alias, count(*) as n, max(started_at) as t from {DISPLAY} group by 1, 2, 3) group by 1, 2)",
     "project_display": W_S + f"select source, session_id, coalesce(alias, repo_path) as project, coalesce(alias, base) as short_project from {DISPLAY}",
-    "session_get": W_ALL + LIST + f" where s.session_id = '{LOOKUP}' and s.source = 'codex'" + BY,
-    "session_lookup": W_ALL + LIST + f" where s.session_id = '{LOOKUP}'" + BY,
+    "session_get": W_ALL + "select * replace (1::bigint as rank) from (" + LIST + f" where s.session_id = '{LOOKUP}' and s.source = 'codex'" + BY + ")",
+    "session_lookup": W_ALL + "select * replace (row_number() over (order by source) as rank) from (" + LIST + f" where s.session_id = '{LOOKUP}'" + BY + ")",
     "ambiguous_ids": W_ALL + """select session_id, count(distinct source) as n_sources from (select source, session_id from sess union all
       select source, session_id from first_rows where session_id <> '' and source <> '') group by 1 having count(distinct source) > 1""",
     "orphan_sessions": W_ALL + "select source, session_id from sess s where not exists (select 1 from first_rows m where m.source = s.source and m.session_id = s.session_id)",
@@ -166,6 +168,8 @@ SQL = {
     "logical_day": W_S + f"select source, session_id, {logical_day('a', 'b')} as logical_day from (select source, session_id, coalesce(started_at, '') as a, coalesce(ended_at, '') as b from sess)",
     "show_json": W_M + "select uuid, to_json({'role': role, 'content': content, 'timestamp': timestamp})::varchar as message from main",
     "show_markdown": W_M + "select uuid, chr(10) || '### ' || upper(substr(role, 1, 1)) || substr(role, 2) || chr(10) || chr(10) || content || chr(10) as markdown from main",
+    "show_arrays": W_M + f"""select source, session_id, row_number() over (partition by source, session_id order by seg) as part, n_messages, text from (
+      select source, session_id, substr(coalesce(timestamp, ''), 1, 13) as seg, count(*) as n_messages, string_agg(to_json({{'role': role, 'content': content, 'timestamp': coalesce(timestamp, '')}})::varchar, ',' order by coalesce(timestamp, ''), seq) as text from main group by 1, 2, 3)""",
     "show_header": W_S + f"""select source, session_id, '## ' || translate(case when custom_title <> '' then custom_title else session_id end, chr(10) || chr(13), '  ') || chr(10) || chr(10)
       || '- **Session**: `' || session_id || '`' || chr(10) || '- **Project**: `' || coalesce(alias, repo_path) || '`' || chr(10) || '- **Started**: `' || {time_range('a', 'b')} || '`' || chr(10) as header
       from (select *, coalesce(started_at, '') as a, coalesce(ended_at, '') as b from {DISPLAY})""",
@@ -174,3 +178,10 @@ SQL = {
     "migrate_stamp_source": W_ALL + """select 'sessions' as table_name, source, session_id, count(*) as n_rows from sess where source = 'claude_code' group by all
       union all select 'messages', source, session_id, count(*) from first_rows where source = 'claude_code' group by all""",
 }
+
+MARKDOWN = "coalesce(chr(10) || '### ' || upper(substr(role, 1, 1)) || substr(role, 2) || chr(10) || chr(10) || content || chr(10), '')"
+SQL["show_documents"] = f"""with {FIRST}, {MAIN}, heads as ({SQL['show_header'].replace(W_S, f'with {SESS} ', 1)})
+  select source, session_id, 0::bigint as part, 0::bigint as n_messages, header as text from heads
+  union all select source, session_id, row_number() over (partition by source, session_id order by seg), n_messages, text from (
+    select source, session_id, substr(coalesce(timestamp, ''), 1, 13) as seg, count(*) as n_messages, string_agg({MARKDOWN}, '' order by coalesce(timestamp, ''), seq) as text from main group by 1, 2, 3)
+  where (source, session_id) in (select (source, session_id) from heads)"""

@@ -30,13 +30,36 @@ def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     return first_of(slim, ["uuid"], F.col("seq").asc_nulls_last())
 
 
-def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+BROADCAST_ROWS = 1_000_000  # of ids of 100 bytes at most
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows of ids with the hint to broadcast them if there are few: they are counted, up to that bound."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def with_content(slim: DataFrame, messages: DataFrame) -> DataFrame:
+    """slim (uuid, seq and others, one row per uuid) with the content of that very row.
+
+    What narrow rows decided is fetched last: contents of other rows meet at most the join.
+    """
+    raw = messages.select(F.coalesce(norm_id(F.col("uuid")), F.lit("")).alias("uuid"), F.col("seq").alias("_seq"), "content")
+    got = slim.join(raw, (slim["uuid"] == raw["uuid"]) & slim["seq"].eqNullSafe(raw["_seq"])).drop(raw["uuid"]).drop("_seq")
+    return first_of(got, ["uuid"], "seq")  # a row that came twice
+
+
+def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column, session: str | None = None) -> DataFrame:
     """messages with one row per uuid and normalised session ids (the reference's table).
 
     columns are names or expressions; expressions are evaluated before the
     shuffle by uuid, so it can carry a length or a flag in place of a content.
+    session keeps the messages of that id only: of the others no row is shuffled
+    unless it shares its uuid with one of these.
     """
     m = table(spark, sf_dir, "messages")
+    if session is not None:
+        its = m.where(norm_id(F.col("session_id")) == session).select(norm_id(F.col("uuid")).alias("_u")).distinct()
+        m = m.join(small(its), norm_id(m["uuid"]).eqNullSafe(F.col("_u")), "left_semi")
     cols = columns or ("source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")
     ids = ("session_id", "parent_uuid")
     keep = [c if not isinstance(c, str) else norm_id(F.col(c)).alias(c) if c in ids else F.col(c) for c in cols]

@@ -74,6 +74,24 @@ def test_ascii_like(spark, text, pattern, hit):
     assert one(spark, text, lambda c: T.ascii_like(c, pattern)) is hit
 
 
+def plain_snippet(text, query):
+    """Stated on bytes."""
+    b, q = text.encode(), query.encode()
+    at = b.find(q)
+    if at < 0:
+        at = text.lower().encode().find(query.lower().encode())
+    at = 0 if at < 0 or at >= len(b) else at
+    inside = lambda i: i < len(b) and b[i] & 0xC0 == 0x80
+    while at > 0 and inside(at):
+        at -= 1
+    end = min(len(b), at + len(q))
+    while 0 < end < len(b) and inside(end):
+        end -= 1
+    lo, hi = len(b[:at].decode()), len(b[:end].decode())
+    lo, hi = max(0, lo - 40), min(len(text), hi + 40)
+    return "..." * (lo > 0) + text[lo:hi].strip() + "..." * (hi < len(text))
+
+
 def test_snippet(spark):
     long = "a" * 60 + "NEEDLE" + "b" * 60
     assert one(spark, long, lambda c: T.snippet(c, "NEEDLE")) == "..." + "a" * 40 + "NEEDLE" + "b" * 40 + "..."
@@ -81,6 +99,9 @@ def test_snippet(spark):
     assert one(spark, "NEEDLE" + "b" * 60, lambda c: T.snippet(c, "NEEDLE")) == "NEEDLE" + "b" * 40 + "..."
     assert one(spark, "次" * 50 + "見" + "次" * 2, lambda c: T.snippet(c, "見")) == "..." + "次" * 40 + "見次次"
     assert one(spark, "", lambda c: T.snippet(c, "x")) == ""
+    # Lowering makes each dotted capital I a byte longer.
+    for text, query in (("İİİİauth", "AUTH"), ("İ" * 10 + "auth", "AUTH"), ("İ" * 60 + "auth" + "b" * 60, "AUTH"), ("次İ見" * 30 + "Auth" + "次" * 70, "AUTH"), ("ab", "abc"), ("x次見", "次"), ("K" * 50 + "key", "KEY")):
+        assert one(spark, text, lambda c, q=query: T.snippet(c, q)) == plain_snippet(text, query), (text, query)
     assert one(spark, None, lambda c: T.snippet(c, "x")) is None
 
 
@@ -164,3 +185,15 @@ def test_config(tmp_path, spark):
         good.write_text(text)
         with pytest.raises(R.UsageError):
             load_config(str(good))
+
+
+def test_json_arrays_are_written_item_by_item():
+    import io
+    import json
+
+    from logloom.render import write_json
+
+    for rows in ([], [{"a": 1, "b": "x\u2028\n[]"}], [{"a": [], "m": [{"r": "[]"}, {"r": "é"}]}, {"a": 2, "m": []}]):
+        out = io.StringIO()
+        write_json(out, ({k: iter(v) if k == "m" else v for k, v in r.items()} for r in rows))
+        assert out.getvalue() == json.dumps(rows, indent=2, ensure_ascii=False) + "\n"
