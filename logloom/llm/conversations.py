@@ -24,6 +24,7 @@ from ..functions.text import is_blank, norm_id, utrim
 from ..functions.times import rfc3339_micros
 from ..operators.running import running_sum
 from ..runtime import materialize
+from ..sources.tables import with_content
 
 ROLES = ("user", "assistant", "system")
 
@@ -90,14 +91,30 @@ def survivors(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """Ordered turns of the surviving conversations: source, session_id, turn_no, uuid, role, us, content.
 
-    Rows without content are no turns; turn_no counts from 1.
+    Rows without content are no turns; turn_no counts from 1. Turns are numbered
+    as narrow rows, and contents fetched for those that are left.
     """
     keep = survivors(messages)
-    turns = fold_turns(messages, F.col("content")).where("filled")
+    turns = fold_turns(messages).where("filled")
     hour = F.floor(F.col("us") / F.lit(3_600_000_000))
-    return running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no", only=keep).select(
-        "source", "session_id", "turn_no", "uuid", "role", "us", "content"
-    )
+    numbered = running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no", only=keep)
+    return with_content(numbered, messages).select("source", "session_id", "turn_no", "uuid", "role", "us", "content")
+
+
+def versions(messages: DataFrame) -> DataFrame:
+    """(uuid, n_versions, first_seq, last_seq, state) of every uuid that came more than once.
+
+    The log is folded by version: ``retry`` if role, time and content never changed, ``delete`` if the last version is
+    blank and the first isn't, else ``edit``. Contents are compared by their hash.
+    """
+    row = F.struct("seq", is_blank(F.col("content")).alias("blank"))
+    what = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in ("role", "timestamp", "content")])
+    per = messages.select(F.coalesce(norm_id(F.col("uuid")), F.lit("")).alias("uuid"), "seq", row.alias("row"), what.alias("what")).groupBy("uuid").agg(
+        F.count("*").alias("n_versions"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
+        F.min("row").alias("old"), F.max("row").alias("new"), F.min("what").alias("lo"), F.max("what").alias("hi"),
+    )
+    state = F.when(F.col("lo") == F.col("hi"), "retry").when(F.col("new.blank") & ~F.col("old.blank"), "delete").otherwise("edit")
+    return per.where("n_versions > 1").select("uuid", "n_versions", "first_seq", "last_seq", state.alias("state"))
 
 
 def conversation_sizes(messages: DataFrame) -> DataFrame:

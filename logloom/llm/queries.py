@@ -21,10 +21,22 @@ def p5_sizes(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_sizes(table(spark, d, "messages"))
 
 
+def p5_versions(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.versions(table(spark, d, "messages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
+def p8_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each text's ids are those of its chunks of 48 characters, in its task and (texts over 192) spread over tasks."""
+    docs = table(spark, d, "documents")
+    whole = tokens.encode_documents(docs, chunk=tokens.SPREAD)
+    small = tokens.encode_documents(docs, chunk=48, overlap=24, spread=192)
+    return whole.join(small.withColumnRenamed("ids", "by_chunks"), "doc_id").select("doc_id", (F.col("ids") == F.col("by_chunks")).alias("is_same"))
+
+
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Texts decoded from their ids: the round trip of the corpus."""
     return tokens.decode_ids(p8_ids(spark, d))
@@ -39,6 +51,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), t), t)
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "mix_targets")
+    return mixing.check_mix(mixing.mix(table(spark, d, "documents"), t), t)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.find_cut(table(spark, d, "documents"))
 
@@ -55,10 +72,13 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_conversations": p5_conversations,
     "p5_sizes": p5_sizes,
+    "p5_versions": p5_versions,
     "p8_ids": p8_ids,
+    "p8_chunked": p8_chunked,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_reasons": p10_reasons,
     "p10_rates": p10_rates,

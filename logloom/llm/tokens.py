@@ -1,12 +1,13 @@
 """Encoding of the whole corpus with a public byte-level BPE tokenizer.
 
-Short texts are encoded whole, an Arrow batch at a time. A text longer than a
-chunk is cut into overlapping chunks, which are pre-tokenised in parallel. The
-pre-tokenizer's matches depend on where it starts, but from any boundary two
-runs share they agree; so neighbouring chunks are stitched at the first
-boundary that both find in their overlap, and the pieces between the stitches
-are encoded in parallel and concatenated. A text in which two chunks share no
-boundary (one pre-token longer than the overlap) is encoded whole.
+A text longer than a chunk is cut into overlapping chunks, which are
+pre-tokenised. The pre-tokenizer's matches depend on where it starts, but from
+any boundary two runs share they agree; so neighbouring chunks are stitched at
+the first boundary that both find in their overlap, and the pieces between the
+stitches are encoded and concatenated. A text in which two chunks share no
+boundary (one pre-token longer than the overlap) is encoded whole. Texts of up
+to SPREAD characters are chunked inside their task; chunks of longer ones are
+pre-tokenised, and their pieces encoded, in parallel.
 
 The vocabulary file is read on the driver (its size is checked; it is under
 1 MB) and sent to the workers, so executors need no copy of it.
@@ -19,17 +20,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 VOCAB_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCAB_BYTES = 64 << 20
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK, OVERLAP = 1 << 18, 1 << 12
+CHUNK, OVERLAP = 1 << 10, 1 << 7
+SPREAD = 1 << 20  # characters of a text from which on its chunks, then of a quarter of this, are spread over tasks
 
 _encodings: dict[str, object] = {}
 
@@ -59,78 +63,89 @@ def pretoken_starts(text: str) -> list[int]:
     return [m.start() for m in regex.finditer(PATTERN, text)]
 
 
-def stitch_at(left: list[int], left_end: int, right: list[int], lo: int) -> int:
-    """The first boundary at or after lo that both lists have and that the left chunk is sure of, -1 for none.
+def edges_of(piece: str, lo: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Boundaries at both ends of a chunk that starts at lo, at which a text may be cut.
 
-    The left chunk's last two boundaries may be an effect of its end.
+    Not after white space: where a text ends, it makes other tokens than before a word. The last two boundaries in a
+    chunk may be an effect of its end.
     """
-    sure = {b for b in left[:-2] if b >= lo} if len(left) > 2 else set()
-    for b in right:
-        if b >= left_end:
-            break
-        if b in sure:
-            return b
-    return -1
-
-
-def encode_documents(docs: DataFrame, vocab_path: str = VOCAB_PATH, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    at = pretoken_starts(piece)
+    heads = [lo + s for s in at if s < overlap and not (s and piece[s - 1].isspace())]
+    return heads, [lo + s for s in at[:-2] if s >= step and not piece[s - 1].isspace()]
+
+
+def stitches(chunks: Iterable[tuple[list[int], list[int]]]) -> list[int]:
+    """Starts of the pieces from (heads, tails) of a text's chunks in order; only 0 if two share no boundary."""
+    starts, before = [0], None
+    for heads, tails in chunks:
+        if before is not None:
+            shared = set(before).intersection(heads)
+            if not shared:
+                return [0]
+            starts.append(min(shared))
+        before = tails
+    return starts
+
+
+def encode_text(enc, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    if not text:
+        return []
+    if len(text) <= chunk:
+        return enc.encode_ordinary(text)
+    los = range(0, len(text), chunk)
+    starts = stitches(edges_of(text[lo : lo + chunk + overlap], lo, chunk, overlap) for lo in los)
+    return [i for a, b in zip(starts, [*starts[1:], len(text)]) for i in enc.encode_ordinary(text[a:b])]
+
+
+def encode_documents(docs: DataFrame, vocab_path: str = VOCAB_PATH, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(doc_id, ids array<int>) of every row."""
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(read_vocab(vocab_path))
     size = F.coalesce(F.char_length("text"), F.lit(0))
     rows = docs.select("doc_id", "text")
-    return _encode_short(rows.where(size <= chunk), raw).unionByName(_encode_long(rows.where(size > chunk), raw, chunk, overlap))
+    # Rows of long texts get a number that holds wherever they are read again.
+    long = materialize(rows.where(size > spread).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    return _encode_here(rows.where(size <= spread), raw, chunk, overlap).unionByName(_encode_spread(long, raw, max(chunk, spread // 4), max(overlap, min(1 << 12, spread // 8))))
 
 
-def _encode_short(rows: DataFrame, raw) -> DataFrame:
+def _encode_here(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(raw.value)
         for b in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in b["text"].to_pylist()]
+            ids = [encode_text(enc, t, chunk, overlap) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def _encode_long(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
+def _encode_spread(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
+    """rows: doc_id, text, row (unique)."""
     # At most 256 chunks a text, so that cutting stays linear in its length.
     step = F.greatest(F.lit(chunk), F.ceil(F.char_length("text") / F.lit(256)).cast("int"))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("step", step).withColumn("size", F.char_length("text"))
-    chunks = numbered.select("doc_id", "row", "step", "size", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.col("step")).cast("int"))).alias("part"))
-    cut = chunks.select("doc_id", "row", "part", (F.col("part") * F.col("step")).alias("lo"), F.expr("substring(text, part * step + 1, step + %d)" % overlap).alias("piece"), F.col("step"), (F.col("part") == F.floor((F.col("size") - 1) / F.col("step"))).alias("is_last"))
+    numbered = rows.withColumn("step", step).withColumn("size", F.char_length("text"))
+    chunks = numbered.select("row", "step", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.col("step")).cast("int"))).alias("part"))
+    cut = chunks.select("row", "part", (F.col("part") * F.col("step")).cast("bigint").alias("lo"), "step", F.expr("substring(text, part * step + 1, step + %d)" % overlap).alias("piece"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Boundaries near both ends of a chunk: all that stitching needs."""
         for b in batches:
-            heads, tails = [], []
-            for lo, step_, piece in zip(b["lo"].to_pylist(), b["step"].to_pylist(), b["piece"].to_pylist()):
-                at = [lo + s for s in pretoken_starts(piece)]
-                heads.append([x for x in at if x < lo + overlap])
-                tails.append([x for x in at if x >= lo + step_] if len(piece) > step_ else [])
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["row"], b["part"], b["lo"], pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["doc_id", "row", "part", "lo", "heads", "tails"]
-            )
+            found = [edges_of(piece, lo, step_, overlap) for lo, step_, piece in zip(b["lo"].to_pylist(), b["step"].to_pylist(), b["piece"].to_pylist())]
+            heads, tails = list(zip(*found)) or ([], [])
+            yield pa.RecordBatch.from_arrays([b["row"], b["part"], pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["row", "part", "heads", "tails"])
 
-    found = cut.select("doc_id", "row", "part", F.col("lo").cast("bigint").alias("lo"), "piece", "step").mapInArrow(edges, "doc_id bigint, row bigint, part int, lo bigint, heads array<bigint>, tails array<bigint>")
+    found = cut.repartition("row", "part").mapInArrow(edges, "row bigint, part int, heads array<bigint>, tails array<bigint>")
 
     def stitch(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("part")
-        starts, ok = [0], True
-        for i in range(1, len(pdf)):
-            prev, cur = pdf.iloc[i - 1], pdf.iloc[i]
-            lo = int(cur["lo"])
-            b = stitch_at(list(prev["tails"]), lo + overlap, list(cur["heads"]), max(lo, starts[-1]))
-            ok = ok and b >= 0
-            starts.append(b)
-        return pd.DataFrame({"row": [key[0]], "starts": [starts if ok else [0]]})
+        starts = stitches(zip(map(list, pdf["heads"]), map(list, pdf["tails"])))
+        return pd.DataFrame({"row": [key[0]], "starts": [starts]})
 
     # One row per chunk with two short lists: at most 256 a text.
     plan = found.groupBy("row").applyInPandas(stitch, "row bigint, starts array<bigint>")
-    pieces = numbered.select("doc_id", "row", "text", "size").join(plan, "row").select(
-        "doc_id", "row", "text", "size", "starts", F.posexplode("starts").alias("part", "a")
-    ).select("doc_id", "row", "part", F.expr("substring(text, int(a + 1), int(coalesce(get(starts, part + 1), size) - a))").alias("piece"))
+    pieces = numbered.join(plan, "row").select("doc_id", "row", "text", "size", "starts", F.posexplode("starts").alias("part", "a")).select(
+        "doc_id", "row", "part", F.expr("substring(text, int(a + 1), int(coalesce(get(starts, part + 1), size) - a))").alias("piece")
+    )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(raw.value)
@@ -138,7 +153,7 @@ def _encode_long(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
             ids = [enc.encode_ordinary(t) for t in b["piece"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], b["part"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "part", "ids"])
 
-    parts = pieces.mapInArrow(encode, "doc_id bigint, row bigint, part int, ids array<int>")
+    parts = pieces.repartition("row", "part").mapInArrow(encode, "doc_id bigint, row bigint, part int, ids array<int>")
     gathered = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
     return gathered.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
 
@@ -168,5 +183,3 @@ def decode_ids(encoded: DataFrame, vocab_path: str = VOCAB_PATH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([enc.decode_bytes(x).decode("utf-8") for x in b["ids"].to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.mapInArrow(run, "doc_id bigint, text string")
-
-

@@ -50,10 +50,19 @@ def test_chunked_equals_whole(spark, enc, chunk, overlap):
         assert got[i] == enc.encode_ordinary(t), i
 
 
-def test_stitch_needs_a_sure_boundary():
-    assert X.stitch_at([0, 5, 9, 12, 15], 20, [10, 12, 15], 10) == -1
-    assert X.stitch_at([0, 5, 9, 12, 15, 18], 20, [10, 12, 15], 10) == 12
-    assert X.stitch_at([0, 5], 20, [5], 0) == -1
+def test_stitches_are_shared_sure_and_after_no_space():
+    # "ab cd" + " ef gh": the left chunk is sure of what isn't near its end.
+    assert X.edges_of("ab cd ef gh ij", 100, 5, 3) == ([100, 102], [105])
+    assert X.edges_of("ab cd\n\nef gh ij", 0, 5, 3) == ([0, 2], [5])  # not at 6 and 7, after the line feeds
+    assert X.stitches([([0, 2], [5, 8]), ([7, 8], [])]) == [0, 8] and X.stitches([([0], [5]), ([6], [])]) == [0]
+
+
+@pytest.mark.parametrize("spread", [1 << 20, 150, 700])
+def test_chunks_of_every_place(spark, enc, spread):
+    texts = ["a\n\nb c\t\td  e\r\n\r\nf" * 30, "word \n\n next\n\n\nline" * 25, "x.\n\ny" * 60]
+    for chunk in (10, 23, 64):
+        got = encode(spark, texts, chunk=chunk, overlap=16, spread=spread)
+        assert [got[i] for i in range(3)] == [enc.encode_ordinary(t) for t in texts]
 
 
 def test_round_trip(spark, enc):
