@@ -79,10 +79,12 @@ def find_orphans(messages: DataFrame, sessions: DataFrame, deleted: DataFrame, k
     spark = messages.sparkSession
     key = lambda: F.coalesce(norm_id(F.col("session_id")), F.lit("")).alias("skey")
     src = lambda: F.coalesce(F.col("source"), F.lit("")).alias("source")
-    refs = (
+    # Written once: keys are counted from it, and rows looked up in it.
+    refs = materialize(
         first_by_uuid(messages, src(), key(), F.col("loaded_at"))
         .where("skey <> ''")
-        .select("uuid", "source", "skey", "loaded_at", month_of(F.col("loaded_at")).alias("period"))
+        .select("uuid", "source", "skey", "loaded_at", month_of(F.col("loaded_at")).alias("period")),
+        "references",
     )
     by_month = refs.groupBy("source", "skey", "period").agg(F.min("loaded_at").alias("at")).withColumn("kind", F.lit("ref"))
     parents = (
