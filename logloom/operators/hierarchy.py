@@ -34,8 +34,9 @@ def _round_counts() -> dict[str, Column]:
 
 def node_table(rows: DataFrame) -> DataFrame:
     """(v, uuid, a): node number, uuid, parent's number or null for a root."""
-    nodes = first_by_uuid(rows, F.nullif(norm_id(F.col("parent_uuid")), F.lit("")).alias("p")).select(
-        F.coalesce("seq", -F.abs(F.xxhash64("uuid"))).alias("v"), "uuid", "p"
+    nodes = materialize(
+        first_by_uuid(rows, F.nullif(norm_id(F.col("parent_uuid")), F.lit("")).alias("p")).select(F.coalesce("seq", -F.abs(F.xxhash64("uuid"))).alias("v"), "uuid", "p"),
+        "messages",
     )
     parents = nodes.select(F.col("uuid").alias("p"), F.col("v").alias("a"))
     linked = nodes.where("p is not null").join(parents, "p", "left").select("v", "uuid", "a")
