@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import utrim, worktree_root
 from ..functions.times import rfc3339_micros
+from ..runtime import materialize
 
 DAY_US = 86_400_000_000
 
@@ -40,6 +41,7 @@ def merge_intervals(rows: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select("entity", "bucket", F.shiftright(F.unix_micros("w.start"), 1).alias("a"), F.shiftright(F.unix_micros("w.end") - 1, 1).alias("b"))
     )
+    part = materialize(part, "day-periods")  # read four times
     # What earlier buckets of the entity reach into this one: bounded by its days.
     days = part.groupBy("entity", "bucket").agg(F.max("b").alias("top"))
     before = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
