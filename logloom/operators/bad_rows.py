@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..runtime import materialize
 from ..sources.strict_json import RULES, RULES_SCHEMA, cells_of
+from ..sources.tables import small
 
 _CELLS = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("record_type", pa.string()), ("cell", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 
@@ -56,5 +58,6 @@ def find_bad_rows(raw: DataFrame) -> DataFrame:
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
-    """The records that load: not blank and in no error."""
-    return raw.where(~is_blank(F.col("line"))).join(find_bad_rows(raw), "record_id", "left_anti")
+    """The records that load: not blank and in no error. Few errors, by their number, are sent to the records; else the records are shuffled."""
+    bad = materialize(find_bad_rows(raw).select("record_id"), "bad-rows")
+    return raw.where(~is_blank(F.col("line"))).join(small(bad), "record_id", "left_anti")
