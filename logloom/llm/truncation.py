@@ -61,6 +61,7 @@ WIDTH = 1 << 16  # tokens worked on at a time
 TAIL = 16  # tokens of the longest mark
 MARK_MIN, MARK_RATE, END_SHARE = 3, 10_000, 0.8
 RARE, LIKELY = 0.03, 0.2  # shares of ends
+LIMIT_MIN, LIMIT_TIMES, LIMIT_LONGER, NEAR = 6, 5, 0.35, 25  # texts of a length limit, against those up to NEAR characters from it, and longer ones
 NATURAL = 0.005  # share of a mark's first tokens in what follows a token
 FILTER_BITS = 1 << 28  # 32 MB
 
@@ -665,14 +666,14 @@ def prefix_copies(texts: DataFrame) -> DataFrame:
 def length_limits(sized: DataFrame) -> DataFrame:
     """(source, size, at, around): lengths at which a source has far more distinct texts than around them."""
     per = sized.where("source is not null").groupBy("source", "size").agg(F.count_distinct("tkey").alias("at"))
-    near = Window.partitionBy("source").orderBy("size").rangeBetween(-25, 25)
+    near = Window.partitionBy("source").orderBy("size").rangeBetween(-NEAR, NEAR)
     longer = Window.partitionBy("source").orderBy("size").rangeBetween(1, Window.unboundedFollowing)
     every = Window.partitionBy("source")
     spread = per.select(
-        "source", "size", "at", ((F.sum("at").over(near) - F.col("at")) / F.lit(50.0)).alias("around"),
+        "source", "size", "at", ((F.sum("at").over(near) - F.col("at")) / F.lit(2.0 * NEAR)).alias("around"),
         (F.coalesce(F.sum("at").over(longer), F.lit(0)) / F.sum("at").over(every)).alias("longer"),
     )
-    return spread.where("at >= 6 and at >= 5 * (around + 0.5) and longer < 0.35").select("source", "size", "at", "around")
+    return spread.where((F.col("at") >= LIMIT_MIN) & (F.col("at") >= LIMIT_TIMES * (F.col("around") + 0.5)) & (F.col("longer") < LIMIT_LONGER)).select("source", "size", "at", "around")
 
 
 
