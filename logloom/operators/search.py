@@ -12,10 +12,14 @@ from .filters import SessionFilter
 from .turns import KEYS, main_messages, with_turns
 
 
+def may_hit(query: str, where: SessionFilter | None = None) -> Column:
+    """Whether a row as stored may be a hit."""
+    return ~F.col("is_sidechain") & contains_like(F.col("content"), query) & (where or SessionFilter()).time("timestamp")
+
+
 def hit_content(query: str, where: SessionFilter | None = None) -> Column:
     """The content of rows that may be hits, null for all others: what a shuffle before search_hits has to carry."""
-    where = where or SessionFilter()
-    return F.when(~F.col("is_sidechain") & contains_like(F.col("content"), query) & where.time("timestamp"), F.col("content")).alias("content")
+    return F.when(may_hit(query, where), F.col("content")).alias("content")
 
 
 def search_hits(messages: DataFrame, sessions: DataFrame, query: str, where: SessionFilter | None = None) -> DataFrame:

@@ -38,8 +38,8 @@ CONFIG = Config(
 N = 2
 
 
-def _m(s: SparkSession, d: str, *cols: str | Column, session: str | None = None) -> DataFrame:
-    return canonical_messages(s, d, *cols, session=session)
+def _m(s: SparkSession, d: str, *cols: str | Column, where: Column | None = None) -> DataFrame:
+    return canonical_messages(s, d, *cols, where=where)
 
 
 def _main(s: SparkSession, d: str, *cols: str | Column) -> DataFrame:
@@ -123,17 +123,22 @@ def noncommand_turns(s, d):
     return TU.noncommand_turns(_main(s, d, *_ORDER, "role", *TU.body_columns(), TU.command_column(CONFIG.patterns)))
 
 
+def _hits(s: SparkSession, d: str, query: str, where: SessionFilter | None = None) -> DataFrame:
+    rows = _m(s, d, *_ORDER, SE.hit_content(query, where), where=SE.may_hit(query, where))
+    return SE.search_hits(rows, canonical_sessions(s, d), query, where)
+
+
 def search_hits(s, d):
     """Hits, with their place in the listing: the latest first."""
-    return ranked(SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY), "timestamp", ["seq"], back=True).drop("seq")
+    return ranked(_hits(s, d, QUERY), "timestamp", ["seq"], back=True).drop("seq")
 
 
 def search_time(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY, SessionFilter(SINCE, UNTIL))), canonical_sessions(s, d), QUERY, SessionFilter(SINCE, UNTIL)).drop("seq")
+    return _hits(s, d, QUERY, SessionFilter(SINCE, UNTIL)).drop("seq")
 
 
 def search_wildcard(s, d):
-    return SE.search_hits(_m(s, d, *_ORDER, SE.hit_content("the%OLD_handle")), canonical_sessions(s, d), "the%OLD_handle").drop("seq")
+    return _hits(s, d, "the%OLD_handle").drop("seq")
 
 
 def search_with_turns(s, d):
@@ -141,7 +146,7 @@ def search_with_turns(s, d):
 
 
 def search_snippet(s, d):
-    h = SE.search_hits(_m(s, d, *_ORDER, SE.hit_content(QUERY)), canonical_sessions(s, d), QUERY)
+    h = _hits(s, d, QUERY)
     return h.select("uuid", T.snippet(F.col("content"), QUERY).alias("snippet"))
 
 
@@ -173,7 +178,7 @@ def session_get(s, d):
 
 def session_lookup(s, d):
     """Session rows with one id, at most one per source, in the order of sources."""
-    rows = SS.session_lookup(canonical_sessions(s, d), _m(s, d, *_sizes(), session=LOOKUP), LOOKUP)
+    rows = SS.session_lookup(canonical_sessions(s, d), _m(s, d, *_sizes(), where=T.norm_id(F.col("session_id")) == LOOKUP), LOOKUP)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy("source")).cast("bigint"))
 
 
@@ -301,6 +306,14 @@ def show_bulk(s, d):
     return with_content(turns, table(s, d, "messages")).select("uuid", "source", "session_id", "turn", "role", "content")
 
 
+def log_messages(s, d):
+    """The message that an import makes of each raw line with a body."""
+    raw = table(s, d, "raw_records").where("jsonl_path is not null and source is not null")
+    lines = classify_lines(raw.select("record_id", "source", "jsonl_path", "line_number", "line")).where("outcome = 'body'")
+    fields = ("session_id", "parent_uuid", "role", "content", "timestamp", "cwd", "git_branch", "version", "is_sidechain", "has_content")
+    return lines.select("record_id", "source", "uuid", *fields)
+
+
 def parse_outcomes(s, d):
     """Lines by dialect and what an import does with them."""
     raw = table(s, d, "raw_records")
@@ -320,6 +333,7 @@ def migrate_stamp_source(s, d):
 QUERIES = {
     "incremental_plan": incremental_plan,
     "parse_outcomes": parse_outcomes,
+    "log_messages": log_messages,
     "session_upsert": session_upsert,
     "dedup_first_wins": dedup_first_wins,
     "sessions_list": sessions_list,

@@ -83,7 +83,7 @@ def _blocks(content: str) -> str:
     return f"(json_type({content}) = 'NULL' or json_type({content}) = 'ARRAY' and len(list_filter(json_extract({content}, '$[*]'), lambda x: {bad})) = 0)"
 
 
-OUTCOMES = f"""with {JSON_LINES},
+LINES = f"""with {JSON_LINES},
 lines as (select r.source, r.record_id, r.jsonl_path, r.line_number, coalesce(trim(r.line, {WS}), '') as text, g.j as j, g.rtype as rtype, g.content as content, g.inner_type as inner_type
   from raw_records r left join typed g using (record_id)),
 one as (select *, case
@@ -100,9 +100,21 @@ one as (select *, case
     when coalesce(inner_type, '') not in ('OBJECT', 'NULL') or not ({_typed('j', ['$.payload.type', '$.payload.role'])}) then 'unparsed'
     when coalesce(json_extract_string(j, '$.payload.type'), '') <> 'message' or coalesce(json_extract_string(j, '$.payload.role'), '') not in ('user', 'assistant') then 'ignored'
     when content is not null and {_blocks('content')} then 'body' else 'bad_body' end end as kind from lines),
-known as (select *, count(*) filter (kind = 'meta') over (partition by source, jsonl_path order by line_number range unbounded preceding) as metas from one)
-select source, case when source = 'codex' and kind in ('body', 'bad_body') then case when metas = 0 then 'ignored' when kind = 'body' then 'body' else 'unparsed' end else kind end as outcome, count(*) as lines
+known as (select *, count(*) filter (kind = 'meta') over (partition by source, jsonl_path order by line_number range unbounded preceding) as metas from one)"""
+OUTCOMES = LINES + """ select source, case when source = 'codex' and kind in ('body', 'bad_body') then case when metas = 0 then 'ignored' when kind = 'body' then 'body' else 'unparsed' end else kind end as outcome, count(*) as lines
 from known group by 1, 2"""
+# Texts of content blocks of the given types, blank lines between them; a content that is a string is the text.
+_TEXTS = "case when json_type(content) = 'VARCHAR' then json_extract_string(content, '$') when json_type(content) = 'ARRAY' then coalesce(array_to_string(list_filter(list_transform(json_extract(content, '$[*]'), lambda x: case when json_extract_string(x, '$.type') in ({kinds}) then json_extract_string(x, '$.text') end), lambda t: t <> ''), chr(10) || chr(10)), '') else '' end"
+_FIELD = "coalesce(json_extract_string(j, '{p}'), '')"
+LOG_MESSAGES = LINES + f""", filled as (select *, last_value(case when kind = 'meta' then {{'id': {_FIELD.format(p='$.payload.id')}, 'cwd': {_FIELD.format(p='$.payload.cwd')}, 'branch': {_FIELD.format(p='$.payload.git.branch')},
+    'version': {_FIELD.format(p='$.payload.cli_version')}, 'ts': {_FIELD.format(p='$.timestamp')}}} end ignore nulls) over (partition by source, jsonl_path order by line_number rows unbounded preceding) as meta from known where jsonl_path is not null),
+a as (select record_id, source, {_FIELD.format(p='$.uuid')} as uuid, {_FIELD.format(p='$.sessionId')} as session_id, json_extract_string(j, '$.parentUuid') as parent_uuid, {_FIELD.format(p='$.message.role')} as role,
+    {_TEXTS.replace('{kinds}', "'text'")} as content, {_FIELD.format(p='$.timestamp')} as timestamp, {_FIELD.format(p='$.cwd')} as cwd, {_FIELD.format(p='$.gitBranch')} as git_branch, {_FIELD.format(p='$.version')} as version,
+    coalesce(json_extract(j, '$.isSidechain')::varchar = 'true', false) as is_sidechain from filled where source = 'claude_code' and kind = 'body'),
+b as (select record_id, source, 'codex:' || sha256(jsonl_path || chr(0) || line_number) as uuid, meta.id as session_id, null as parent_uuid, {_FIELD.format(p='$.payload.role')} as role,
+    {_TEXTS.replace('{kinds}', "'input_text', 'output_text', 'text'")} as content, case when {_FIELD.format(p='$.timestamp')} = '' then meta.ts else {_FIELD.format(p='$.timestamp')} end as timestamp,
+    meta.cwd as cwd, meta.branch as git_branch, meta.version as version, false as is_sidechain from filled where source = 'codex' and kind = 'body' and meta is not null)
+select *, trim(content, {WS}) <> '' as has_content from (select * from a union all select * from b)"""
 DISPLAY = f"(select *, {ALIAS} as alias from (select *, {BASE} as base from (select * replace (coalesce(repo_path, '') as repo_path) from sess)))"
 
 SQL = {
@@ -111,6 +123,7 @@ SQL = {
         select jsonl_path, file_size, last_offset, file_size + (length(jsonl_path) % 3) - 1 as size from import_state
         union all select jsonl_path || '.copy', null, null, sum(strlen(line) + 1)::bigint from raw_records where jsonl_path is not null group by 1))""",
     "parse_outcomes": OUTCOMES,
+    "log_messages": LOG_MESSAGES,
     "session_upsert": W_S + "select * from sess",
     "dedup_first_wins": f"with {FIRST} select uuid, seq, source, session_id, role from first_rows",
     "sessions_list": W_ALL + LIST + BY,

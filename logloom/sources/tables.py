@@ -48,17 +48,18 @@ def with_content(slim: DataFrame, messages: DataFrame) -> DataFrame:
     return first_of(got, ["uuid"], "seq")  # a row that came twice
 
 
-def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column, session: str | None = None) -> DataFrame:
+def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column, where: Column | None = None) -> DataFrame:
     """messages with one row per uuid and normalised session ids (the reference's table).
 
     columns are names or expressions; expressions are evaluated before the
     shuffle by uuid, so it can carry a length or a flag in place of a content.
-    session keeps the messages of that id only: of the others no row is shuffled
-    unless it shares its uuid with one of these.
+    where (on the rows as stored) leaves the messages of which some version
+    meets it: if these are few, no other row is shuffled. What counts may be
+    another version, so a filter on the result is still needed.
     """
     m = table(spark, sf_dir, "messages")
-    if session is not None:
-        its = m.where(norm_id(F.col("session_id")) == session).select(norm_id(F.col("uuid")).alias("_u")).distinct()
+    if where is not None:
+        its = m.where(where).select(norm_id(F.col("uuid")).alias("_u")).distinct()
         m = m.join(small(its), norm_id(m["uuid"]).eqNullSafe(F.col("_u")), "left_semi")
     cols = columns or ("source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")
     ids = ("session_id", "parent_uuid")
