@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_source
 from ..operators.running import running_sum
 from ..runtime import materialize
-from .tokens import VOCAB_PATH, count_tokens
+from .tokens import VOCAB_PATH, encoding, read_vocab
 
 FEATURES = 1 << 13
 MAX_DOMAINS = 200
@@ -126,34 +126,32 @@ def member_table(docs: DataFrame, targets: list[tuple[str, float, int]], vocab_p
     """(doc_id, domain, labelled, n_tokens, cap, p array<double>) of all documents with tokens."""
     domains = [d for d, _, _ in targets]
     caps = np.array([c for _, _, c in targets])
-    sized = count_tokens(docs.select("doc_id", "text", norm_source(F.col("source")).alias("domain")), vocab_path).where("n_tokens > 0")
-    known = F.col("domain").isin(*domains)
-    labelled_docs = docs.select("text", norm_source(F.col("source")).alias("domain")).where(known & (F.char_length("text") > 0))
-    weights = docs.sparkSession.sparkContext.broadcast(fit(labelled_docs, domains))  # features x domains, fixed
+    named = docs.select("doc_id", "text", norm_source(F.col("source")).alias("domain")).where(F.char_length("text") > 0)
+    weights = docs.sparkSession.sparkContext.broadcast(fit(named.where(F.col("domain").isin(*domains)).select("domain", "text"), domains))  # features x domains, fixed
+    raw = docs.sparkSession.sparkContext.broadcast(read_vocab(vocab_path))
     place = {d: i for i, d in enumerate(domains)}
+    own = np.eye(len(domains)).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(raw.value)
         for b in batches:
-            names, labelled, cap, ps = [], [], [], []
+            names, labelled, sizes, cap, ps = [], [], [], [], []
             for domain, text in zip(b["domain"].to_pylist(), b["text"].to_pylist()):
                 j = place.get(domain)
                 labelled.append(j is not None)
                 if j is None:
                     p = np.round(posteriors(weights.value, text), 6)
                     j = int(p.argmax())
-                    p = p / p.sum()
+                    ps.append((p / p.sum()).tolist())
                 else:
-                    p = np.zeros(len(domains))
-                    p[j] = 1.0
+                    ps.append(own[j])
+                sizes.append(len(enc.encode_ordinary(text)))
                 names.append(domains[j])
                 cap.append(int(caps[j]))
-                ps.append(p.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(names), pa.array(labelled), b["n_tokens"].cast(pa.int64()), pa.array(cap, pa.int32()), pa.array(ps, pa.list_(pa.float64()))],
-                names=["doc_id", "domain", "labelled", "n_tokens", "cap", "p"],
-            )
+            cols = [b["doc_id"], pa.array(names, pa.string()), pa.array(labelled, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(cap, pa.int32()), pa.array(ps, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "domain", "labelled", "n_tokens", "cap", "p"])
 
-    return sized.select("doc_id", "domain", "text", "n_tokens").mapInArrow(run, "doc_id bigint, domain string, labelled boolean, n_tokens bigint, cap int, p array<double>")
+    return named.mapInArrow(run, "doc_id bigint, domain string, labelled boolean, n_tokens bigint, cap int, p array<double>").where("n_tokens > 0")
 
 
 def rates_of(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
