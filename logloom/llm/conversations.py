@@ -83,21 +83,21 @@ def find_dropped(messages: DataFrame) -> DataFrame:
     return validate(fold_turns(messages)).where("drop_reason is not null")
 
 
-def survivors(messages: DataFrame) -> DataFrame:
+def survivors(turns: DataFrame) -> DataFrame:
     """(source, session_id) of the conversations that aren't dropped: written once, as several joins read it."""
-    return materialize(validate(fold_turns(messages)).where("drop_reason is null").select("source", "session_id"), "conversations")
+    return materialize(validate(turns).where("drop_reason is null").select("source", "session_id"), "conversations")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
     """Ordered turns of the surviving conversations: source, session_id, turn_no, uuid, role, us, content.
 
-    Rows without content are no turns; turn_no counts from 1. Turns are numbered
-    as narrow rows, and contents fetched for those that are left.
+    Rows without content are no turns; turn_no counts from 1. Turns are folded
+    once and numbered as narrow rows, and contents fetched for those that are left.
     """
-    keep = survivors(messages)
-    turns = fold_turns(messages).where("filled")
+    turns = materialize(fold_turns(messages), "turns")
+    keep = survivors(turns)
     hour = F.floor(F.col("us") / F.lit(3_600_000_000))
-    numbered = running_sum(turns, ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no", only=keep)
+    numbered = running_sum(turns.where("filled"), ["source", "session_id"], hour, ["us", "seq"], F.lit(1), "turn_no", only=keep)
     return with_content(numbered, messages).select("source", "session_id", "turn_no", "uuid", "role", "us", "content")
 
 
@@ -119,9 +119,9 @@ def versions(messages: DataFrame) -> DataFrame:
 
 def conversation_sizes(messages: DataFrame) -> DataFrame:
     """One row per surviving conversation: turns by role, characters, first and last time."""
-    keep = survivors(messages)
-    t = fold_turns(messages, F.char_length("content").alias("chars")).where("filled")
-    sizes = t.groupBy("source", "session_id").agg(
+    t = materialize(fold_turns(messages, F.char_length("content").alias("chars")), "turns")
+    keep = survivors(t)
+    sizes = t.where("filled").groupBy("source", "session_id").agg(
         F.count("*").alias("n_turns"),
         F.count_if(F.col("role") == "user").alias("n_user"),
         F.count_if(F.col("role") == "assistant").alias("n_assistant"),
