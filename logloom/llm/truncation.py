@@ -390,17 +390,21 @@ class Filter:
     bits: np.ndarray
     round: int = 0
     rounds: int = 1
+    exact: np.ndarray | None = None  # the keys themselves, sorted, where they are few
 
     @classmethod
     def of(cls, keys: np.ndarray) -> "Filter":
         size = max(1 << 15, 1 << (16 * max(1, len(keys)) - 1).bit_length())
         on = np.zeros(size, np.uint8)
         on[(keys & np.uint64(size - 1)).astype(np.int64)] = 1
-        return cls(np.packbits(on, bitorder="little"))
+        return cls(np.packbits(on, bitorder="little"), exact=np.sort(keys))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         p = keys & np.uint64(len(self.bits) * 8 - 1)
         hit = (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        if self.exact is not None:
+            at = np.flatnonzero(hit)
+            hit[at] = np.isin(keys[at], self.exact)
         return hit if self.rounds == 1 else hit & ((keys >> np.uint64(40)) % np.uint64(self.rounds) == np.uint64(self.round))
 
 
@@ -534,23 +538,25 @@ def find_tails(packed: DataFrame, n_texts: int) -> Tails:
     heads = np.unique(ints([r.head for r in rows]))
     sent = spark.sparkContext.broadcast(Filter.of(heads.view(np.uint64)))
     seen = packed.where("kind = 'pack'").mapInArrow(_counter(sent), COUNTS_DDL).groupBy("key").agg(F.sum("n").alias("n"))
-    every = {r.key: r.n for r in seen.join(F.broadcast(spark.createDataFrame([(int(h),) for h in heads], "key bigint")), "key").collect()} if rows else {}
+    every = {r.key: r.n for r in seen.collect()} if rows else {}  # of the heads alone
     return Tails(ints([r.tail for r in rows]).view(np.uint64), ints([r.n for r in rows]), np.array([r.n >= END_SHARE * every.get(r.head, 0) for r in rows], dtype=bool))
 
 
 def score_readings(packed: DataFrame, readings: DataFrame, tails: Tails, n_keys: int) -> DataFrame:
-    """(sig, run, seg, last_n, so) of the distinct readings (sig, own, keys).
+    """(sig, run, seg, last_n, so) of the distinct readings; readings: sig, own, keys.
 
     run has the counts of its longest last run with EVIDENCE elsewhere, seg those of its closing segment, null for none;
     last_n and so count its last token, and that with the first two of the tail after it.
     """
     spark = packed.sparkSession
-    keys = readings.select("sig", "own", F.posexplode("keys").alias("level", "key")).where("key is not null").withColumn("level", F.col("level") + 1)
+    by_key = lambda r: r.select(*r.drop("keys").columns, F.posexplode("keys").alias("level", "key")).where("key is not null").withColumn("level", F.col("level") + 1)
+    every = by_key(readings.select("keys"))
+    keys = by_key(readings.groupBy("sig", "own").agg(F.first("keys").alias("keys")))
     rounds = max(1, -(-16 * n_keys // FILTER_BITS))
-    words = spark.sparkContext.broadcast(filter_of(keys.where("level = 1"), n_keys)) if rounds > 1 else None
+    words = spark.sparkContext.broadcast(filter_of(every.where("level = 1"), n_keys)) if rounds > 1 else None
     counts = None
     for i in range(rounds):
-        sent = spark.sparkContext.broadcast(filter_of(keys, n_keys, i, rounds))
+        sent = spark.sparkContext.broadcast(filter_of(every, n_keys, i, rounds))
         part = packed.where("kind = 'pack'").mapInArrow(_counter(sent, words or sent, tails), COUNTS_DDL)
         counts = part if counts is None else counts.unionByName(part)
     hits = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in "nexp"])
@@ -694,8 +700,7 @@ def read_endings(texts: DataFrame) -> tuple[DataFrame, int, int]:
     found = packed.where("kind = 'pack'").mapInArrow(_readings(tails), READINGS_DDL)
     sig = found.withColumn("own", F.when(F.col("tail_size") == 0, 1).otherwise(0))  # before a tail a text isn't counted
     readings = materialize(sig.withColumn("sig", F.xxhash64("keys", "own")), "readings", counts={"keys": F.sum(F.size("keys"))})
-    sigs = readings.groupBy("sig", "own").agg(F.first("keys").alias("keys"))
-    scores = score_readings(packed, sigs, tails, int(readings._logloom_counts.get("keys") or 0))
+    scores = score_readings(packed, readings.select("sig", "own", "keys"), tails, int(readings._logloom_counts.get("keys") or 0))
     return readings.drop("keys", "own").join(scores, "sig", "left"), n_tokens, n_texts
 
 
