@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 
 def running_sum(rows: DataFrame, keys: list[str], segment: Column, order: list[str], value: Column, name: str, only: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the sum of value over the rows of the same keys up to and including this one.
@@ -64,11 +66,20 @@ def arrival_numbers(rows: DataFrame, group: Column, segment: Column, order: list
     return numbered.withColumn(name, F.col("_all") + 1 - at if back else at).drop("_group", "_at", "_offset", "_all")
 
 
+ONE_TASK = 100_000  # rows that may meet in one task to be ranked
+
+
 def ranked(rows: DataFrame, time: str, ties: list[Column | str], back: bool = False) -> DataFrame:
     """Add ``rank``: the place in the order by a time string (nulls lowest) and ties, from the last one if back.
 
-    Months are the groups and hours the segments of the count. Ties are in ascending order even of a rank from the
-    last one, so there they are given descending.
+    Rows are written once and counted on the way; up to ONE_TASK one window ranks them, beyond that months are the groups
+    and hours the segments of a count. Ties are in ascending order even of a rank from the last one, so there they are
+    given descending.
     """
+    rows = materialize(rows, "listing", counts={"n": F.count("*")})
+    n = rows._logloom_counts["n"] or 0
+    if n <= ONE_TASK:
+        at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(time), *ties)).cast("bigint")
+        return rows.withColumn("rank", n + 1 - at if back else at)
     t = F.coalesce(F.col(time), F.lit(""))
     return arrival_numbers(rows, F.substring(t, 1, 7), F.substring(t, 1, 13), [F.col(time), *ties], "rank", back)

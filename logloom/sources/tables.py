@@ -30,6 +30,14 @@ def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     return first_of(slim, ["uuid"], F.col("seq").asc_nulls_last())
 
 
+FILTER_BYTES = 1 << 29  # below that, shuffling all rows costs less than a scan for those wanted
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 BROADCAST_ROWS = 1_000_000  # of ids of 100 bytes at most
 
 
@@ -53,12 +61,13 @@ def canonical_messages(spark: SparkSession, sf_dir: str, *columns: str | Column,
 
     columns are names or expressions; expressions are evaluated before the
     shuffle by uuid, so it can carry a length or a flag in place of a content.
-    where (on the rows as stored) leaves the messages of which some version
-    meets it: if these are few, no other row is shuffled. What counts may be
-    another version, so a filter on the result is still needed.
+    where (on the rows as stored) leaves, of a table over FILTER_BYTES, the
+    messages of which some version meets it: if these are few, no other row is
+    shuffled. What counts may be another version, so a filter on the result is
+    still needed.
     """
     m = table(spark, sf_dir, "messages")
-    if where is not None:
+    if where is not None and stored_bytes(m) > FILTER_BYTES:
         its = m.where(where).select(norm_id(F.col("uuid")).alias("_u")).distinct()
         m = m.join(small(its), norm_id(m["uuid"]).eqNullSafe(F.col("_u")), "left_semi")
     cols = columns or ("source", "session_id", "parent_uuid", "role", "content", "timestamp", "is_sidechain")

@@ -25,8 +25,10 @@ def test_against_plain_loops(spark, seed, width):
     assert got.columns == ["k", "o", "x", "v", "total", "seen"]
 
 
+@pytest.mark.parametrize("one_task", [0, 100_000])
 @pytest.mark.parametrize("back", [False, True])
-def test_ranks_against_brute_force(spark, back):
+def test_ranks_against_brute_force(spark, monkeypatch, back, one_task):
+    monkeypatch.setattr("logloom.operators.running.ONE_TASK", one_task)
     r = random.Random(back)
     rows = [(i, r.choice([None, "", *(f"20{y}-{m:02d}-01T{h:02d}:00" for y in (24, 25) for m in (1, 12) for h in (3, 21))])) for i in range(500)]
     got = {x.i: x["rank"] for x in ranked(spark.createDataFrame(rows, "i bigint, t string"), "t", ["i"], back).collect()}
@@ -39,3 +41,13 @@ def test_contents_are_those_of_the_rows_that_count(spark):
     m = spark.createDataFrame([(1, "U1 ", "first"), (2, "u1", "second"), (None, "u2", "unnumbered"), (3, None, "no uuid"), (3, None, "no uuid"), (4, "u4", None)], "seq bigint, uuid string, content string")
     got = sorted(((x.uuid, x.seq, x.content) for x in with_content(first_by_uuid(m), m).collect()))
     assert got == [("", 3, "no uuid"), ("u1", 1, "first"), ("u2", None, "unnumbered"), ("u4", 4, None)]
+
+
+@pytest.mark.parametrize("name", ["search_hits", "search_wildcard", "session_lookup"])
+def test_rows_wanted_are_looked_for_first_in_large_tables(spark, sf, monkeypatch, name):
+    from logloom.plans.reference import QUERIES
+
+    d = sf.replace("sf0.001", "sf0.01")
+    want = sorted(map(str, QUERIES[name](spark, d).collect()))
+    monkeypatch.setattr("logloom.sources.tables.FILTER_BYTES", 0)
+    assert sorted(map(str, QUERIES[name](spark, d).collect())) == want and want
