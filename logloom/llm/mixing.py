@@ -40,7 +40,7 @@ from .tokens import VOCAB_PATH, encoding, read_vocab
 
 FEATURES = 1 << 13
 MAX_DOMAINS = 200
-SAMPLE, EPOCHS, RATE = 12_000, 6, 0.1  # labelled documents that the classifier is fitted on
+SAMPLE, EPOCHS, RATE = 12_000, 3, 0.1  # labelled documents that the classifier is fitted on
 STEPS, TOLERANCE = 40, 1e-5
 UNIT = 1_000_000
 SENTENCE = re.compile("[.!?。！？]")
