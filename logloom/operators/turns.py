@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_line, is_command, not_synthetic
 from ..functions.timeref import UsageError
+from ..runtime import materialize
+from ..sources import tables
 from .running import running_sum
 
 KEYS = ["source", "session_id"]
@@ -32,6 +34,8 @@ def hour() -> Column:
 
 def with_turns(messages: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """main messages (of the sessions in only) with their turn number. Filter content only after this, or turns renumber."""
+    if tables.stored_bytes(messages) > tables.FILTER_BYTES:  # read for the totals and for the rows
+        messages = materialize(messages, "turn-rows")
     counted = running_sum(messages, KEYS, hour(), ["timestamp", "seq"], F.when(F.col("role") == "user", 1).otherwise(0), "_users", only)
     return counted.withColumn("turn", F.greatest(F.col("_users"), F.lit(1)).cast("bigint")).drop("_users")
 

@@ -30,12 +30,12 @@ def first_by_uuid(messages: DataFrame, *keep: Column) -> DataFrame:
     return first_of(slim, ["uuid"], F.col("seq").asc_nulls_last())
 
 
-FILTER_BYTES = 1 << 29  # below that, shuffling all rows costs less than a scan for those wanted
+FILTER_BYTES = 1 << 29  # below that, shuffling all rows again costs less than a scan for those wanted, or a copy
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """An estimate from the sizes of the files read; the plan isn't optimised for it."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 BROADCAST_ROWS = 1_000_000  # of ids of 100 bytes at most

@@ -43,8 +43,8 @@ def test_contents_are_those_of_the_rows_that_count(spark):
     assert got == [("", 3, "no uuid"), ("u1", 1, "first"), ("u2", None, "unnumbered"), ("u4", 4, None)]
 
 
-@pytest.mark.parametrize("name", ["search_hits", "search_wildcard", "session_lookup"])
-def test_rows_wanted_are_looked_for_first_in_large_tables(spark, sf, monkeypatch, name):
+@pytest.mark.parametrize("name", ["search_hits", "search_wildcard", "session_lookup", "outline", "show_bulk"])
+def test_large_tables_go_another_way_to_the_same_rows(spark, sf, monkeypatch, name):
     from logloom.plans.reference import QUERIES
 
     d = sf.replace("sf0.001", "sf0.01")
