@@ -134,15 +134,14 @@ def _encode_spread(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
 
     found = cut.repartition("row", "part").mapInArrow(edges, "row bigint, part int, heads array<bigint>, tails array<bigint>")
 
-    def stitch(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("part")
-        starts = stitches(zip(map(list, pdf["heads"]), map(list, pdf["tails"])))
-        return pd.DataFrame({"row": [key[0]], "starts": [starts]})
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = [stitches((e["heads"], e["tails"]) for e in edges) for edges in b["edges"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(starts, pa.list_(pa.int64()))], names=["row", "starts"])
 
-    # One row per chunk with two short lists: at most 256 a text.
-    plan = found.groupBy("row").applyInPandas(stitch, "row bigint, starts array<bigint>")
+    # One row per text, of at most 256 chunks with two short lists each.
+    gathered = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "heads", "tails"))).alias("edges"))
+    plan = gathered.mapInArrow(stitch, "row bigint, starts array<bigint>")
     pieces = numbered.join(plan, "row").select("doc_id", "row", "text", "size", "starts", F.posexplode("starts").alias("part", "a")).select(
         "doc_id", "row", "part", F.expr("substring(text, int(a + 1), int(coalesce(get(starts, part + 1), size) - a))").alias("piece")
     )
@@ -154,8 +153,8 @@ def _encode_spread(rows: DataFrame, raw, chunk: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], b["part"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "part", "ids"])
 
     parts = pieces.repartition("row", "part").mapInArrow(encode, "doc_id bigint, row bigint, part int, ids array<int>")
-    gathered = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    return gathered.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
+    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+    return whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
 def count_tokens(docs: DataFrame, vocab_path: str = VOCAB_PATH) -> DataFrame:
