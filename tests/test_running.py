@@ -51,3 +51,16 @@ def test_large_tables_go_another_way_to_the_same_rows(spark, sf, monkeypatch, na
     want = sorted(map(str, QUERIES[name](spark, d).collect()))
     monkeypatch.setattr("logloom.sources.tables.FILTER_BYTES", 0)
     assert sorted(map(str, QUERIES[name](spark, d).collect())) == want and want
+
+
+def test_scratch_deletes_what_was_written(spark):
+    import os
+
+    from logloom.runtime import materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch():
+        gone = materialize(spark.range(3), "gone")
+        assert gone.count() == 3
+    path = lambda df: df._logloom_path.removeprefix("file://")
+    assert os.path.isdir(path(kept)) and not os.path.exists(path(gone)) and kept.count() == 3
