@@ -17,7 +17,7 @@ from ..functions import timeref as R
 from ..operators import search as SE
 from ..operators import sessions as SS
 from ..operators import turns as TU
-from ..operators.filters import SessionFilter
+from ..operators.filters import SessionFilter, build_filter
 from ..operators.running import ranked, running_sum
 from ..runtime import scratch_path
 from ..sources.config import Config
@@ -82,6 +82,18 @@ def _sessions_where(where):
     return lambda s, d: _latest_first(SS.list_sessions(canonical_sessions(s, d), _m(s, d, *_sizes()), where))
 
 
+NOW = dt.datetime(2025, 3, 1, tzinfo=dt.timezone.utc)
+
+
+def _sessions_flags(since: str, until: str, project: str):
+    """The listing as the command line asks for it: flags resolved in local time, with the day's boundary, at NOW."""
+
+    def run(s, d):
+        return _sessions_where(build_filter(since, until, project, CONFIG, R.zone(TZ), R.parse_day_boundary(CONFIG.day_boundary), NOW))(s, d)
+
+    return run
+
+
 def nonblank_messages(s, d):
     return _m(s, d, "source", "session_id", (~T.is_blank(F.col("content"))).alias("filled")).where("filled").select("uuid", "source", "session_id")
 
@@ -101,7 +113,7 @@ def user_turns(s, d):
 
 
 def turn_range(s, d):
-    return TU.turn_range(TU.with_turns(_main(s, d, *_ORDER, "role")), 2, 3).select("uuid", "source", "session_id", "turn")
+    return TU.turn_range(TU.with_turns(_main(s, d, *_ORDER, "role")), *TU.parse_turn_range("2..3")).select("uuid", "source", "session_id", "turn")
 
 
 def tail_n(s, d):
@@ -341,6 +353,8 @@ QUERIES = {
     "sessions_project": _sessions_where(SessionFilter(projects=["LEDGER%38"])),
     "sessions_alias_filter": _sessions_where(SessionFilter(projects=CONFIG.expand_project("pebbles"))),
     "sessions_combined": _sessions_where(SessionFilter(SINCE, UNTIL, ["pebble", "larkspur"])),
+    "sessions_dates": _sessions_flags("2024-06-01", "2024-12-31", ""),
+    "sessions_last": _sessions_flags("300d", "2025-01-31T09:30", "pebbles"),
     "nonblank_messages": nonblank_messages,
     "messages_main": messages_main,
     "turns": turns,

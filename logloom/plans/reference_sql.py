@@ -37,6 +37,10 @@ BASE = "case when repo_path = '' then '' when regexp_replace(repo_path, '/+$', '
 LINE = f"regexp_replace(split_part(trim(content, {WS}), chr(10), 1), '\\r+$', '')"
 
 
+def _utc(t: str) -> str:
+    return f"strftime({t}, '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
 def _local(c: str, fmt: str = "%Y-%m-%d %H:%M", minus_h: int = 0) -> str:
     return f"strftime(make_timestamp({micros(c)} - {minus_h} * 3600000000) + interval 9 hour, '{fmt}')"
 
@@ -131,6 +135,9 @@ SQL = {
     "sessions_project": W_ALL + LIST + f" where {_fold('s.repo_path')} like '%ledger%38%'" + BY,
     "sessions_alias_filter": W_ALL + LIST + " where " + " or ".join(f"{_fold('s.repo_path')} like '%{p}%'" for p in ("pebbles", "pebblework-f5ce1", "pebblework-68c52")) + BY,
     "sessions_combined": W_ALL + LIST + " where" + RANGE + f"and ({_fold('s.repo_path')} like '%pebble%' or {_fold('s.repo_path')} like '%larkspur%')" + BY,
+    # Days of Tokyo that start at four; the end is the start of the day after.
+    "sessions_dates": W_ALL + LIST + f" where s.started_at >= {_utc("timestamp '2024-06-01' + interval 4 hour - interval 9 hour")} and s.started_at < {_utc("timestamp '2024-12-31' + interval 4 hour + interval 1 day - interval 9 hour")}" + BY,
+    "sessions_last": W_ALL + LIST + f" where s.started_at >= {_utc("timestamp '2025-03-01' - interval 300 day")} and s.started_at < {_utc("timestamp '2025-01-31 09:30' - interval 9 hour")} and (" + " or ".join(f"{_fold('s.repo_path')} like '%{p}%'" for p in ("pebbles", "pebblework-f5ce1", "pebblework-68c52")) + ")" + BY,
     "nonblank_messages": f"with {FIRST} select uuid, source, session_id from first_rows where trim(content, {WS}) <> ''",
     "messages_main": W_M + "select uuid, seq, source, session_id, role, content, timestamp, row_number() over (partition by source, session_id order by timestamp nulls first, seq) as rank from main",
     "turns": W_T + "select uuid, source, session_id, role, turn from turns",
